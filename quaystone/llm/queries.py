@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import media, mixing, url_filter, warc
+from quaystone.llm import ann, bpe, media, mixing, url_filter, warc
 from quaystone.llm.shared import materialise, read_table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode_documents(bpe.encode_documents(read_table(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("text").alias("decoded_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.encode(read_table(spark, sf_dir, "documents"))).drop("problem")
 
@@ -29,7 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op4_url_filter, op6_ann, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
