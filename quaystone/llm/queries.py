@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import ann, bpe, media, mixing, url_filter, warc
+from quaystone.llm import ann, bpe, media, mixing, near_dup, url_filter, warc
 from quaystone.llm.shared import materialise, read_table
 
 
@@ -25,6 +25,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.encode(read_table(spark, sf_dir, "documents"))).drop("problem")
 
@@ -39,7 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_url_filter, op6_ann, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

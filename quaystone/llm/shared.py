@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +36,73 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``key`` (a group never spans two)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < least_bytes:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table[key].combine_chunks().to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        size = 0 if cut else size // 2
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with equal keys together and in order, for `whole_groups`."""
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def block_pairs(df: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
+    """Deal each group out so that any two members meet in some part ``g``.
+
+    Groups of up to ``block_rows`` members are one part. Larger ones are cut into
+    blocks by the members' hash, and each pair of blocks is a part of its own.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed(group, "sized")
+    blocks = F.ceil(F.col("members") / block_rows).cast("int")
+    return (
+        df.join(sizes, F.col(group) == F.col("sized"))
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("g", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
+        .drop("sized", "members", "blocks", "block", "other")
+    )
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """``node, component`` (its least node) for every node of ``edges(a, b)``.
+
+    Alternates large-star and small-star steps until nothing moves. Each step is
+    aggregations and joins on the nodes; every round is written to the shared folder.
+    """
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    before = mark(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("n"), "m")
+        large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        small = large.join(lower, large["a"] == lower["n"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), label)
+        now = mark(edges)
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
