@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import ann, bpe, media, mixing, near_dup, url_filter, warc
+from quaystone.llm import ann, bpe, media, mixing, near_dup, quality, url_filter, warc
 from quaystone.llm.shared import materialise, read_table
 
 
@@ -17,6 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("text").alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -43,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
