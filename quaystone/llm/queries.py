@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import ann, bpe, media, mixing, near_dup, quality, url_filter, warc
+from quaystone.llm import ann, bpe, media, mixing, near_dup, quality, suffix_dedup, url_filter, warc
 from quaystone.llm.shared import materialise, read_table
 
 
@@ -23,6 +23,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.cut(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("cut.removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return done.select("doc_id", "cut.n_bytes", removed.alias("n_removed"), F.size("cut.removed").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
