@@ -298,3 +298,17 @@ def classes(docs: DataFrame) -> DataFrame:
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "of")
     named = placed.join(least, placed["component"] == least["of"], "left").select(F.col("node").alias("n_node"), F.coalesce("least", "doc_id").alias("class_id"))
     return rows.select("doc_id", "node").join(named, F.col("node") == F.col("n_node")).select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, the one whose id names the class.
+
+    Rows of one id are told apart by their text; repeated rows are kept once.
+    """
+    found = classes(docs)
+    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg((F.count("*") > 1).alias("many")).withColumnRenamed("doc_id", "keep_id")
+    keepers = materialise(keepers, "near-kept")
+    kept = lambda k: docs.join(k.select("keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    if keepers.where("many").isEmpty():
+        return kept(keepers)
+    return kept(keepers.where("not many")).unionByName(kept(keepers.where("many")).dropDuplicates(["doc_id", "text"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import ann, bpe, media, mixing, near_dup, quality, suffix_dedup, url_filter, warc
+from quaystone.llm import ann, bpe, license_scan, media, mixing, near_dup, quality, suffix_dedup, url_filter, warc
 from quaystone.llm.shared import materialise, read_table
 
 
@@ -33,6 +33,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("file_id"), license_scan.document_path(docs).alias("path"), "text")
+    return license_scan.scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
