@@ -51,6 +51,7 @@ BUCKET_ROWS, CLUSTER_ROWS = 1024, 256
 KNOWN_WORDS = 400_000
 
 _WORD = re.compile(r"\w+")
+_TICKS, _NEVER = 2.0**40, np.iinfo(np.int64).max
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -95,20 +96,21 @@ def elements(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int = M) -> np.ndarray:
-    """BagMinHash signatures (n, m), as the bits of the earliest points' times.
+    """BagMinHash signatures (n, m): the earliest points' times.
 
-    ``hashes`` are the distinct shingles of document ``owner`` with integer ``weights``.
+    Times are whole multiples of 2**-40, so their sums are exact in any grouping and
+    do not depend on what else is in a batch. ``hashes`` are the distinct shingles of document ``owner`` with integer ``weights``.
     """
     total = np.bincount(owner, weights, n)
-    out = np.full((n, m), np.inf)
+    out = np.full((n, m), _NEVER)
     todo, slack = np.flatnonzero(total > 0), 2.0
     while len(todo):
         open_ = np.zeros(n, bool)
         open_[todo] = True
         of = open_[owner]
-        limit = np.where(open_, m / np.maximum(total, 1) * (np.log(m) + slack), 0)
+        limit = np.where(open_, m / np.maximum(total, 1) * (np.log(m) + slack) * _TICKS, 0).astype(np.int64)
         _run(hashes[of], weights[of].astype(np.int64), owner[of], limit, out)
-        todo = todo[np.isinf(out[todo]).any(axis=1)]
+        todo = todo[(out[todo] == _NEVER).any(axis=1)]
         slack *= 6
     out[total == 0] = 0
     return out.view(np.uint64)
@@ -122,11 +124,11 @@ def _run(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, limit: np.n
         low = 0 if cell == 0 else 1 << (cell - 1)
         width = 1 if cell == 0 else low
         seed = mix(hashes + np.full(1, cell + 1, np.uint64) * _B)
-        who, time, point = np.arange(len(hashes)), np.zeros(len(hashes)), 0
+        who, time, point = np.arange(len(hashes)), np.zeros(len(hashes), np.int64), 0
         while len(who):
             step = int(max(1, min(64, 400_000 // len(who))))
             u = mix(seed[who][:, None] + np.arange(point + 1, point + step + 1, dtype=np.uint64) * _GOLDEN)
-            gap = -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / width
+            gap = (-np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) * (_TICKS / width)).astype(np.int64)
             t = time[:, None] + np.cumsum(gap, axis=1)
             r, c = np.nonzero(t <= limit[owner[who]][:, None])
             bits = mix(u[r, c] ^ _A)
