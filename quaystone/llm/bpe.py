@@ -28,6 +28,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,6 +43,7 @@ PIECE = 1 << 16  # characters of a text handled at once
 KNOWN_WORDS = 300_000  # words looked up instead of encoded again
 KNOWN_LENGTH = 48
 BATCH_BYTES = 8 << 20
+_NONE = 1 << 62
 
 
 def default_vocabulary() -> str:
@@ -91,39 +93,47 @@ class Transducer:
         for t in vocabulary:
             self.width[t] = max(1, len(t) - (len(suffix) if suffix and t.endswith(suffix) else 0))
         self.lookahead = sufficient_lookahead(merges, self.width)
-        self.rank = {(vocabulary[u], vocabulary[v]): (r, vocabulary[u + v]) for r, (u, v) in enumerate(merges)}
+        # A pair of ids as one number, and its rank before the id it makes: the least is merged first.
+        self.pairs = {vocabulary[u] << 32 | vocabulary[v]: r << 32 | vocabulary[u + v] for r, (u, v) in enumerate(merges)}
         self.width_of = {i: self.width[t] for t, i in vocabulary.items()}
+        self.room = 2 * self.lookahead + 64
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges within ``ids``, lowest rank first, leftmost first."""
         if len(ids) > 40:
             return self._merged_long(ids)
-        rank, ids = self.rank, [*ids]
-        while len(ids) > 1:
-            found = [(r[0], k, r[1]) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank.get(p))]
-            if not found:
+        get, ids = self.pairs.get, [*ids]
+        ranks = [get(u << 32 | v, _NONE) for u, v in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            _, k, new = min(found)
-            ids[k : k + 2] = [new]
+            k, new = ranks.index(best), best & 0xFFFFFFFF
+            ids[k] = new
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 32 | new, _NONE)
+            if k < len(ranks):
+                ranks[k] = get(new << 32 | ids[k + 1], _NONE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs and links between what is left."""
-        ids, n = [*ids], len(ids)
-        after, before, rank = [*range(1, n), -1], [*range(-1, n - 1)], self.rank
-        heap = [(r[0], k, ids[k], ids[k + 1], r[1]) for k in range(n - 1) if (r := rank.get((ids[k], ids[k + 1])))]
+        ids, n, get = [*ids], len(ids), self.pairs.get
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get(ids[k] << 32 | ids[k + 1], _NONE)) != _NONE]
         heapq.heapify(heap)
         while heap:
-            _, k, u, v, new = heapq.heappop(heap)
+            best, k, u, v = heapq.heappop(heap)
             j = after[k]
             if ids[k] != u or j < 0 or ids[j] != v:
                 continue
-            ids[k], ids[j], after[k] = new, -1, after[j]
+            ids[k], ids[j], after[k] = best & 0xFFFFFFFF, -1, after[j]
             if after[k] >= 0:
                 before[after[k]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (r := rank.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (r[0], a, ids[a], ids[b], r[1]))
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (r := get(ids[x] << 32 | ids[y], _NONE)) != _NONE:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
     def stream(self, symbols: Iterator[int], last: int | None = None) -> Iterator[int]:
@@ -132,10 +142,9 @@ class Transducer:
         ``last`` is the word's final symbol where that differs (word ends).
         """
         buffer: list[int] = []
-        room = 2 * self.lookahead + 64
         for s in symbols:
             buffer.append(s)
-            if len(buffer) >= room:
+            if len(buffer) >= self.room:
                 stable, done, emitted = len(buffer) - self.lookahead, 0, 0
                 tokens = self.merged(buffer)
                 for t in tokens:
@@ -205,9 +214,12 @@ class Encoder:
         self.byte_level = (file["decoder"] or {}).get("type") == "ByteLevel"
 
     def word(self, word: str) -> bytes:
-        data = word.encode()
+        data, transducer = word.encode(), self.transducer
         symbols = map(self.inner.__getitem__, data[:-1])
-        return np.fromiter(self.transducer.stream(symbols, self.final[data[-1]]), np.uint32).tobytes()
+        last = self.final[data[-1]]
+        if len(data) < transducer.room:  # ends before the buffer is full
+            return array("I", transducer.merged([*symbols, last])).tobytes()
+        return array("I", transducer.stream(symbols, last)).tobytes()
 
     def pieces(self, text: str) -> Iterator[str]:
         """``text`` in parts that end before white space."""
