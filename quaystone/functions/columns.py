@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.schema import BILLING, MAX_ERROR, OTHER, TECH, URGENT
@@ -71,10 +71,9 @@ def headers(**values: Column) -> Column:
 
 def header_map(column: Column) -> Column:
     """Headers as a map of text: null values are skipped, of equal names the last wins."""
-    known = F.filter(F.coalesce(column, F.array().cast("array<struct<key:string,value:binary>>")), lambda h: h["value"].isNotNull())
-    names = F.transform(known, lambda h: h["key"])
-    last = F.filter(known, lambda h, i: F.array_position(F.slice(names, i + 2, F.size(names)), h["key"]) == 0)
-    return F.map_from_entries(F.transform(last, lambda h: F.struct(h["key"], F.decode(h["value"], "UTF-8"))))
+    none = F.create_map().cast("map<string,string>")
+    put = lambda m, h: F.map_concat(F.map_filter(m, lambda k, v: k != h["key"]), F.create_map(h["key"], F.decode(h["value"], "UTF-8")))
+    return F.coalesce(F.aggregate(column, none, lambda m, h: F.when(h["value"].isNull() | h["key"].isNull(), m).otherwise(put(m, h))), none)
 
 
 def replay_target(column: Column) -> Column:
@@ -99,3 +98,12 @@ def failing(**rules: Column) -> Column:
 
 def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once per row.
+
+    Expressions that are merely projected get copied into each place that takes a
+    part of them; a generator of exactly one row per row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaystone.functions.columns import pinned
 from quaystone.schema import CATALOG, CATALOG_TYPE, CHANNELS, DEFAULT_TIER, TICKET, TIERS
 
 UNDECODABLE = "UndecodableMessage"
@@ -62,7 +63,7 @@ def decode_body(framed: DataFrame, reader: T.StructType = TICKET, record: str =
     """
     with_corrupt = T.StructType([*reader.fields, T.StructField("_corrupt", T.StringType())])
     raw = F.from_json(F.decode(body(F.col("value")), "UTF-8"), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = framed.withColumn("raw", F.when(F.col("error").isNull() & F.col("value").isNotNull(), raw))
+    rows = pinned(framed, raw=F.when(F.col("error").isNull() & F.col("value").isNotNull(), raw))
     written = lambda name: F.array_contains("fields", name)
     tier = F.when(written("tier"), F.col("raw.tier")).otherwise(F.lit(DEFAULT_TIER))
     whole = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.functions.columns import headers, route_topics, strip, truncate_error
+from quaystone.functions.columns import headers, pinned, route_topics, strip, truncate_error
 from quaystone.operators.decode import UNDECODABLE, decode_body, encode, read_frames
 from quaystone.operators.validate import ticket_errors
 from quaystone.schema import DEAD, VALID
@@ -21,10 +21,10 @@ def dead_headers(error_type: Column, message: Column, failed_at: Column) -> Colu
 def judged(log: DataFrame, schemas: DataFrame) -> DataFrame:
     """``log`` decoded and checked: struct ``r`` (texts stripped), ``error_type``, ``error_message``."""
     rows = decode_body(read_frames(log, schemas))
-    clean = F.when(F.col("r").isNotNull(), F.struct(*[(strip(F.col(f"r.{n}")) if n in ("customer_id", "product", "subject", "body") else F.col(f"r.{n}")).alias(n) for n in rows.schema["r"].dataType.names]))
-    rows = rows.withColumn("r", clean)
+    kept = [(strip(F.col(f"r.{n}")) if n in ("customer_id", "product", "subject", "body") else F.col(f"r.{n}")).alias(n) for n in rows.schema["r"].dataType.names]
+    rows = pinned(rows, clean=F.when(F.col("r").isNotNull(), F.struct(*kept))).drop("r").withColumnRenamed("clean", "r")
     errors = ticket_errors(lambda n: F.col(f"r.{n}"))
-    rows = rows.withColumn("errors", F.when(F.col("r").isNotNull(), errors).otherwise(F.array().cast("array<string>")))
+    rows = pinned(rows, errors=F.when(F.col("r").isNotNull(), errors).otherwise(F.array().cast("array<string>")))
     kind = F.when(F.col("value").isNull(), "ValueError").when(F.col("error").isNotNull(), UNDECODABLE).when(F.size("errors") > 0, "ValidationError")
     message = F.when(F.col("value").isNull(), TOMBSTONE).otherwise(F.coalesce("error", F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", ", ")))))
     return rows.withColumn("error_type", kind).withColumn("error_message", message)

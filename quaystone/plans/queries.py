@@ -250,7 +250,8 @@ from o where error_type is not null"""
 )
 def dead_letter_record(spark, sf_dir):
     out = route.validate_split(raw_log(spark, sf_dir), decode.catalog(spark), F.lit("2024-01-30T12:00:00Z")).where("error_type is not null")
-    h = C.header_map(F.col("out_headers"))
+    out = out.withColumn("h", C.header_map(F.col("out_headers")))
+    h = F.col("h")
     names = ("error.type", "error.message", "source.topic", "source.partition", "source.offset", "failed_at")
     # the last header's name has a dot in the log, as all names have
     return out.select("offset", F.col("partition").cast("long").alias("partition"), *[F.element_at(h, n if n != "failed_at" else "failed.at").alias(n.replace(".", "_")) for n in names])
@@ -434,8 +435,8 @@ def run_counters(spark, sf_dir):
 
 @query(P.DEAD_SQL + "select event_id, 'kind' || (event_id % 4) as error_type, case when event_id % 5 = 2 then 1 else 2 end as entries from d")
 def header_map(spark, sf_dir):
-    h = C.header_map(F.col("headers"))
-    return dead_log(spark, sf_dir).select("event_id", F.element_at(h, "error.type").alias("error_type"), F.size(h).cast("long").alias("entries"))
+    rows = dead_log(spark, sf_dir).select("event_id", C.header_map(F.col("headers")).alias("h"))
+    return rows.select("event_id", F.element_at("h", F.lit("error.type")).alias("error_type"), F.size("h").cast("long").alias("entries"))
 
 
 @query(P.DEAD_SQL + "select event_id, target from d")
