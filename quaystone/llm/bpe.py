@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16  # characters of a text handled at once
-KNOWN_WORDS = 300_000  # words looked up instead of encoded again
+KNOWN_WORDS = 120_000  # words looked up instead of encoded again (some 30 MB)
 KNOWN_LENGTH = 48
 BATCH_BYTES = 8 << 20
 _NONE = 1 << 62
@@ -168,10 +168,8 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encoder.word(word)
-        if len(word) <= KNOWN_LENGTH:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(word) <= KNOWN_LENGTH and len(self) < KNOWN_WORDS:
+            self[word] = ids  # frequent words come early
         return ids
 
 

@@ -48,7 +48,7 @@ M = BANDS * ROWS
 #: Signatures must agree in this share of the components: 0.8 less 4.5 deviations.
 AGREE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 BUCKET_ROWS, CLUSTER_ROWS = 1024, 256
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 60_000
 
 _WORD = re.compile(r"\w+")
 _TICKS, _NEVER = 2.0**40, np.iinfo(np.int64).max
@@ -64,9 +64,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KNOWN_WORDS:
+            self[word] = h
         return h
 
 
@@ -126,7 +126,7 @@ def _run(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, limit: np.n
         seed = mix(hashes + np.full(1, cell + 1, np.uint64) * _B)
         who, time, point = np.arange(len(hashes)), np.zeros(len(hashes), np.int64), 0
         while len(who):
-            step = int(max(1, min(64, 400_000 // len(who))))
+            step = int(max(1, min(64, 200_000 // len(who))))
             u = mix(seed[who][:, None] + np.arange(point + 1, point + step + 1, dtype=np.uint64) * _GOLDEN)
             gap = (-np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) * (_TICKS / width)).astype(np.int64)
             t = time[:, None] + np.cumsum(gap, axis=1)
@@ -174,7 +174,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(key)
             docs.append(document(text.as_py()))
             size += len(docs[-1][1]) + 64
-            if size > 400_000:
+            if size > 200_000:
                 yield made(ids, docs)
                 ids, docs, size = [], [], 0
     if ids:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled documents are learnt from.
 SAMPLE = 4000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Kinds of bytes: other, lower case, upper case, digits, blanks, sentence marks, rare marks, exclamations, beyond ASCII.
 KINDS = 9
 BASE = 11

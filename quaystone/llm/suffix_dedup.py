@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 400
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 3 << 20
 #: Bytes of input for each range of names; a range's names are sorted in one task.
 NAME_RANGE, PREFIX_RANGE = 24 << 20, 4 << 20
 
@@ -67,17 +67,13 @@ def difference_cover(length: int) -> tuple[int, np.ndarray]:
 
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; the tables grow with the longest unit."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            t = np.full(n, b, np.uint64)
-            t[0] = 1
-            _powers[k] = np.cumprod(t)
-    return _powers[0][:n], _powers[1][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64."""
+    t = np.full(n, base, np.uint64)
+    t[0] = 1
+    return np.cumprod(t)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,9 +108,9 @@ class Unit:
         self.docs = docs
         self.starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
         data = np.frombuffer(b"".join(docs), np.uint8)
-        up, self.down = powers(len(data) + 1)
+        self.down = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(_LETTERS[data] * powers(_BASE, len(data) + 1)[:-1], out=self.sums[1:])
         self.whole = np.array([xxhash.xxh3_64_intdigest(d) for d in docs], np.uint64)
 
     def names(self, at: np.ndarray, size: int) -> np.ndarray:
