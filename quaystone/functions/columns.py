@@ -64,9 +64,9 @@ def route_topics(category: Column, priority: Column) -> Column:
     return F.filter(F.array(own, F.when(priority == "urgent", URGENT)), lambda t: t.isNotNull())
 
 
-def headers(**values: Column) -> Column:
-    """Log headers of text values; underscores in names stand for dots."""
-    return F.array(*[F.struct(F.lit(k.replace("_", ".")).alias("key"), F.encode(v.cast("string"), "UTF-8").alias("value")) for k, v in values.items()])
+def headers(values: dict[str, Column]) -> Column:
+    """Log headers of text values, by name."""
+    return F.array(*[F.struct(F.lit(k).alias("key"), F.encode(v.cast("string"), "UTF-8").alias("value")) for k, v in values.items()])
 
 
 def header_map(column: Column) -> Column:

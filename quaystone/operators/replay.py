@@ -29,7 +29,7 @@ def plan(log: DataFrame, bounds: DataFrame, limit: int | None = None) -> DataFra
 def records(planned: DataFrame) -> DataFrame:
     """What is written: original key and value to the target, with where it came from."""
     origin = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
-    return planned.where("target is not null").select(F.col("target").alias("topic"), "key", "value", headers(replayed_from=origin).alias("headers"))
+    return planned.where("target is not null").select(F.col("target").alias("topic"), "key", "value", headers({"replayed.from": origin}).alias("headers"))
 
 
 def counts(planned: DataFrame) -> DataFrame:

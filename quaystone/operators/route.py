@@ -15,7 +15,8 @@ TOMBSTONE = "message has no value"
 
 def dead_headers(error_type: Column, message: Column, failed_at: Column) -> Column:
     """The six headers of a dead letter, about the row's own log position."""
-    return headers(error_type=error_type, error_message=truncate_error(message), source_topic=F.col("topic"), source_partition=F.col("partition"), source_offset=F.col("offset"), failed_at=failed_at)
+    position = {"source.topic": F.col("topic"), "source.partition": F.col("partition"), "source.offset": F.col("offset")}
+    return headers({"error.type": error_type, "error.message": truncate_error(message)} | position | {"failed_at": failed_at})
 
 
 def judged(log: DataFrame, schemas: DataFrame) -> DataFrame:

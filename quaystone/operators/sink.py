@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.functions.columns import headers
 from quaystone.schema import SINK_DEAD
 
 
@@ -39,8 +40,8 @@ def sink_split(rows: DataFrame, decodable: Column, required: list[str], limits:
 
 def sink_dead_letters(split: DataFrame) -> DataFrame:
     """The rows that were not written, for the sink's dead-letter topic."""
-    names = {"__connect.errors.stage": "stage", "__connect.errors.topic": "topic", "__connect.errors.partition": "partition", "__connect.errors.offset": "offset", "__connect.errors.exception.message": "reason"}
-    made = F.array(*[F.struct(F.lit(k).alias("key"), F.encode(F.col(c).cast("string"), "UTF-8").alias("value")) for k, c in names.items()])
+    names = {"stage": "stage", "topic": "topic", "partition": "partition", "offset": "offset", "exception.message": "reason"}
+    made = headers({f"__connect.errors.{k}": F.col(c) for k, c in names.items()})
     return split.where("stage is not null").withColumn("headers", made).withColumn("out_topic", F.lit(SINK_DEAD))
 
 

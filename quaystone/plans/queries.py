@@ -253,8 +253,7 @@ def dead_letter_record(spark, sf_dir):
     out = out.withColumn("h", C.header_map(F.col("out_headers")))
     h = F.col("h")
     names = ("error.type", "error.message", "source.topic", "source.partition", "source.offset", "failed_at")
-    # the last header's name has a dot in the log, as all names have
-    return out.select("offset", F.col("partition").cast("long").alias("partition"), *[F.element_at(h, n if n != "failed_at" else "failed.at").alias(n.replace(".", "_")) for n in names])
+    return out.select("offset", F.col("partition").cast("long").alias("partition"), *[F.element_at(h, F.lit(n)).alias(n.replace(".", "_")) for n in names])
 
 
 @query("with x as (select doc_id, substr(text, 1, 1000) as cut from documents) select doc_id, cast(length(cut) as bigint) as n, md5(cut) as digest from x")
