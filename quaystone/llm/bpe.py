@@ -84,11 +84,9 @@ class Transducer:
     """Encodes words given as symbol ids; see the module's text."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        made: dict[str, int] = {}
-        for rank, (u, v) in enumerate(merges):
-            if made.get(u, -1) >= rank or made.get(v, -1) >= rank or u + v in made:
-                raise ValueError("merges are not in the order in which their parts are made")
-            made[u + v] = rank
+        made = {u + v: rank for rank, (u, v) in enumerate(merges)}
+        if len(made) < len(merges) or any(made.get(part, -1) >= rank for rank, pair in enumerate(merges) for part in pair):
+            raise ValueError("merges are not in the order in which their parts are made")
         self.width: dict[str, int] = {}
         for t in vocabulary:
             self.width[t] = max(1, len(t) - (len(suffix) if suffix and t.endswith(suffix) else 0))

@@ -138,8 +138,6 @@ def _by_bits(data: bytes, n: int, table: dict[tuple[int, int], int]) -> np.ndarr
 
 def unpack_frames(jpegs: list[bytes]) -> np.ndarray:
     """The samples (n, height, width) of lossless JPEGs of one size."""
-    if not jpegs:
-        return np.zeros((0, SIDE, SIDE), np.uint8)
     scans = [_scan(j) for j in jpegs]
     height, width, table, _ = _tables(scans[0][0])
     if any(s[0] != scans[0][0] and _tables(s[0])[:2] != (height, width) for s in scans):
@@ -196,8 +194,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
         elif name == b"idx1":
             index = data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    if movi is None:
-        raise ValueError("no frames")
+    if movi is None or not index:
+        raise ValueError("no frames or no index")
     frames = []
     for k, (name, _, start, size) in enumerate(struct.iter_unpack("<4sIII", index)):
         start += movi
@@ -205,6 +203,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
             raise ValueError(f"index entry {k} does not fit")
         if name[2:] in (b"dc", b"db"):
             frames.append(data[start + 8 : start + 8 + size])
+    if not frames:
+        raise ValueError("no frames")
     return frames, fps
 
 
