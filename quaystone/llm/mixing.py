@@ -21,10 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: The range of the random numbers is cut into so many parts, so that the ranking
 #: of a hot source is a set of sums and one small part, never one task.
 RANK_BUCKETS = 4096
+#: Rows per source are sent to all tasks up to so many sources; beyond, they are joined.
+SENT_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -76,28 +80,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
     the words of these copies.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u"))
-    sized = sized.withColumn("bucket", F.floor(F.col("u") * buckets)).persist()
+    sized = materialise(sized.withColumn("bucket", F.floor(F.col("u") * buckets)), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = (
+    targets = materialise(
         targets.withColumn("whole", F.floor(factor))
         .withColumn("odds", factor - F.col("whole"))
-        .withColumn("rest", F.when(F.col("odds") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
-    ).persist()
+        .withColumn("rest", F.when(F.col("odds") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0))),
+        "mix-targets",
+    )
+
+    send = F.broadcast if targets.count() <= SENT_SOURCES else (lambda df: df)
 
     # The part of the ranking in which the source's words run out.
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("bucket")
     edge = (
         parts.withColumn("upto", F.sum("words").over(running))
-        .join(targets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
+        .join(send(targets.select(F.col("source").alias("s"), "rest")), F.col("source").eqNullSafe(F.col("s")))
         .where(F.col("upto") > F.col("rest"))
         .groupBy("source")
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
         .select(F.col("source").alias("edge_source"), F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
     )
-    bounds = targets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").withColumnRenamed("source", "b_source").drop("edge_source")
-    placed = sized.join(bounds, F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source")
+    bounds = materialise(targets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").withColumnRenamed("source", "b_source").drop("edge_source"), "mix-bounds")
+    placed = sized.join(send(bounds), F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source")
 
     # Pareto keys; within a source the inclusion odds are one number, so the
     # buckets of u are consecutive parts of the ranking.
@@ -110,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
         .drop("key")
     )
     outside = placed.where(~at_edge).withColumn("fits", F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")))
-    chosen = outside.unionByName(inside).withColumn("fits", F.col("fits") & (F.col("odds") > 0))
+    chosen = materialise(outside.unionByName(inside).withColumn("fits", F.col("fits") & (F.col("odds") > 0)).drop("bucket", "edge_bucket", "edge_before"), "mix-ranked")
 
     # The words still missing, and the one document that comes nearest to them.
     used = chosen.groupBy("source").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"), F.first("rest").alias("rest"))
@@ -118,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
     miss = F.abs(F.col("missing") - F.col("size"))
     last = (
         chosen.where(~F.col("fits") & (F.col("odds") > 0))
-        .join(used, F.col("source").eqNullSafe(F.col("m_source")))
+        .join(send(used), F.col("source").eqNullSafe(F.col("m_source")))
         .where(miss < F.col("missing"))
         .groupBy("source")
         .agg(F.min(F.struct(miss.alias("miss"), "u", "size")).alias("pick"))
@@ -127,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
     picked = F.col("u").eqNullSafe(F.col("p_u")) & (F.col("size") == F.col("p_size")) & ~F.col("fits")
     copies = F.col("whole") + F.when(F.col("fits") | F.coalesce(picked, F.lit(False)), 1).otherwise(0)
     return (
-        chosen.join(last, F.col("source").eqNullSafe(F.col("p_source")), "left")
+        chosen.join(send(last), F.col("source").eqNullSafe(F.col("p_source")), "left")
         .withColumn("copies", copies.cast("int"))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
