@@ -24,11 +24,11 @@ SQL: dict[str, str] = {}
 HOUR, SIX_HOURS = 3_600_000, 21_600_000
 
 
-def query(sql: str | None) -> Callable:
+def query(sql: str | None, name: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = P.SQL + sql if not sql.lstrip().startswith("with") else sql
+            SQL[name or f.__name__] = P.SQL + sql if not sql.lstrip().startswith("with") else sql
         return f
 
     return register
@@ -104,10 +104,10 @@ def sink_dead_letters(spark, sf_dir):
     return dead.select("event_id", "stage", "reason", F.element_at(C.header_map(F.col("headers")), "__connect.errors.partition").alias("at_partition"))
 
 
-@query("select distinct category as \"table\" from t where category not in (select category from t where value >= 150)")
+@query('select distinct customer_id as "table" from t where customer_id not in (select customer_id from t where value >= 100)')
 def missing_tables(spark, sf_dir):
     t = tickets(spark, sf_dir)
-    return sink.missing_tables(t.select(F.col("category").alias("table")), t.where("value >= 150").select(F.col("category").alias("table")))
+    return sink.missing_tables(t.select(F.col("customer_id").alias("table")), t.where("value >= 100").select(F.col("customer_id").alias("table")))
 
 
 @query(f"select event_id from t where created_ms > {NOW_MS} - 20 * 86400000")
@@ -326,7 +326,7 @@ def classify_retry(spark, sf_dir):
     return enrich.classify(tickets(spark, sf_dir).select("ticket_id", "subject"), _flaky, sleep=lambda s: None).select("ticket_id", F.col("attempts").cast("long").alias("attempts"), "error")
 
 
-@query(_RULED + f"select ticket_id, tier, category, priority, {NOW_MS} as enriched_at, 'rules' as model from ruled")
+@query(_RULED + f"select ticket_id, tier, category, priority, {NOW_MS} as enriched_at, 'rules' as model from ruled", name="enrich")
 def enrich_tickets(spark, sf_dir):
     t = tickets(spark, sf_dir).select("ticket_id", "subject", "tier")
     return enrich.enrich(t, enrich.classify(t, lambda: enrich.classify_rules), F.lit(NOW_MS), "rules").select("ticket_id", "tier", "category", "priority", "enriched_at", "model")
