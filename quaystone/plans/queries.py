@@ -104,10 +104,10 @@ def sink_dead_letters(spark, sf_dir):
     return dead.select("event_id", "stage", "reason", F.element_at(C.header_map(F.col("headers")), "__connect.errors.partition").alias("at_partition"))
 
 
-@query('select distinct customer_id as "table" from t where customer_id not in (select customer_id from t where value >= 100)')
+@query('select distinct customer_id as "table" from t where customer_id not in (select customer_id from t where value >= 200)')
 def missing_tables(spark, sf_dir):
     t = tickets(spark, sf_dir)
-    return sink.missing_tables(t.select(F.col("customer_id").alias("table")), t.where("value >= 100").select(F.col("customer_id").alias("table")))
+    return sink.missing_tables(t.select(F.col("customer_id").alias("table")), t.where("value >= 200").select(F.col("customer_id").alias("table")))
 
 
 @query(f"select event_id from t where created_ms > {NOW_MS} - 20 * 86400000")
