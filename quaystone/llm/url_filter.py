@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import materialise
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -86,6 +88,7 @@ def template_verdicts(paths: DataFrame, depth: int = DEPTH, max_children: int =
             .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))))
             .drop("h", "t", "seg", "name")
         )
+        tree = materialise(tree, "url-level")  # each level is read three times by the next
     tree = tree.withColumn("template", F.concat("template", F.when(F.col("deeper"), F.lit("/**")).otherwise(F.lit(""))))
     sums = tree.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("k").alias("tk"))
     sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("tk") + 1) / (F.col("tm") + 2)).alias("purity"))
@@ -103,6 +106,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
     rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), *[F.get("parts", i).alias(k) for i, k in enumerate(keys)], (F.size("parts") > depth).alias("deeper"))
     blocked = F.sum((F.col("given") == "block").cast("long"))
     paths = rows.groupBy("host", *keys, "deeper").agg(F.count("*").alias("n"), F.count("given").alias("m"), F.coalesce(blocked, F.lit(0)).alias("k"))
+    paths = materialise(paths, "url-paths")
     judged = template_verdicts(paths, depth, max_children, z).select(*[F.col(c).alias(f"j_{c}") for c in ("host", *keys, "deeper")], "template", "purity")
     on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(judged[f"j_{c}"]) for c in ("host", *keys, "deeper")])
     verdict = F.coalesce("given", F.when(F.col("purity") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
