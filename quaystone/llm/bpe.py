@@ -39,6 +39,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 PIECE = 1 << 16  # characters of a text handled at once
 KNOWN_WORDS = 120_000  # words looked up instead of encoded again (some 30 MB)
 KNOWN_LENGTH = 48
@@ -309,7 +311,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -329,4 +331,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=schema)
                     begin, size, texts = k + 1, 0, []
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+    return text_batches(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")

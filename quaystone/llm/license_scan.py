@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 # Usual notices of common licences.
 NOTICES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
@@ -130,7 +132,7 @@ def fit(texts: DataFrame, text_column: str = "text") -> Matcher:
                 seen.update(known.intersection(terms(text.as_py() or "")))
         yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
-    sums = texts.select(text_column).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = text_batches(texts).select(text_column).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counts = {r["term"]: r["n"] for r in sums.collect()}  # as many rows as the templates have terms
     return Matcher.fitted(counts, counts.get("", 0))
 
@@ -145,7 +147,7 @@ def notices(files: DataFrame, matcher: Matcher) -> DataFrame:
             names, scores, whole = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(whole, pa.bool_())], schema=schema)
 
-    return files.select(F.col("file_id").cast("long"), "path", "text").mapInArrow(run, "file_id bigint, path string, license string, similarity double, license_file boolean")
+    return text_batches(files).select(F.col("file_id").cast("long"), "path", "text").mapInArrow(run, "file_id bigint, path string, license string, similarity double, license_file boolean")
 
 
 def directory(path: Column) -> Column:

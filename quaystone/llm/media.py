@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 SIDE = 24
 UNIT = SIDE * SIDE
 WIDTH = 9  # bits of a coded sample
@@ -262,7 +264,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 media = write_avi(payload_of(text.as_py()))
                 yield {"doc_id": key, "media": media}, len(media)
 
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _in_parts(rows(b), schema), MEDIA)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(lambda b: _in_parts(rows(b), schema), MEDIA)
 
 
 def describe(media: bytes | None) -> dict:
@@ -289,7 +291,7 @@ def read_back(media: DataFrame) -> DataFrame:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield {"doc_id": key} | describe(data.as_py()), 0
 
-    return media.select("doc_id", "media").mapInArrow(lambda b: _in_parts(rows(b), schema), READ)
+    return text_batches(media).select("doc_id", "media").mapInArrow(lambda b: _in_parts(rows(b), schema), READ)
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -308,4 +310,4 @@ def clips(media: DataFrame) -> DataFrame:
                 for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
                     yield {"doc_id": key, "clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps}, 0
 
-    return media.select("doc_id", "media").mapInArrow(lambda b: _in_parts(rows(b), schema), CLIPS)
+    return text_batches(media).select("doc_id", "media").mapInArrow(lambda b: _in_parts(rows(b), schema), CLIPS)

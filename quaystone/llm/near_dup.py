@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import block_pairs, components, dealt, materialise, whole_groups
+from quaystone.llm.shared import block_pairs, components, dealt, materialise, text_batches, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -183,7 +183,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, node, sig, bands`` per row of ``docs(doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id bigint, node binary, sig binary, bands array<bigint>")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id bigint, node binary, sig binary, bands array<bigint>")
 
 
 def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

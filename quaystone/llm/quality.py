@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 #: At most so many labelled documents are learnt from.
 SAMPLE = 4000
 CHUNK_BYTES = 1 << 20
@@ -220,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .where(F.col("quality").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
         .orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(sample)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select("text", "quality")
+    texts = text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select("text", "quality")
     rows = texts.mapInArrow(_line_rows, "quality int, x binary, length binary").limit(4 * sample).toArrow()
     x = [np.frombuffer(r, np.float64).reshape(-1, 2 * BASE) for r in rows["x"].to_pylist()]
     length = [np.frombuffer(r, np.int64) for r in rows["length"].to_pylist()]
@@ -242,7 +244,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 score = model.scores(model.lines(x, first), length, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double")
 
 
 def label_lines(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,7 +259,7 @@ def label_lines(docs: DataFrame, model: Model) -> DataFrame:
                 doc = np.repeat(np.arange(a, b), np.diff(first))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(np.arange(len(p)) - first[doc - a]), pa.array(p >= 0.5), pa.array(p)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, line bigint, good boolean, p_good double")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, line bigint, good boolean, p_good double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -270,4 +272,4 @@ def keep_good(docs: DataFrame, model: Model, text_column: str = "text") -> DataF
                 x, length, first = features(data, starts)
                 yield batch.slice(a, b - a).filter(pa.array(model.scores(model.lines(x, first), length, first) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that hold whole texts go to Python in batches of at most so many rows and bytes:
+#: each worker, and Spark's side of it, holds a batch or two.
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is; its session sends smaller batches from now on if it sent larger ones."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = re.match(r"-?\d+", str(conf.get(key, "0")))
+        if not held or not 0 < int(held[0]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least_bytes: int = 8 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key`` (a group never spans two)."""
     held: list[pa.RecordBatch] = []

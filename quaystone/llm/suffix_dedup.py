@@ -43,6 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 LENGTH = 400
 UNIT_BYTES = 3 << 20
 #: Bytes of input for each range of names; a range's names are sorted in one task.
@@ -227,7 +229,7 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
     ``removed`` are the maximal runs of removed bytes as (begin, end), ``kept`` the
     bytes that stay. The struct's column is put last.
     """
-    total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    total = text_batches(docs).agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
     name_parts, prefix_parts = max(1, -(-total // NAME_RANGE)), max(1, -(-total // PREFIX_RANGE))
     columns, at = docs.columns, docs.columns.index(text_column)

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import text_batches
+
 SKIPPABLE = 0x184D2A5D  # fixed value of the format: the dictionary's frame
 FRAME = 0xFD2FB528  # fixed value: a Zstandard frame
 DATE = "2024-01-01T00:00:00Z"
@@ -116,7 +118,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         if size:
             yield row()
 
-    return plan_records(pages).mapInArrow(write, ARCHIVES)
+    return text_batches(plan_records(pages)).mapInArrow(write, ARCHIVES)
 
 
 def frame_end(data: memoryview, at: int) -> int:
