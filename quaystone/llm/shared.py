@@ -49,8 +49,8 @@ def text_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        held = re.match(r"-?\d+", str(conf.get(key, "0")))
-        if not held or not 0 < int(held[0]) <= most:
+        held = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if not held or not 0 < int(held[1]) <= most:
             conf.set(key, str(most))
     return df
 
