@@ -143,9 +143,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """The rows of ``docs`` the mix takes, each as often as it takes them."""
     plan = mix(docs, weights, cap).select(F.col("doc_id").alias("mix_id"), "copies").where("copies > 0").distinct()
-    taken = docs.alias("d").join(plan, F.col("d.doc_id").eqNullSafe(F.col("mix_id")))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    taken = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.mix_id")))
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return taken.select(F.explode(F.array_repeat(row, F.col("p.copies"))).alias("row")).select("row.*")
 
 
 #: The same mix for DuckDB, without the ranking in parts.

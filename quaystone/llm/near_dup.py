@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     keepers = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg((F.count("*") > 1).alias("many")).withColumnRenamed("doc_id", "keep_id")
     keepers = materialise(keepers, "near-kept")
-    kept = lambda k: docs.join(k.select("keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    kept = lambda k: docs.alias("d").join(k.select("keep_id").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.keep_id")), "left_semi")
     if keepers.where("many").isEmpty():
         return kept(keepers)
     return kept(keepers.where("not many")).unionByName(kept(keepers.where("many")).dropDuplicates(["doc_id", "text"]))

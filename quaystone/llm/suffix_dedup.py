@@ -223,11 +223,12 @@ def _asked_table(unit: int, *asked: Asked) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with ``n_bytes, removed, kept`` as a struct ``cut``.
+def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_bytes: int = UNIT_BYTES, as_text: bool = False, result: str = "cut") -> DataFrame:
+    """All rows and columns of ``docs`` with ``n_bytes, removed, kept`` as a struct ``result``.
 
     ``removed`` are the maximal runs of removed bytes as (begin, end), ``kept`` the
-    bytes that stay. The struct's column is put last.
+    bytes that stay (``as_text``: as a string, without what is no whole character).
+    The struct's column is put last.
     """
     total = text_batches(docs).agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
@@ -259,10 +260,11 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
             n.append(len(data))
             begins.append(edges[::2])
             ends.append(edges[1::2])
-            kept.append(np.frombuffer(data, np.uint8)[~mask].tobytes())
+            left = np.frombuffer(data, np.uint8)[~mask].tobytes()
+            kept.append(left.decode(errors="ignore") if as_text else left)
         table = table.select([*carried])
         longs = pa.list_(pa.int64())
-        for name, values, kind in (("n_bytes", n, pa.int64()), ("begins", begins, longs), ("ends", ends, longs), ("kept", kept, pa.binary())):
+        for name, values, kind in (("n_bytes", n, pa.int64()), ("begins", begins, longs), ("ends", ends, longs), ("kept", kept, pa.string() if as_text else pa.binary())):
             table = table.append_column(name, pa.array(values, kind))
         return table
 
@@ -270,10 +272,10 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
     told = asked.groupBy("kind", "part").applyInArrow(compare, TOLD)
     asked = rows.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(second, ASKED)
     told = told.unionByName(asked.groupBy("kind", "part").applyInArrow(compare, TOLD))
-    out = ", ".join(f"{c} {t}" for c, (_, t) in zip(carried, docs.dtypes, strict=True)) + ", n_bytes bigint, begins array<bigint>, ends array<bigint>, kept binary"
+    out = ", ".join(f"{c} {t}" for c, (_, t) in zip(carried, docs.dtypes, strict=True)) + f", n_bytes bigint, begins array<bigint>, ends array<bigint>, kept {'string' if as_text else 'binary'}"
     done = rows.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(third, out)
     removed = F.zip_with("begins", "ends", lambda a, b: F.struct(a.alias("begin"), b.alias("end")))
-    whole = F.struct("n_bytes", removed.alias("removed"), "kept").alias("cut")
+    whole = F.struct("n_bytes", removed.alias("removed"), "kept").alias(result)
     return done.select(*[F.col(c).alias(name) for c, name in zip(carried, columns, strict=True)], whole)
 
 
@@ -283,18 +285,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Cuts go by bytes; parts of a character that are left at an edge are dropped.
     ``n_chars``, where it is a column, is that of the new text.
     """
-    done = cut(docs, length)
-    new = F.col("cut.kept")
-    new = F.when(F.col("text").isNull(), F.lit(None)).when(F.size("cut.removed") == 0, F.col("text")).otherwise(_valid(new))
-    out = done.withColumn("text", new)
+    name = "cut"
+    while name in docs.columns:
+        name += "_"
+    new = F.col(f"{name}.kept")
+    changed = {"text": F.when(F.col("text").isNotNull(), new)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def _valid(data: F.Column) -> F.Column:
-    """Bytes as text without what is no whole character."""
-    return F.regexp_replace(F.decode(F.col("cut.kept"), "UTF-8") if data is None else F.make_valid_utf8(data.cast("string")), "�", "")
+        changed["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return cut(docs, length, as_text=True, result=name).select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:

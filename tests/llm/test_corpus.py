@@ -38,7 +38,7 @@ def corpus(seed=1, n=60):
 
 
 #: Names that operators use inside; inputs may have them too.
-CLASHING = ("size", "u", "bucket", "unit", "g", "node", "score", "key", "copies", "edge", "blocks", "label_id", "c0", "ids", "media", "payload")
+CLASHING = ("size", "u", "bucket", "unit", "g", "node", "score", "key", "copies", "edge", "blocks", "label_id", "c0", "ids", "media", "payload", "cut", "keep_id", "mix_id", "copy", "row", "d", "k", "p")
 
 
 @pytest.fixture(scope="module")
@@ -164,7 +164,7 @@ def test_difference_cover(length):
 
 @pytest.mark.parametrize("length", [5, 20, 60, 400])
 def test_repeats_equal_brute_force(docs, none, rows, length):
-    got = [(r.doc_id, r.cut.n_bytes, sum(x.end - x.begin for x in r.cut.removed), len(r.cut.removed), hashlib.sha256(r.cut.kept).hexdigest()) for r in suffix_dedup.cut(docs, length, unit_bytes=4000).collect()]
+    got = [(r.doc_id, r.done.n_bytes, sum(x.end - x.begin for x in r.done.removed), len(r.done.removed), hashlib.sha256(r.done.kept).hexdigest()) for r in suffix_dedup.cut(docs, length, unit_bytes=4000, result="done").collect()]
     texts = [(r[1] or "").encode() for r in rows]
     want = [(r[0], len(t), *b) for r, t, b in zip(rows, texts, suffix_dedup.brute_force(texts, length), strict=True)]
     assert ordered(got) == ordered(want)
@@ -369,6 +369,14 @@ def test_targets_stop_at_three_times_the_size(spark):
     assert got == {"a": 30.0, None: 270.0, "b": 800.0, "c": 400.0}
 
 
+def test_stages_keep_columns_of_any_name(docs, none):
+    for stage in (near_dup.keep_one, suffix_dedup.remove_repeats, mixing.mixed_documents):
+        assert stage(docs).schema.names == docs.columns and stage(none).count() == 0
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    got = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    assert all(got[k] == n * (2 if k == 5 else 1) for k, n in copies.items())
+
+
 # 10. Archives
 
 
