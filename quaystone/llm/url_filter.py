@@ -2,21 +2,25 @@
 
 Rules give the labels: a url that fits a rule takes the verdict of its longest
 rule. All urls of a host form a tree of path segments. Level by level, segments
-that vary (numbers, or more than ``max_children`` different ones below one node)
-become the wildcard ``*``; so do siblings whose labelled block rates do not differ
-statistically from the rest of their node (two-proportion z test). The branches
-that fell together are one template. A template blocks the urls that no rule fits
-if its smoothed purity ``(blocked + 1) / (labelled + 2)`` is over one half, so a
-template without labels lets its urls pass.
-
-All statistics are made on distinct (host, segments) with counts, summed before
+that are numbers become the wildcard ``*``; so do siblings whose labelled block
+rates do not differ statistically from the rest of their node (two-proportion z
+test). Others keep their names, however many they are; siblings without labels are
+one branch ``?`` if their node has more than ``max_children``, which cannot change a
+verdict. The branches that fell together are one template. A template blocks the
+urls that no rule fits if its smoothed purity ``(blocked + 1) / (labelled + 2)`` is
+over one half, so a template without labels lets its urls pass.
+
+The levels go on until no path has a further segment. Past ``depth`` segments, the
+rest of a node whose urls cannot differ any more (none blocked, or each one fits a
+rule) is one wildcard ``/**``.
+
+All statistics are made on distinct (host, path) with counts, summed before
 each shuffle; a hot host is a set of such rows, not a group in one task.
 
 Defined results
     null url or no ``://``: host and path are empty, no rule fits, and the verdict
     is that of the empty template (allow). Repeated rows count as often as they
-    occur and each get a result. Segments beyond ``depth`` are one wildcard.
-    Empty table: empty result. Other columns are ignored.
+    occur and each get a result. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +54,8 @@ def parse_rule(line: str) -> Rule:
 
 RULES = tuple(map(parse_rule, ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")))
 DEPTH, MAX_CHILDREN, Z = 3, 16, 1.96
+#: Unlabelled siblings together; no segment of a path is so called.
+UNLABELLED = "?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,24 +78,30 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def template_verdicts(paths: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> DataFrame:
-    """``paths(host, s1..s<depth>, deeper, n, m, k)`` (urls, labelled, blocked) with ``template, purity``."""
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(1, depth + 1):
-        node, seg = ["host", "template"], F.col(f"s{level}")
-        kids = tree.where(seg.isNotNull()).groupBy(*node, seg.alias("seg")).agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
-        nodes = kids.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("m").alias("nm"), F.sum("k").alias("nk"))
+    """``paths(host, path, parts, n, m, k)`` (urls, labelled, blocked) with ``template, purity``."""
+    tree = paths.withColumn("template", F.lit("")).withColumn("shut", F.lit(False))
+    longest = paths.agg(F.max(F.size("parts"))).first()[0] or 0
+    for level in range(1, longest + 1):
+        node, seg = ["host", "template"], F.get("parts", level - 1)
+        going = tree.where(~F.col("shut") & (F.size("parts") >= level))
+        kids = going.groupBy(*node, seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("k").alias("k"))
+        nodes = kids.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("nn"), F.sum("m").alias("nm"), F.sum("k").alias("nk"))
         m, k, rm, rk = F.col("m"), F.col("k"), F.col("nm") - F.col("m"), F.col("nk") - F.col("k")
         p, rest, pool = (k + 1) / (m + 2), (rk + 1) / (rm + 2), (F.col("nk") + 2) / (F.col("nm") + 4)
         same = (m > 0) & (rm > 0) & (F.abs(p - rest) < z * F.sqrt(pool * (1 - pool) * (1 / (m + 2) + 1 / (rm + 2))))
-        varies = F.col("seg").rlike("^[0-9]+$") | (F.col("kids") > max_children)
-        names = kids.join(nodes, node).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg"), F.when(varies | same, F.lit("*")).otherwise(F.col("seg")).alias("name"))
+        name = F.when(F.col("seg").rlike("^[0-9]+$") | same, F.lit("*")).when((m == 0) & (F.col("kids") > max_children), F.lit(UNLABELLED)).otherwise(F.col("seg"))
+        # Past ``depth`` a node goes on only while its urls can still get different verdicts.
+        shut = F.lit(level > depth) & ((F.col("nk") == 0) | (F.col("nm") == F.col("nn")))
+        names = kids.join(nodes, node).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), F.when(shut, F.lit("**")).otherwise(name).alias("name"), shut.alias("ends"))
         tree = (
-            tree.join(names, (tree["host"] == names["h"]) & (tree["template"] == names["t"]) & (seg == names["seg"]), "left")
+            tree.join(names, ~tree["shut"] & (tree["host"] == names["h"]) & (tree["template"] == names["t"]) & (F.get(tree["parts"], level - 1) == names["s"]), "left")
             .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))))
-            .drop("h", "t", "seg", "name")
+            .withColumn("shut", F.col("shut") | F.coalesce("ends", F.lit(False)))
+            .drop("h", "t", "s", "name", "ends")
         )
         tree = materialise(tree, "url-level")  # each level is read three times by the next
-    tree = tree.withColumn("template", F.concat("template", F.when(F.col("deeper"), F.lit("/**")).otherwise(F.lit(""))))
+        if level >= depth and tree.where(~F.col("shut") & (F.size("parts") > level)).isEmpty():
+            break
     sums = tree.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("k").alias("tk"))
     sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("tk") + 1) / (F.col("tm") + 2)).alias("purity"))
     return tree.join(sums, (tree["host"] == sums["h"]) & (tree["template"] == sums["t"])).drop("h", "t")
@@ -100,21 +112,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     found = longest_rule(F.col("host"), F.col("path"), rules)
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    keys = [f"s{i}" for i in range(1, depth + 1)]
-    rows = rows.withColumn("found", found).withColumn("parts", F.when(F.col("path") != "", parts).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), *[F.get("parts", i).alias(k) for i, k in enumerate(keys)], (F.size("parts") > depth).alias("deeper"))
+    rows = rows.withColumn("found", found).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"))
     blocked = F.sum((F.col("given") == "block").cast("long"))
-    paths = rows.groupBy("host", *keys, "deeper").agg(F.count("*").alias("n"), F.count("given").alias("m"), F.coalesce(blocked, F.lit(0)).alias("k"))
-    paths = materialise(paths, "url-paths")
-    judged = template_verdicts(paths, depth, max_children, z).select(*[F.col(c).alias(f"j_{c}") for c in ("host", *keys, "deeper")], "template", "purity")
-    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(judged[f"j_{c}"]) for c in ("host", *keys, "deeper")])
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("m"), F.coalesce(blocked, F.lit(0)).alias("k"))
+    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
+    paths = materialise(paths.withColumn("parts", F.when(F.col("path") != "", parts).otherwise(F.array().cast("array<string>"))), "url-paths")
+    judged = template_verdicts(paths, depth, max_children, z).select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), "template", "purity")
     verdict = F.coalesce("given", F.when(F.col("purity") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(judged, on).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(judged, (rows["host"] == judged["j_host"]) & (rows["path"] == judged["j_path"])).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def _sql(depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> str:
-    """The same filter for DuckDB, on the rows themselves instead of counts."""
+    """The filter for DuckDB, on the rows themselves: the same for up to ``max_children`` siblings and ``depth`` segments."""
     by_length = sorted(RULES, key=lambda r: (-len(r.text), r.text))
     case = lambda what: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'" for r in by_length) + " end"
     steps = [

@@ -198,6 +198,21 @@ def test_url_templates_learn_from_labels(spark):
 # 5. Licences
 
 
+@pytest.mark.parametrize("sections", [16, 17, 40])
+def test_urls_on_large_hosts(spark, sections):
+    clean = [f"http://www.example.com/s{i}/x{i}.html" for i in range(sections - 1)]
+    pages = spark.createDataFrame(list(enumerate(["http://www.example.com/de/a.html", *clean])), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert got == {0: "block"} | dict.fromkeys(range(1, sections), "allow")
+
+
+def test_urls_below_the_third_segment(spark):
+    rules = tuple(map(url_filter.parse_rule, ("block h/a/b/c/bad/x/1", "allow h/a/b/c/good/x/1")))
+    urls = [f"http://h/a/b/c/{kind}/x/{i}" for kind in ("bad", "good", "new") for i in range(10, 30)]
+    got = [r.verdict for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()]
+    assert got == ["block"] * 20 + ["allow"] * 40
+
+
 def test_licences(spark):
     files = [
         ("a/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("a/b/x", "no notice here"), ("a/b/c/y", "text\nReleased under the MIT License.\nmore text that goes on for a while and says other things"),
