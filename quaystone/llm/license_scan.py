@@ -1,13 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
 Each text is searched for its own notice: windows of one to three lines are compared
-with the templates by the cosine of TF-IDF vectors. Document frequencies of the
-templates' terms are counted over all texts; terms outside the templates weigh as
-much as a term seen once. A text that as a whole is near a template is a licence
-file and speaks for its directory. Texts without a notice inherit from the nearest
+with the templates by the cosine of TF-IDF vectors, windows as long as a header
+block with that block, and the whole text with the full texts in ``licenses/``.
+Document frequencies of the templates' terms are counted over all texts; terms
+outside the templates weigh as much as a term seen in no text. A text that as a whole is near a notice or a full text is a
+licence file and speaks for its directory. Texts without a notice inherit from the nearest
 directory above them that has such a file, by joins of directory paths.
 
-Only windows around anchor terms are compared: without one of a template's heaviest
+Whole texts are always compared, windows only around anchor terms: without one of a template's heaviest
 terms a window cannot reach the threshold (Cauchy's inequality on what is left), so
 this skips nothing.
 
@@ -22,9 +23,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
+from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,7 +53,45 @@ NOTICES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+def _gnu(what: str, kind: str, version: str) -> str:
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. "
+        f"You should have received a copy of the GNU {kind} Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+def _old(what: str, kind: str, version: str) -> list[str]:
+    """With the link, and with the post address of older files."""
+    text = _gnu(what, kind, version)
+    return [text, text.replace("If not, see <https://www.gnu.org/licenses/>.", "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")]
+
+
+# The blocks that licences ask for at the head of a source file.
+HEADERS = {
+    "AGPL-3.0": [_gnu("program", "Affero General", "3")],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ],
+    "GPL-1.0": _old("program", "General", "1"),
+    "GPL-2.0": _old("program", "General", "2"),
+    "GPL-3.0": [_gnu("program", "General", "3")],
+    "LGPL-2.0": _old("library", "Library General", "2"),
+    "LGPL-2.1": _old("library", "Lesser General", "2.1"),
+    "LGPL-3.0": [_gnu(what, "Lesser General", "3") for what in ("program", "library")],
+    "MPL-1.1": [
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF ANY KIND, "
+        "either express or implied. See the License for the specific language governing rights and limitations under the License."
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
 THRESHOLD, FILE_THRESHOLD = 0.75, 0.5
+#: A whole licence has so many common words that any long text is half like it.
+FULL_THRESHOLD = 0.9
 WINDOW_LINES = 3
 
 _TERM = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -63,6 +106,17 @@ def templates(notices: dict[str, list[str]] = NOTICES) -> list[tuple[str, Counte
     return [(name, Counter(terms(t))) for name in sorted(notices) for t in [*notices[name], f"SPDX-License-Identifier: {name}"]]
 
 
+def blocks(headers: dict[str, list[str]] = HEADERS) -> list[tuple[str, Counter]]:
+    """Names and term counts of the header blocks."""
+    return [(name, Counter(terms(t))) for name in sorted(headers) for t in headers[name]]
+
+
+@cache
+def full_texts() -> tuple[tuple[str, Counter], ...]:
+    """Names and term counts of the licences' full texts."""
+    return tuple((f.stem, Counter(terms(f.read_text("utf-8")))) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+
+
 @dataclass(frozen=True)
 class Matcher:
     """Templates as unit TF-IDF vectors, and the terms without which nothing matches."""
@@ -71,29 +125,83 @@ class Matcher:
     rare: float
     vectors: list[tuple[str, dict[str, float]]]
     anchors: frozenset[str]
+    #: Header blocks with their lengths in terms, their anchors, and full texts.
+    headers: tuple[tuple[str, dict[str, float], int], ...] = ()
+    header_anchors: frozenset[str] = frozenset()
+    full: tuple[str, ...] = ()
+    #: By term, its weight in each full text.
+    full_weights: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
 
     @classmethod
     def fitted(cls, counts: dict[str, int], n: int, notices: dict[str, list[str]] = NOTICES, threshold: float = FILE_THRESHOLD) -> Matcher:
         """From the number of texts ``n`` and those that hold each template term."""
         weigh = lambda df: math.log((n + 1) / (df + 1)) + 1
         rare = weigh(0)
-        idf = {t: weigh(counts.get(t, 0)) for _, c in templates(notices) for t in c}
-        vectors, anchors = [], set()
-        for name, c in templates(notices):
+        idf = {t: weigh(counts.get(t, 0)) for _, c in [*templates(notices), *blocks(), *full_texts()] for t in c}
+
+        def unit(c: Counter) -> dict[str, float]:
             v = {t: k * idf[t] for t, k in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
-            v = {t: x / norm for t, x in v.items()}
-            vectors.append((name, v))
-            left = 0.0
-            for t, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
+            return {t: x / norm for t, x in v.items()}
+
+        def needed(v: dict[str, float], least: float, order=lambda p: (p[1], p[0])) -> set[str]:
+            left, out = 0.0, set()
+            for t, x in sorted(v.items(), key=order):
                 left += x * x
-                if left >= threshold * threshold * 0.999:
-                    anchors.add(t)
-        return cls(idf, rare, vectors, frozenset(anchors))
+                if left >= least * least * 0.999:
+                    out.add(t)
+            return out
+
+        vectors = [(name, unit(c)) for name, c in templates(notices)]
+        headers = tuple((name, unit(c), c.total()) for name, c in blocks())
+        full = [unit(c) for _, c in full_texts()]
+        weights = {t: [(i, v[t]) for i, v in enumerate(full) if t in v] for t in set().union(*full)}
+        anchors = frozenset(set().union(*(needed(v, threshold) for _, v in vectors)))
+        header_anchors = frozenset(set().union(*(needed(v, THRESHOLD, lambda p: (idf[p[0]], p[0])) for _, v, _ in headers)))
+        return cls(idf, rare, vectors, anchors, headers, header_anchors, tuple(name for name, _ in full_texts()), weights)
+
+    def norm(self, counts: Counter) -> float:
+        return math.sqrt(sum((k * self.idf.get(t, self.rare)) ** 2 for t, k in counts.items()))
+
+    def whole(self, counts: Counter) -> tuple[str | None, float]:
+        """The nearest full text and its cosine, or zero if that is below the threshold for certain."""
+        known = self.full_weights.keys() & counts.keys()
+        norm = self.norm(counts)
+        # The part of the text's vector inside the templates' terms bounds every cosine.
+        if not known or sum((counts[t] * self.idf[t]) ** 2 for t in known) < (FULL_THRESHOLD * norm) ** 2 * 0.999:
+            return None, 0.0
+        scores = [0.0] * len(self.full)
+        for t in known:
+            x = counts[t] * self.idf[t]
+            for i, w in self.full_weights[t]:
+                scores[i] += x * w
+        score, i = max((x, -i) for i, x in enumerate(scores))
+        return self.full[-i], score / norm
+
+    def header(self, lines: list[Counter]) -> tuple[str | None, float]:
+        """The nearest header block and its cosine, over windows as long as each block."""
+        marked = [i for i, c in enumerate(lines) if not self.header_anchors.isdisjoint(c)]
+        ends = [0, *accumulate(c.total() for c in lines)]
+        spans: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for length in {n for _, _, n in self.headers}:
+            starts = {a for i in marked for a in range(bisect_left(ends, ends[i] - length + 1, 0, i), i + 1)}
+            for a in starts:
+                b = bisect_left(ends, ends[a] + length, a + 1)
+                spans[a, min(b, len(lines))].add(length)
+                spans[a, max(a + 1, min(b - 1, len(lines)))].add(length)
+        found = (None, 0.0)
+        for a, b in sorted(spans):
+            counts = sum(lines[a:b], Counter())
+            norm = self.norm(counts)
+            for name, v, n in self.headers if norm else ():
+                score = sum(k * self.idf[t] * v[t] for t, k in counts.items() if t in v) / norm if n in spans[a, b] else 0.0
+                if score > found[1] + 1e-12:
+                    found = name, score
+        return found
 
     def best(self, counts: Counter) -> tuple[str | None, float]:
         """The nearest template and its cosine."""
-        norm = math.sqrt(sum((k * self.idf.get(t, self.rare)) ** 2 for t, k in counts.items()))
+        norm = self.norm(counts)
         if not norm:
             return None, 0.0
         mine = {t: k * self.idf[t] / norm for t, k in counts.items() if t in self.idf}
@@ -103,7 +211,11 @@ class Matcher:
 
     def scan(self, text: str) -> tuple[str | None, float, bool]:
         """The notice of a text, its cosine, and whether the text is a licence file."""
-        if self.anchors.isdisjoint(terms(text)):
+        every = Counter(terms(text))
+        full = self.whole(every)
+        if full[1] >= FULL_THRESHOLD:
+            return *full, True
+        if self.anchors.isdisjoint(every) and self.header_anchors.isdisjoint(every):
             return None, 0.0, False
         lines = [Counter(terms(line)) for line in text.split("\n")]
         marked = [i for i, c in enumerate(lines) if not self.anchors.isdisjoint(c)]
@@ -113,8 +225,11 @@ class Matcher:
             name, score = self.best(sum(lines[a:b], Counter()))
             if score > found[1] + 1e-12:
                 found = name, score
-        name, score = self.best(sum(lines, Counter())) if len(lines) > 1 else found
+        name, score = self.best(every) if len(lines) > 1 else found
         whole = score >= FILE_THRESHOLD
+        block = self.header(lines)
+        if block[1] >= THRESHOLD and block[1] > found[1]:
+            return *block, whole
         if found[1] >= THRESHOLD:
             return found[0], found[1], whole
         return (name, score, True) if whole else (None, found[1], False)
@@ -122,7 +237,7 @@ class Matcher:
 
 def fit(texts: DataFrame, text_column: str = "text") -> Matcher:
     """A matcher with document frequencies over all rows; only the templates' terms are counted."""
-    known = frozenset(t for _, c in templates() for t in c)
+    known = frozenset(t for _, c in [*templates(), *blocks(), *full_texts()] for t in c)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -226,6 +228,30 @@ def test_licences(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_licence_texts_and_headers():
+    common = {t: 3000 for t in "the of to and a in or is that for this with by as any you not be are it from on".split()}
+    m = license_scan.Matcher.fitted(common, 10000)
+    rng = random.Random(4)
+    for name, _ in license_scan.full_texts():
+        text = (Path(license_scan.__file__).parent / "licenses" / f"{name}.txt").read_text("utf-8")
+        assert m.scan(f"Copyright (c) 2021 Jane Doe and contributors\n\n{text}")[::2] == (name, True)
+    for name, texts in license_scan.HEADERS.items():
+        for block in texts:
+            for width in (50, 76):
+                head = "\n".join(f" * {line}" for line in textwrap.wrap(block, width))
+                code = "\n".join(prose(rng, 9) for _ in range(60))
+                assert m.scan(f"/*\n * Copyright (C) 2020 Jane Doe\n *\n{head}\n */\n{code}")[::2] == (name, False), (name, width)
+    assert m.scan("the of to and a in or is that for this with by as any you not be are it\n" * 300)[0] is None
+
+
+def test_full_licence_file_is_inherited(spark):
+    mit = (Path(license_scan.__file__).parent / "licenses" / "MIT.txt").read_text("utf-8")
+    files = [("p/LICENSE", mit), ("p/src/main.c", "int main"), ("q/other.c", "int main")]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "file_id long, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(frame).collect()}
+    assert got == {"p/LICENSE": ("MIT", "own"), "p/src/main.c": ("MIT", "inherited"), "q/other.c": (None, None)}
+
+
 def test_anchors_skip_nothing():
     m = license_scan.Matcher.fitted({"the": 90, "license": 3}, 100)
     loose = license_scan.Matcher(m.idf, m.rare, m.vectors, frozenset(t for _, v in m.vectors for t in v))
