@@ -6,8 +6,10 @@ source with target ``T`` and size ``S`` is expected ``f = T / S`` times: it gets
 probability for one more. Those extra copies are a Pareto order sample: documents
 are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` drawn from the
 document's id, and the ranking is followed until the source's remaining words are
-used up. What remains after the last whole document that fits goes to the single
-left-out document whose size is nearest to it, if that brings the source closer.
+used up. Then it is followed further: documents too long for the words still
+missing are passed over, until none that is left fits. What remains goes to the
+single left-out document whose size is nearest to it, if that brings the source
+closer. The odds are one number within a source, so its ranking is that of ``u``.
 
 Defined results
     null text: size 0, nothing to take. Null source: a source of its own, last.
@@ -73,11 +75,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buckets: int = RANK_BUCKETS) -> DataFrame:
+def refill(left: DataFrame, gaps: DataFrame, send) -> tuple[DataFrame | None, DataFrame]:
+    """Goes on down the ranking of ``left(source, u, bucket, words)`` while anything fits.
+
+    ``gaps(m_source, missing)`` are the words each source still misses. Returns the
+    groups taken, as ``source, u`` (None if none), and the gaps that remain. A round
+    takes what fits before the first group that does not; that one is longer than
+    what is missing from then on, so it is never looked at again.
+    """
+    same = F.col("source").eqNullSafe(F.col("m_source"))
+    gaps, taken = gaps.withColumn("after", F.lit(-1.0)), None
+    while True:
+        fitting = left.join(send(gaps), same).where((F.col("words") > 0) & (F.col("words") <= F.col("missing")) & (F.col("u") > F.col("after")))
+        fitting = materialise(fitting.select("source", "u", "bucket", "words", "missing"), "mix-fitting")
+        if fitting.isEmpty():
+            return taken, gaps.select("m_source", "missing")
+        parts = fitting.groupBy("source", "bucket").agg(F.sum("words").alias("w"), F.first("missing").alias("missing"))
+        edge = (
+            parts.withColumn("upto", F.sum("w").over(Window.partitionBy("source").orderBy("bucket")))
+            .where(F.col("upto") > F.col("missing"))
+            .groupBy("source")
+            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("w")).alias("before"))).alias("edge"))
+            .select(F.col("source").alias("e_source"), F.col("edge.bucket").alias("e_bucket"), F.col("edge.before").alias("e_before"))
+        )
+        placed = fitting.join(send(edge), F.col("source").eqNullSafe(F.col("e_source")), "left")
+        at_edge = F.col("bucket").eqNullSafe(F.col("e_bucket"))
+        rank = Window.partitionBy("source").orderBy("u")
+        inside = placed.where(at_edge).withColumn("fits", F.col("e_before") + F.sum("words").over(rank) <= F.col("missing"))
+        before = placed.where(~at_edge & (F.col("e_bucket").isNull() | (F.col("bucket") < F.col("e_bucket")))).withColumn("fits", F.lit(True))
+        got = materialise(before.unionByName(inside).where("fits").select("source", "u", "words"), "mix-refill")
+        sums = got.groupBy(F.col("source").alias("g_source")).agg(F.sum("words").alias("got"), F.max("u").alias("last"))
+        gaps = gaps.join(send(sums), F.col("m_source").eqNullSafe(F.col("g_source")), "left")
+        gaps = gaps.select("m_source", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing"), F.coalesce("last", "after").alias("after"))
+        gaps = materialise(gaps, "mix-gaps")
+        taken = got.select("source", "u") if taken is None else taken.unionByName(got.select("source", "u"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buckets: int = RANK_BUCKETS, further: bool = True) -> DataFrame:
     """Per row of ``docs(doc_id, text, source)``: ``doc_id, size, source_size, target, copies, taken``.
 
     ``copies`` is how often the mix takes the document (0 to ``cap``) and ``taken``
-    the words of these copies.
+    the words of these copies. Without ``further`` the ranking ends at the first
+    document that does not fit, as in the SQL.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u"))
     sized = materialise(sized.withColumn("bucket", F.floor(F.col("u") * buckets)), "mix-sizes")
@@ -117,11 +156,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buc
         .drop("key")
     )
     outside = placed.where(~at_edge).withColumn("fits", F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")))
-    chosen = materialise(outside.unionByName(inside).withColumn("fits", F.col("fits") & (F.col("odds") > 0)).drop("bucket", "edge_bucket", "edge_before"), "mix-ranked")
+    chosen = materialise(outside.unionByName(inside).withColumn("fits", F.col("fits") & (F.col("odds") > 0)).drop("edge_bucket", "edge_before"), "mix-ranked")
 
     # The words still missing, and the one document that comes nearest to them.
     used = chosen.groupBy("source").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"), F.first("rest").alias("rest"))
     used = used.select(F.col("source").alias("m_source"), (F.col("rest") - F.col("used")).alias("missing"))
+    if further:
+        used = materialise(used, "mix-gaps")
+        left = chosen.where(~F.col("fits") & (F.col("odds") > 0)).join(send(used), F.col("source").eqNullSafe(F.col("m_source")))
+        left = left.where((F.col("size") > 0) & (F.col("size") <= F.col("missing"))).groupBy("source", "u", "bucket").agg(F.sum("size").alias("words"))
+        more, used = refill(materialise(left, "mix-left"), used, send)
+        if more is not None:
+            more = more.select(F.col("source").alias("t_source"), F.col("u").alias("t_u"))
+            chosen = chosen.join(more, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("u") == F.col("t_u")), "left")
+            chosen = materialise(chosen.withColumn("fits", F.col("fits") | F.col("t_u").isNotNull()).drop("t_source", "t_u"), "mix-ranked")
     miss = F.abs(F.col("missing") - F.col("size"))
     last = (
         chosen.where(~F.col("fits") & (F.col("odds") > 0))

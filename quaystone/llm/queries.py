@@ -52,7 +52,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read_table(spark, sf_dir, "documents"), further=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,6 +403,18 @@ def test_mixing(spark, docs, none, rows):
     assert ordered(several) == ordered(got)
 
 
+def test_a_long_document_does_not_end_the_ranking(spark):
+    sources = {f"long{i}": [(1000 * i + j, 10) for j in range(100)] + [(1000 * i + 999, 300)] for i in range(12)}
+    rows = [(k, " ".join(["w"] * n), s) for s, found in sources.items() for k, n in found]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def worst(**rule):
+        got = {r.doc_id: r for r in mixing.mix(docs, weights=(2, 1), **rule).collect()}
+        return max(abs(sum(got[k].taken for k, _ in found) - got[found[0][0]].target) for found in sources.values())
+
+    assert worst() <= 10 < worst(further=False)
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 400), (None, 90)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
