@@ -24,8 +24,11 @@ Defined results
     null text: as the empty text. Documents without words are in a class only with
     documents of the very same text. Documents of fewer than five words have all
     their words as one shingle. A class id is the least doc_id of the class (null if
-    all its ids are null); rows without id get the class of their text. Repeated rows
-    share a class. Empty table: empty result. Other columns are ignored.
+    all its ids are null); rows without id get the class of their text. Rows are told
+    apart by a number of their own, so one id may have several texts, each with its
+    class, and any number of rows may be without id. Repeated rows share a class.
+    Empty table: empty result. Other columns, of any name, are carried along by
+    `keep_one` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import block_pairs, components, dealt, materialise, text_batches, whole_groups
+from quaystone.llm.shared import blocked, components, dealt, materialise, paired, spread_join, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,33 +160,43 @@ def short(sig: np.ndarray) -> np.ndarray:
     return (mix(sig) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+#: What a sketch adds to a row. The row's own columns are called c0, c1, ... meanwhile.
+SKETCH = "node binary, sig binary, bands array<bigint>"
 
-    def made(ids: list, docs: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+
+def _sketcher(text: int):
+    """Adds the columns of `SKETCH` to batches whose texts are in column ``text``."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, size, begin = [], 0, 0
+            for k, value in enumerate(batch.column(text)):
+                docs.append(document(value.as_py()))
+                size += len(docs[-1][1]) + 64
+                if size > 200_000 or k == batch.num_rows - 1:
+                    yield with_sketches(batch.slice(begin, len(docs)), docs)
+                    docs, size, begin = [], 0, k + 1
+
+    def with_sketches(batch: pa.RecordBatch, docs: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
         distinct = [np.unique(s, return_counts=True) for _, s in docs]
         owner = np.repeat(np.arange(len(docs)), [len(d[0]) for d in distinct])
         sig = signatures(np.concatenate([d[0] for d in distinct]), np.concatenate([d[1] for d in distinct]), owner, len(docs))
-        bands, some = band_keys(sig), [len(d[0]) > 0 for d in distinct]
-        lists = [b if s else [] for b, s in zip(bands, some, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k for k, _ in docs], pa.binary()), pa.array([r.tobytes() for r in short(sig)], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+        bands = [b if len(d[0]) else [] for b, d in zip(band_keys(sig), distinct, strict=True)]
+        made = [pa.array([k for k, _ in docs], pa.binary()), pa.array([r.tobytes() for r in short(sig)], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "node", "sig", "bands"])
 
-    ids, docs, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(key)
-            docs.append(document(text.as_py()))
-            size += len(docs[-1][1]) + 64
-            if size > 200_000:
-                yield made(ids, docs)
-                ids, docs, size = [], [], 0
-    if ids:
-        yield made(ids, docs)
+    return sketch
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, sig, bands`` per row of ``docs(doc_id, text)``."""
-    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id bigint, node binary, sig binary, bands array<bigint>")
+    """The rows of ``docs(doc_id, text, ...)``, columns renamed to c0, c1, ..., with `SKETCH` and a number ``row``.
+
+    Written once: the numbers must not change, and the texts are read again from it.
+    """
+    carried = [f"c{i}" for i in range(len(docs.columns))]
+    schema = ", ".join([*(f"{c} {t}" for c, (_, t) in zip(carried, docs.dtypes, strict=True)), SKETCH])
+    made = docs.toDF(*carried).mapInArrow(_sketcher(docs.columns.index("text")), schema)
+    return materialise(made.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
 
 
 def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -225,13 +238,10 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(table, np.concatenate(left), np.concatenate(right))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``node, component``: clusters of ``nodes(node, sig, bands)`` that may hold links."""
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("full"))
-    members = members.join(full, F.col("bucket") == F.col("full")).drop("full")
-    members = members.join(nodes.select(F.col("node").alias("s_node"), "sig"), F.col("node") == F.col("s_node")).drop("s_node")
-    edges = dealt(block_pairs(members, "bucket", "node", BUCKET_ROWS), "g").mapInArrow(_agreeing, "a binary, b binary")
+def candidates(nodes: DataFrame, total: int) -> DataFrame:
+    """``node, component``: clusters of the ``total`` rows ``nodes(node, sig, bands)`` that may hold links."""
+    members = blocked(nodes.select("node", F.explode("bands").alias("bucket")), "bucket", "node", BUCKET_ROWS, BANDS * total)
+    edges = dealt(paired(members.join(nodes.select("node", "sig"), "node"), "bucket"), "g").mapInArrow(_agreeing, "a binary, b binary")
     return components(edges, "near-candidates")
 
 
@@ -268,49 +278,52 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements of the documents whose text is still that of their node."""
+    """Texts (the first column) as their elements."""
     for batch in batches:
-        kept, sets = [], []
-        for k, (text, node) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-            own, shingles = document(text.as_py())
-            if own == node.as_py():
-                kept.append(k)
-                sets.append(elements(shingles).tobytes())
-        part = batch.take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(sets, pa.binary())], names=["node", "cluster", "elements"])
+        sets = [elements(document(text.as_py())[1]).tobytes() for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "elements"])
 
 
-def links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """A spanning forest ``a, b`` of all verified links inside ``clusters(node, cluster, doc_id)``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    rows = texts.join(clusters, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("text", "node", "cluster")
-    rows = rows.mapInArrow(_contents, "node binary, cluster binary, elements binary")
-    return dealt(block_pairs(rows, "cluster", "node", CLUSTER_ROWS), "g").mapInArrow(_linked, "a binary, b binary")
+def links(texts: DataFrame, clusters: DataFrame, total: int) -> DataFrame:
+    """A spanning forest ``a, b`` of all verified links inside the ``total`` rows ``clusters(node, cluster, row)``; ``texts(row, text)``."""
+    rows = texts.join(blocked(clusters, "cluster", "node", CLUSTER_ROWS, total), "row").select("text", "node", "cluster", "blocks", "block")
+    rows = rows.mapInArrow(_contents, "node binary, cluster binary, blocks int, block int, elements binary")
+    return dealt(paired(rows, "cluster"), "g").mapInArrow(_linked, "a binary, b binary")
+
+
+def classed_nodes(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``node, n, class_node, best`` of the `sketches` ``rows``.
+
+    ``n`` is the number of rows, ``class_node`` names the class, and ``best`` is the
+    node's least ``doc_id`` (``id``, null last) with its first row (``row``).
+    """
+    best = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), "row")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes, "near-nodes")
+    total = nodes.count()
+    ids = nodes.select("node", "n", "best")
+    found = materialise(candidates(nodes.select("node", "sig", "bands"), total), "near-clusters")
+    clusters = found.withColumnRenamed("component", "cluster").join(ids, "node").select("node", "cluster", F.col("best.row").alias("row"))
+    parts = components(links(rows.select("row", F.col(text).alias("text")), clusters, total), "near-links")
+    return ids.join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class_node"), "best")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs(doc_id, text)``."""
-    rows = materialise(sketches(docs), "near-sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    found = candidates(nodes.select("node", "sig", "bands"))
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    clusters = found.select(F.col("node").alias("c_node"), F.col("component").alias("cluster")).join(ids, F.col("c_node") == F.col("node")).select("node", "cluster", "doc_id")
-    parts = components(links(docs, clusters), "near-links").withColumnRenamed("node", "p_node")
-    placed = ids.join(parts, ids["node"] == parts["p_node"], "left").drop("p_node")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "of")
-    named = placed.join(least, placed["component"] == least["of"], "left").select(F.col("node").alias("n_node"), F.coalesce("least", "doc_id").alias("class_id"))
-    return rows.select("doc_id", "node").join(named, F.col("node") == F.col("n_node")).select("doc_id", "class_id")
+    rows = sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    nodes = materialise(classed_nodes(rows, "c0", "c1"), "near-classed")
+    # Sums are made before the shuffle, and large classes and nodes are spread out.
+    least = nodes.groupBy("class_node").agg(F.min("best").alias("least"), F.count("*").alias("members"))
+    counted = nodes.agg(F.count("*"), F.sum("n")).first()
+    named = spread_join(nodes.drop("best"), "class_node", least, "members", counted[0]).select("node", "n", F.col("least.id").alias("class_id"))
+    named = materialise(named, "near-named")
+    return spread_join(rows.select(F.col("c0").alias("doc_id"), "node"), "node", named, "n", counted[1] or 0).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, the one whose id names the class.
-
-    Rows of one id are told apart by their text; repeated rows are kept once.
-    """
-    found = classes(docs)
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg((F.count("*") > 1).alias("many")).withColumnRenamed("doc_id", "keep_id")
-    keepers = materialise(keepers, "near-kept")
-    kept = lambda k: docs.alias("d").join(k.select("keep_id").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.keep_id")), "left_semi")
-    if keepers.where("many").isEmpty():
-        return kept(keepers)
-    return kept(keepers.where("not many")).unionByName(kept(keepers.where("many")).dropDuplicates(["doc_id", "text"]))
+    """``docs`` with one row of each class, the first one of the class's least id (null last)."""
+    columns = docs.columns
+    rows = sketches(docs)
+    nodes = classed_nodes(rows, f"c{columns.index('doc_id')}", f"c{columns.index('text')}")
+    kept = nodes.groupBy("class_node").agg(F.min("best").alias("best")).select("best.row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

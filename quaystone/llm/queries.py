@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import ann, bpe, license_scan, media, mixing, near_dup, quality, suffix_dedup, url_filter, warc
-from quaystone.llm.shared import materialise, read_table
+from quaystone.llm.shared import materialise, read_table, small_batches
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.cut(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("cut.removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
-    return done.select("doc_id", "cut.n_bytes", removed.alias("n_removed"), F.size("cut.removed").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+    kept = F.try_validate_utf8(F.col("cut.kept").cast("string"))  # null where a cut parts a character
+    return done.select("doc_id", "cut.n_bytes", removed.alias("n_removed"), F.size("cut.removed").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"), kept.alias("kept_text"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), further=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +61,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
+    return {f.__name__: _with_small_batches(f) for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

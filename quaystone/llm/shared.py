@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,14 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share.
+    """A fresh path in the folder that all executors share, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (local tests) a temporary folder of this machine is taken.
+    It has to be set (tests set their own): a folder of this machine would not be seen elsewhere.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "quaystone-scratch")
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -44,15 +41,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df`` as it is; its session sends smaller batches from now on if it sent larger ones."""
-    conf = df.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Limits the batches of a session that runs whole texts; for applications (queries, stages), no operator calls it."""
     for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        held = re.fullmatch(r"(\d+)b?", conf.get(key))
+        held = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
         if not held or not 0 < int(held[1]) <= most:
-            conf.set(key, str(most))
-    return df
+            spark.conf.set(key, str(most))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least_bytes: int = 8 << 20) -> Iterator[pa.Table]:
@@ -80,21 +75,43 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def block_pairs(df: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
-    """Deal each group out so that any two members meet in some part ``g``.
+#: Keys with more than 1 / HOT_KEYS of the rows are hot; there are fewer than HOT_KEYS of
+#: them, so their rows of a table with one row per key can be sent to all tasks.
+HOT_KEYS, HOT_ROWS = 20_000, 1000
 
-    Groups of up to ``block_rows`` members are one part. Larger ones are cut into
-    blocks by the members' hash, and each pair of blocks is a part of its own.
+
+def spread_join(rows: DataFrame, key: str, table: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key`` and in ``size`` how many rows hold that key.
+
+    Rows of hot keys meet a broadcast of fewer than ``HOT_KEYS`` rows where they are;
+    only the others are shuffled, so no task gets more of a key than that share.
+    ``total`` is at least the sum of ``size``. ``key`` must not be null in ``table``.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    heavy = F.broadcast(table.where(F.col(size) > limit).drop(size))
+    near = rows.join(heavy.select(F.col(key).alias("_hot")), F.col(key) == F.col("_hot"), "left")
+    hot = near.where("_hot is not null").drop("_hot").join(heavy, key)
+    return hot.unionByName(near.where("_hot is null").drop("_hot").join(table.where(F.col(size) <= limit).drop(size), key, how))
+
+
+def blocked(df: DataFrame, group: str, member: str, block_rows: int, total: int) -> DataFrame:
+    """``df`` without groups of one, with ``blocks`` of its group and its own ``block`` for `paired`.
+
+    ``total`` is at least the number of rows.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
+    return spread_join(df, group, sizes, "members", total).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+
+
+def paired(df: DataFrame, group: str) -> DataFrame:
+    """Deals each group of a `blocked` table out so that any two members meet in some part ``g``.
+
+    A group of one block is one part; of larger ones each pair of blocks is a part of its own.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed(group, "sized")
-    blocks = F.ceil(F.col("members") / block_rows).cast("int")
     return (
-        df.join(sizes, F.col(group) == F.col("sized"))
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("g", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
-        .drop("sized", "members", "blocks", "block", "other")
+        .drop("blocks", "block", "other")
     )
 
 
@@ -102,7 +119,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """``node, component`` (its least node) for every node of ``edges(a, b)``.
 
     Alternates large-star and small-star steps until nothing moves. Each step is
-    aggregations and joins on the nodes; every round is written to the shared folder.
+    aggregations and joins on the nodes, with hubs spread out (`spread_join`); every
+    round is written to the shared folder.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -112,10 +130,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("n"), "m")
-        large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(lower, large["a"] == lower["n"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), label)
+        large = spread_join(both, "a", least, "degree", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialise(large, label)
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = spread_join(large, "a", lower, "degree", 2 * before[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), label)
         now = mark(edges)
         if now == before:
