@@ -1,7 +1,9 @@
 """Removal of long passages that occur more than once, with a difference cover.
 
-Texts are strings of bytes. A start is repeated if the ``length`` bytes from it also
-start anywhere else; every byte covered by such a string goes.
+Texts are strings of symbols: their bytes, or (``by_words``) their words, runs without
+ASCII white space. A start is repeated if the ``length`` symbols from it also start
+anywhere else; every symbol covered by such a string goes, and with words the white
+space between them. What follows speaks of bytes; with words all is counted in words.
 
 The difference cover makes this affordable. Positions whose offset modulo ``v`` lies
 in the cover are sampled (about one in eleven); for any two starts there is a shift
@@ -27,15 +29,18 @@ only preselect, 32 within their range).
 
 Defined results
     null text: as the empty text, nothing to remove. Texts shorter than ``length``
-    stay whole. Repeated rows are copies: both are removed if long enough. Empty
+    stay whole. White space at the ends of a removed run of words stays. Repeated rows are copies: both are removed if long enough. Empty
     table: empty result. All columns are carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import text_batches
-
 LENGTH = 400
+#: Passages of at least so many words are repeats where texts are strings of words.
+PASSAGE_WORDS = 50
 UNIT_BYTES = 3 << 20
 #: Bytes of input for each range of names; a range's names are sorted in one task.
 NAME_RANGE, PREFIX_RANGE = 24 << 20, 4 << 20
@@ -88,10 +93,41 @@ def ranges(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class Rolling:
+    """Fingerprints of all substrings of an array of numbers."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.down = powers(pow(_BASE, -1, 1 << 64), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(_BASE, n + 1)[:-1], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * self.down[begin])
+
+
+def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of texts that lie one after the other, ``cuts`` being their starts and the end."""
+    inside = np.concatenate([~_BLANK[data], [False]])
+    before = np.concatenate([[False], inside[:-1]])
+    before[cuts] = False  # a word ends with its text
+    begin = np.flatnonzero(inside & ~before)
+    after = np.concatenate([inside[1:], [False]])
+    after[cuts[1:] - 1] = False
+    return begin, np.flatnonzero(inside & ~after) + 1
+
+
 class Unit:
-    """The distinct texts of a unit that are long enough, as one array with rolling fingerprints."""
+    """The distinct texts of a unit that are long enough, as one string of symbols with rolling fingerprints.
+
+    ``starts`` are where texts start among the symbols; symbol ``i`` is the bytes from
+    ``begin[i]`` to ``end[i]`` of its text (both None where symbols are bytes).
+    """
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, by_words: bool = False):
         self.length, (self.v, self.cover) = length, difference_cover(length)
         found: dict[bytes, int] = {}
         self.copies: list[int] = []
@@ -107,16 +143,22 @@ class Unit:
                 self.copies.append(0)
             self.copies[k] += 1
             self.of_row.append(k)
-        self.docs = docs
         self.starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
         data = np.frombuffer(b"".join(docs), np.uint8)
-        self.down = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[data] * powers(_BASE, len(data) + 1)[:-1], out=self.sums[1:])
+        self.begin = self.end = None
+        self.symbols = Rolling(_LETTERS[data])
+        if by_words:
+            begin, end = words_of(data, self.starts)
+            self.symbols = Rolling(self.symbols.of(begin, end) | np.uint64(1))
+            of = np.searchsorted(self.starts, begin, "right") - 1
+            self.begin, self.end = begin - self.starts[of], end - self.starts[of]
+            self.starts = np.searchsorted(begin, self.starts)
+        enough = np.diff(self.starts) >= length
+        self.of_row = [k if k >= 0 and enough[k] else -1 for k in self.of_row]
         self.whole = np.array([xxhash.xxh3_64_intdigest(d) for d in docs], np.uint64)
 
     def names(self, at: np.ndarray, size: int) -> np.ndarray:
-        return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
+        return self.symbols.of(at, at + size)
 
     def sampled(self) -> np.ndarray:
         """All positions of the cover that hold a whole tuple."""
@@ -132,12 +174,12 @@ class Unit:
         low = np.maximum(sampled - self.v + 1, self.starts[doc])
         high = np.minimum(sampled, self.starts[doc + 1] - self.length)
         good = (low <= high) & ~skip[doc]
-        n = len(self.sums)
+        n = len(self.symbols.sums)
         return np.flatnonzero(np.cumsum(np.bincount(low[good], minlength=n) - np.bincount(high[good] + 1, minlength=n + 1)[:n]) > 0)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """Which bytes lie in a string of ``length`` bytes from one of the ``starts``."""
-        n = len(self.sums)
+        n = len(self.symbols.sums)
         return np.cumsum(np.bincount(starts, minlength=n) - np.bincount(starts + self.length, minlength=n)[:n])[:-1] > 0
 
 
@@ -223,14 +265,14 @@ def _asked_table(unit: int, *asked: Asked) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_bytes: int = UNIT_BYTES, as_text: bool = False, result: str = "cut") -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_bytes: int = UNIT_BYTES, as_text: bool = False, result: str = "cut", by_words: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``n_bytes, removed, kept`` as a struct ``result``.
 
-    ``removed`` are the maximal runs of removed bytes as (begin, end), ``kept`` the
-    bytes that stay (``as_text``: as a string, without what is no whole character).
-    The struct's column is put last.
+    ``length`` is in bytes, or in words if ``by_words``. ``removed`` are the maximal
+    runs of removed bytes as (begin, end), ``kept`` the bytes that stay (``as_text``:
+    as a string, without what is no whole character). The struct's column is put last.
     """
-    total = text_batches(docs).agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
     name_parts, prefix_parts = max(1, -(-total // NAME_RANGE)), max(1, -(-total // PREFIX_RANGE))
     columns, at = docs.columns, docs.columns.index(text_column)
@@ -239,28 +281,34 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
     rows = docs.toDF(*carried).withColumn("unit", F.pmod(F.xxhash64(*[c for c in carried if dict(zip(carried, [t for _, t in docs.dtypes], strict=True))[c] in ("bigint", "int", "string")]), F.lit(units)).cast("int"))
 
     def first(table: pa.Table) -> pa.Table:
-        step = SampledNames(Unit(_texts(table, text), length), name_parts)
+        step = SampledNames(Unit(_texts(table, text), length, by_words), name_parts)
         return _asked_table(table["unit"][0].as_py(), step.whole, step.tuples)
 
     def second(table: pa.Table, replies: pa.Table) -> pa.Table:
-        unit = Unit(_texts(table, text), length)
+        unit = Unit(_texts(table, text), length, by_words)
         _, starts = SampledNames(unit, name_parts).verdict(replies.to_pylist())
         number = table["unit"][0].as_py() if len(table) else -1
         return _asked_table(number, PrefixNames(unit, starts, prefix_parts).asked)
 
     def third(table: pa.Table, replies: pa.Table) -> pa.Table:
         texts, told = _texts(table, text), replies.to_pylist()
-        unit = Unit(texts, length)
+        unit = Unit(texts, length, by_words)
         copied, starts = SampledNames(unit, name_parts).verdict(told)
         gone = unit.covered(PrefixNames(unit, starts, prefix_parts).repeated(told))
         n, begins, ends, kept = [], [], [], []
         for k, data in zip(unit.of_row, texts, strict=True):
-            mask = np.zeros(len(data), bool) if k < 0 else np.ones(len(data), bool) if copied[k] else gone[unit.starts[k] : unit.starts[k + 1]]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+            begin = end = np.zeros(0, np.int64)
+            if k >= 0:
+                a, b = unit.starts[k], unit.starts[k + 1]
+                mask = np.ones(b - a, bool) if copied[k] else gone[a:b]
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+                begin, end = edges[::2], edges[1::2]
+                if by_words:
+                    begin, end = unit.begin[a + begin], unit.end[a + end - 1]
             n.append(len(data))
-            begins.append(edges[::2])
-            ends.append(edges[1::2])
-            left = np.frombuffer(data, np.uint8)[~mask].tobytes()
+            begins.append(begin)
+            ends.append(end)
+            left = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
             kept.append(left.decode(errors="ignore") if as_text else left)
         table = table.select([*carried])
         longs = pa.list_(pa.int64())
@@ -279,10 +327,10 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
     return done.select(*[F.col(c).alias(name) for c, name in zip(carried, columns, strict=True)], whole)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``.
+def remove_repeats(docs: DataFrame, length: int = PASSAGE_WORDS, by_words: bool = True) -> DataFrame:
+    """``docs`` with repeated passages of ``length`` words (or bytes) and more taken out of ``text``.
 
-    Cuts go by bytes; parts of a character that are left at an edge are dropped.
+    Where symbols are bytes, parts of a character that are left at an edge are dropped.
     ``n_chars``, where it is a column, is that of the new text.
     """
     name = "cut"
@@ -292,7 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     changed = {"text": F.when(F.col("text").isNotNull(), new)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
-    return cut(docs, length, as_text=True, result=name).select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return cut(docs, length, as_text=True, result=name, by_words=by_words).select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:
@@ -310,3 +358,21 @@ def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:
         kept = bytes(b for b, m in zip(t, mask, strict=True) if not m)
         out.append((sum(mask), len([s for s in bytes(mask).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def brute_force_words(texts: list[bytes], length: int) -> list[bytes]:
+    """What is kept of a few small texts whose symbols are words."""
+    words = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    strings = [[tuple(w for _, _, w in found[i : i + length]) for i in range(len(found) - length + 1)] for found in words]
+    seen = Counter(chain.from_iterable(strings))
+    out = []
+    for t, found, own in zip(texts, words, strings, strict=True):
+        gone = {k for i, string in enumerate(own) if seen[string] > 1 for k in range(i, i + length)}
+        left, at = [], 0
+        for k, (a, b, _) in enumerate(found):
+            if k in gone:
+                if k - 1 not in gone:
+                    left.append(t[at:a])
+                at = b
+        out.append(b"".join([*left, t[at:]]))
+    return out
