@@ -1,36 +1,45 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words (`source_targets`). A document of a
-source with target ``T`` and size ``S`` is expected ``f = T / S`` times: it gets
-``floor(f)`` certain whole copies, and the fraction ``frac(f)`` is its inclusion
-probability for one more. Those extra copies are a Pareto order sample: documents
-are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` drawn from the
-document's id, and the ranking is followed until the source's remaining words are
-used up. Then it is followed further: documents too long for the words still
-missing are passed over, until none that is left fits. What remains goes to the
-single left-out document whose size is nearest to it, if that brings the source
-closer. The odds are one number within a source, so its ranking is that of ``u``.
+Every source gets a target number of words (`source_targets`). A source with target
+``T`` and size ``S`` gives ``floor(T / S)`` certain whole copies of each document; what
+is left of the target is drawn as one more copy of some documents, with unequal
+probabilities in proportion to their sizes, ``p = c * size``. ``c`` is set so that the
+expected words are those left; documents with ``c * size >= 1`` are certain of their
+copy, too. The others are a Pareto order sample: they are ranked by
+``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` drawn from the document's id.
+
+The size of the sample is fixed in words, as the target is: the ranking is followed
+until the words run out. Then it is followed further: documents too long for the words
+still missing are passed over, until none that is left fits. What remains goes to the
+single left-out document whose size is nearest to it, if that brings the source closer.
+
+Whether a document is taken depends on its source, size and key alone, so the plan is
+a few numbers per source and the short list of documents taken past the cut.
 
 Defined results
     null text: size 0, nothing to take. Null source: a source of its own, last.
-    Null ids draw one common random number. Repeated rows and ties (equal id) are
-    ranked alike, so they are taken or left together. Empty table: empty result.
-    Other columns of the input are ignored.
+    Null ids draw one common random number. Rows that are tied (equal id, source and
+    size), repeated rows among them, are taken or left together, each on its own count.
+    Empty table: empty result. Other columns are carried along by `mixed_documents`
+    and ignored otherwise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.llm.shared import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The range of the random numbers is cut into so many parts, so that the ranking
-#: of a hot source is a set of sums and one small part, never one task.
-RANK_BUCKETS = 4096
-#: Rows per source are sent to all tasks up to so many sources; beyond, they are joined.
-SENT_SOURCES = 20_000
+#: Parts of the ranking per doubling of the key: the ranking of a hot source is a set
+#: of sums and the one part in which its words run out, never one task. Cuts lie
+#: near a key of one, where a part is about a two-thousandth of the source.
+RANK_PARTS = 512
+#: Rows per source are sent to all tasks up to so many; beyond, they are joined.
+SENT_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,161 +53,195 @@ def uniform(id_column: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
+def sender(rows: int):
+    """Marks tables of at most ``rows`` rows for broadcast, if that is within `SENT_ROWS`; else joins shuffle."""
+    return F.broadcast if rows <= SENT_ROWS else lambda df: df
+
+
+def same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """``df`` with its place in ``order``, from 0: more than `SENT_ROWS` rows are sorted in ranges, which are counted and then numbered each."""
+    if df.count() <= SENT_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    df = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "mix-order")
+    parts = df.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return df.withColumn(name, place).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """Targets for ``sizes(source, source_size)``: ``source, source_size, target``.
 
     Sources in code-point order (null last) take the weights in turn. The words of
     all sources are shared out by weight; a target stops at ``cap`` times the
-    source's size and the excess is shared again by weight. That fixed point has
-    a closed form: sources sorted by ``cap * size / weight`` are capped up to the
-    first one whose share of what is left stays within its cap.
+    source's size and the excess is shared again by weight among the others, until
+    none is above. Each round is one sum over the sources that are still free.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_level = Window.orderBy("level", "turn")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    turn = F.row_number().over(by_name) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
-    ranked = (
-        sizes.withColumn("turn", turn)
-        .withColumn("weight", weight.cast("long"))
-        .withColumn("most", F.col("source_size") * cap)
-        .withColumn("level", F.col("most").cast("double") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("words_left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("share", F.col("words_left").cast("double") / F.col("weight_left"))
-        .withColumn("free", F.col("level") >= F.col("share"))
-        .withColumn("water", F.min(F.when(F.col("free"), F.struct("level", "turn", "share"))).over(everything)["share"])
-    )
-    target = F.least(F.col("most").cast("double"), F.col("weight") * F.coalesce(F.col("water"), F.lit(float("inf"))))
+    ranked = numbered(sizes, "turn", [F.col("source").asc_nulls_last()])
+    ranked = materialise(ranked.withColumn("weight", weight.cast("long")).withColumn("most", (F.col("source_size") * cap).cast("decimal(38,0)")), "mix-sources")
+    level, water = F.col("most").cast("double") / F.col("weight"), None
+    while True:
+        full = F.lit(False) if water is None else level < water
+        total, taken, left, free = ranked.agg(F.sum(F.col("source_size").cast("decimal(38,0)")), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(~full)).first()
+        share = float(total - (taken or 0)) / float(left) if free else float("inf")
+        if water == share or not free:
+            break
+        water = share
+    target = F.least(F.col("most").cast("double"), F.col("weight") * F.lit(share))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def refill(left: DataFrame, gaps: DataFrame, send) -> tuple[DataFrame | None, DataFrame]:
-    """Goes on down the ranking of ``left(source, u, bucket, words)`` while anything fits.
+def inclusion(sized: DataFrame, targets: DataFrame, send) -> DataFrame:
+    """Per source ``whole`` copies, the words ``rest`` to be drawn, the factor ``c`` and the size ``sure`` from which a document is certain.
 
-    ``gaps(m_source, missing)`` are the words each source still misses. Returns the
-    groups taken, as ``source, u`` (None if none), and the gaps that remain. A round
-    takes what fits before the first group that does not; that one is longer than
-    what is missing from then on, so it is never looked at again.
+    Sizes from the largest down are certain while the factor of the others would
+    give them a probability of one; sums over distinct sizes decide.
     """
-    same = F.col("source").eqNullSafe(F.col("m_source"))
-    gaps, taken = gaps.withColumn("after", F.lit(-1.0)), None
-    while True:
-        fitting = left.join(send(gaps), same).where((F.col("words") > 0) & (F.col("words") <= F.col("missing")) & (F.col("u") > F.col("after")))
-        fitting = materialise(fitting.select("source", "u", "bucket", "words", "missing"), "mix-fitting")
-        if fitting.isEmpty():
-            return taken, gaps.select("m_source", "missing")
-        parts = fitting.groupBy("source", "bucket").agg(F.sum("words").alias("w"), F.first("missing").alias("missing"))
-        edge = (
-            parts.withColumn("upto", F.sum("w").over(Window.partitionBy("source").orderBy("bucket")))
-            .where(F.col("upto") > F.col("missing"))
-            .groupBy("source")
-            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("w")).alias("before"))).alias("edge"))
-            .select(F.col("source").alias("e_source"), F.col("edge.bucket").alias("e_bucket"), F.col("edge.before").alias("e_before"))
-        )
-        placed = fitting.join(send(edge), F.col("source").eqNullSafe(F.col("e_source")), "left")
-        at_edge = F.col("bucket").eqNullSafe(F.col("e_bucket"))
-        rank = Window.partitionBy("source").orderBy("u")
-        inside = placed.where(at_edge).withColumn("fits", F.col("e_before") + F.sum("words").over(rank) <= F.col("missing"))
-        before = placed.where(~at_edge & (F.col("e_bucket").isNull() | (F.col("bucket") < F.col("e_bucket")))).withColumn("fits", F.lit(True))
-        got = materialise(before.unionByName(inside).where("fits").select("source", "u", "words"), "mix-refill")
-        sums = got.groupBy(F.col("source").alias("g_source")).agg(F.sum("words").alias("got"), F.max("u").alias("last"))
-        gaps = gaps.join(send(sums), F.col("m_source").eqNullSafe(F.col("g_source")), "left")
-        gaps = gaps.select("m_source", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing"), F.coalesce("last", "after").alias("after"))
-        gaps = materialise(gaps, "mix-gaps")
-        taken = got.select("source", "u") if taken is None else taken.unionByName(got.select("source", "u"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, buckets: int = RANK_BUCKETS, further: bool = True) -> DataFrame:
-    """Per row of ``docs(doc_id, text, source)``: ``doc_id, size, source_size, target, copies, taken``.
+    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = targets.withColumn("whole", F.floor(factor)).withColumn("some", factor > F.floor(factor))
+    plan = plan.withColumn("words", F.when(F.col("some"), F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
+    plan = plan.drop("some")
+    wide = lambda c: c.cast("decimal(38,0)")
+    counts = sized.where("size > 0").groupBy("source", "size").agg(wide(F.count("*")).alias("n"))
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumn("above", F.coalesce(F.sum(F.col("n") * wide(F.col("size"))).over(before), wide(F.lit(0))))
+    sums = sums.withColumn("squares", F.sum(F.col("n") * wide(F.col("size")) * wide(F.col("size"))).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    sums = sums.withColumnRenamed("source", "s_source").join(send(plan.select("source", "words")), same("s_source", "source")).where("words > 0")
+    c = (F.col("words") - F.col("above").cast("double")) / F.col("squares").cast("double")
+    first = sums.withColumn("c", c).where(F.col("c") * F.col("size") < 1).groupBy("s_source").agg(F.max(F.struct("size", "c", F.col("above").cast("double").alias("above"))).alias("first"))
+    joined = plan.join(send(first), same("source", "s_source"), "left")
+    return joined.select(
+        "source", "source_size", "target", F.col("whole").cast("long").alias("whole"), F.col("first.c").alias("c"), F.when(F.col("first").isNotNull(), F.col("first.size") + 1).alias("sure"),
+        F.greatest(F.col("words") - F.coalesce("first.above", F.lit(0.0)), F.lit(0.0)).alias("rest"),
+    )
 
-    ``copies`` is how often the mix takes the document (0 to ``cap``) and ``taken``
-    the words of these copies. Without ``further`` the ranking ends at the first
-    document that does not fit, as in the SQL.
+
+def keyed(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``rows(source, size, u, ...)`` with their source's ``bounds`` and the Pareto ``key`` (null: not in the ranking)."""
+    rows = rows.join(bounds.withColumnRenamed("source", "b_source"), same("source", "b_source")).drop("b_source")
+    p = F.col("c") * F.col("size")
+    ranked = F.col("c").isNotNull() & (F.col("c") > 0) & (F.col("size") > 0) & (F.col("size") < F.col("sure"))
+    return rows.withColumn("key", F.when(ranked, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+
+
+def first_words(left: DataFrame, gaps: DataFrame, send) -> DataFrame:
+    """Of ``left(source, key, words)`` the front of each source's ranking that fits ``gaps(m_source, missing)``.
+
+    Returns ``source, key, words`` and ``inside``: whole parts before the part in which
+    the words run out are summed, and only that part is sorted.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u"))
-    sized = materialise(sized.withColumn("bucket", F.floor(F.col("u") * buckets)), "mix-sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = materialise(
-        targets.withColumn("whole", F.floor(factor))
-        .withColumn("odds", factor - F.col("whole"))
-        .withColumn("rest", F.when(F.col("odds") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0))),
-        "mix-targets",
-    )
-
-    send = F.broadcast if targets.count() <= SENT_SOURCES else (lambda df: df)
-
-    # The part of the ranking in which the source's words run out.
-    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("bucket")
+    part = F.floor(F.log2("key") * RANK_PARTS).cast("long")
+    left = left.withColumn("part", part)
+    parts = left.groupBy("source", "part").agg(F.sum("words").alias("w")).withColumn("upto", F.sum("w").over(Window.partitionBy("source").orderBy("part")))
     edge = (
-        parts.withColumn("upto", F.sum("words").over(running))
-        .join(send(targets.select(F.col("source").alias("s"), "rest")), F.col("source").eqNullSafe(F.col("s")))
-        .where(F.col("upto") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-        .select(F.col("source").alias("edge_source"), F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
-    )
-    bounds = materialise(targets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").withColumnRenamed("source", "b_source").drop("edge_source"), "mix-bounds")
-    placed = sized.join(send(bounds), F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source")
-
-    # Pareto keys; within a source the inclusion odds are one number, so the
-    # buckets of u are consecutive parts of the ranking.
-    key = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") / (1 - F.col("odds")))
-    at_edge = F.col("bucket").eqNullSafe(F.col("edge_bucket"))
-    rank = Window.partitionBy("source").orderBy("key")
-    inside = (
-        placed.where(at_edge).withColumn("key", F.when(F.col("odds") > 0, key))
-        .withColumn("fits", F.col("edge_before") + F.sum("size").over(rank) <= F.col("rest"))
-        .drop("key")
+        parts.join(send(gaps), same("source", "m_source")).where(F.col("upto") > F.col("missing")).groupBy("source")
+        .agg(F.min(F.struct("part", (F.col("upto") - F.col("w")).alias("before"), "missing")).alias("edge"))
+        .select(F.col("source").alias("e_source"), F.col("edge.part").alias("e_part"), F.col("edge.before").alias("e_before"), F.col("edge.missing").alias("e_missing"))
     )
-    outside = placed.where(~at_edge).withColumn("fits", F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")))
-    chosen = materialise(outside.unionByName(inside).withColumn("fits", F.col("fits") & (F.col("odds") > 0)).drop("edge_bucket", "edge_before"), "mix-ranked")
-
-    # The words still missing, and the one document that comes nearest to them.
-    used = chosen.groupBy("source").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"), F.first("rest").alias("rest"))
-    used = used.select(F.col("source").alias("m_source"), (F.col("rest") - F.col("used")).alias("missing"))
-    if further:
-        used = materialise(used, "mix-gaps")
-        left = chosen.where(~F.col("fits") & (F.col("odds") > 0)).join(send(used), F.col("source").eqNullSafe(F.col("m_source")))
-        left = left.where((F.col("size") > 0) & (F.col("size") <= F.col("missing"))).groupBy("source", "u", "bucket").agg(F.sum("size").alias("words"))
-        more, used = refill(materialise(left, "mix-left"), used, send)
-        if more is not None:
-            more = more.select(F.col("source").alias("t_source"), F.col("u").alias("t_u"))
-            chosen = chosen.join(more, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("u") == F.col("t_u")), "left")
-            chosen = materialise(chosen.withColumn("fits", F.col("fits") | F.col("t_u").isNotNull()).drop("t_source", "t_u"), "mix-ranked")
+    placed = left.join(send(edge), same("source", "e_source"), "left")
+    at_edge = same("part", "e_part")
+    rank = Window.partitionBy("source").orderBy("key")
+    inside = placed.where(at_edge).withColumn("inside", F.col("e_before") + F.sum("words").over(rank) <= F.col("e_missing"))
+    rest = placed.where(~at_edge).withColumn("inside", F.col("e_part").isNull() | (F.col("part") < F.col("e_part")))
+    return inside.unionByName(rest).select("source", "key", "words", "inside")
+
+
+def further(ranked: DataFrame, gaps: DataFrame, send) -> tuple[list[DataFrame], DataFrame]:
+    """Follows the ranking past the cut: the groups taken, as tables ``source, key``, and the gaps that remain.
+
+    A round takes what fits before the first group that does not; that one is longer
+    than what is missing from then on, so it is never looked at again.
+    """
+    taken: list[DataFrame] = []
+    left = ranked
+    while True:
+        left = left.join(send(gaps), same("source", "m_source")).where((F.col("words") <= F.col("missing")) & (F.col("key") > F.col("last"))).select("source", "key", "words")
+        left = materialise(left, "mix-left")
+        if left.isEmpty():
+            return taken, gaps
+        got = materialise(first_words(left, gaps.select("m_source", "missing"), send).where("inside").select("source", "key", "words"), "mix-further")
+        gaps = materialise(after(gaps, got, send), "mix-gaps")
+        taken.append(got.select("source", "key"))
+
+
+def after(gaps: DataFrame, got: DataFrame, send) -> DataFrame:
+    """``gaps(m_source, missing, last)`` once ``got(source, key, words)`` is taken."""
+    sums = got.groupBy(F.col("source").alias("g_source")).agg(F.sum("words").alias("got"), F.max("key").alias("to"))
+    return gaps.join(send(sums), same("m_source", "g_source"), "left").select("m_source", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing"), F.coalesce("to", "last").alias("last"))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    """From ``sized(source, size, u)``, which is read several times: per source its bounds with the cut of the
+    ranking (`keyed`, ``cut``, ``pick_key``, ``pick_size``), and the documents ``x_source, x_key`` taken past the cut.
+    """
+    targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
+    send = sender(targets.count())  # all tables of sources have at most as many rows
+    bounds = materialise(inclusion(sized, targets, send), "mix-bounds")
+    ranked = keyed(sized, send(bounds)).where("key is not null").groupBy("source", "key").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
+    ranked = materialise(ranked, "mix-ranked")  # a number or two per document
+    gaps = bounds.where("c is not null").select(F.col("source").alias("m_source"), F.col("rest").alias("missing"), F.lit(0.0).alias("last"))
+    front = materialise(first_words(ranked, gaps.select("m_source", "missing"), send).where("inside").groupBy("source").agg(F.sum("words").alias("words"), F.max("key").alias("key")), "mix-front")
+    gaps = materialise(after(gaps, front, send), "mix-gaps")
+    cut = front.select(F.col("source").alias("f_source"), F.col("key").alias("cut"))
+    taken, gaps = further(ranked, gaps, send)
+    # The document nearest to what is missing, of those left out.
+    out = ranked.join(send(cut), same("source", "f_source"), "left").where(F.col("cut").isNull() | (F.col("key") > F.col("cut"))).select("source", "key", "size")
+    extra = reduce(DataFrame.unionByName, taken).toDF("x_source", "x_key") if taken else ranked.limit(0).select(F.col("source").alias("x_source"), F.col("key").alias("x_key"))
+    extra = materialise(extra, "mix-extra")
+    out = out.join(sender(extra.count())(extra), same("source", "x_source") & (F.col("key") == F.col("x_key")), "left_anti")
     miss = F.abs(F.col("missing") - F.col("size"))
-    last = (
-        chosen.where(~F.col("fits") & (F.col("odds") > 0))
-        .join(send(used), F.col("source").eqNullSafe(F.col("m_source")))
-        .where(miss < F.col("missing"))
-        .groupBy("source")
-        .agg(F.min(F.struct(miss.alias("miss"), "u", "size")).alias("pick"))
-        .select(F.col("source").alias("p_source"), F.col("pick.u").alias("p_u"), F.col("pick.size").alias("p_size"))
-    )
-    picked = F.col("u").eqNullSafe(F.col("p_u")) & (F.col("size") == F.col("p_size")) & ~F.col("fits")
-    copies = F.col("whole") + F.when(F.col("fits") | F.coalesce(picked, F.lit(False)), 1).otherwise(0)
-    return (
-        chosen.join(send(last), F.col("source").eqNullSafe(F.col("p_source")), "left")
-        .withColumn("copies", copies.cast("int"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    pick = (
+        out.join(send(gaps.drop("last")), same("source", "m_source")).where(miss < F.col("missing"))
+        .groupBy(F.col("source").alias("p_source")).agg(F.min(F.struct(miss.alias("miss"), "key")).alias("pick")).select("p_source", F.col("pick.key").alias("pick"))
+    )
+    bounds = bounds.join(send(cut), same("source", "f_source"), "left").join(send(pick), same("source", "p_source"), "left").drop("f_source", "p_source")
+    return materialise(bounds, "mix-plan"), extra
+
+
+def decided(rows: DataFrame, bounds: DataFrame, extra: DataFrame) -> DataFrame:
+    """``rows(source, size, u, ...)`` with ``source_size, target, copies`` by a `plan`."""
+    rows = keyed(rows, sender(bounds.count())(bounds)).join(sender(extra.count())(extra), same("source", "x_source") & (F.col("key") == F.col("x_key")), "left")
+    once = (F.col("size") >= F.col("sure")) | (F.col("key") <= F.col("cut")) | F.col("x_key").isNotNull() | (F.col("key") == F.col("pick"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(once, 1).otherwise(0)).otherwise(0)
+    return rows.withColumn("copies", copies.cast("int")).drop("whole", "c", "sure", "rest", "cut", "pick", "key", "x_source", "x_key")
+
+
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with ``size`` and ``u``, and the source as ``source``."""
+    return docs.withColumns({"source": F.col(source), "size": word_count(F.col(text)), "u": uniform(F.col(doc_id))})
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """Per row of ``docs(doc_id, text, source)``: ``doc_id, size, source_size, target, copies, taken``.
+
+    ``copies`` is how often the mix takes the document (0 to ``cap``) and ``taken``
+    the words of these copies.
+    """
+    sized = materialise(measured(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
+    done = decided(sized, *plan(sized, weights, cap))
+    return done.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The rows of ``docs`` the mix takes, each as often as it takes them."""
-    plan = mix(docs, weights, cap).select(F.col("doc_id").alias("mix_id"), "copies").where("copies > 0").distinct()
-    taken = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.mix_id")))
-    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
-    return taken.select(F.explode(F.array_repeat(row, F.col("p.copies"))).alias("row")).select("row.*")
+    """The rows of ``docs`` the mix takes, each as often as it takes them; the texts stay where they are."""
+    columns = docs.columns
+    carried = [f"c{i}" for i in range(len(columns))]
+    rows = measured(docs.toDF(*carried), *(carried[columns.index(c)] for c in ("doc_id", "text", "source")))
+    sized = materialise(rows.select("source", "size", "u"), "mix-sizes")
+    done = decided(rows, *plan(sized, weights, cap)).where("copies > 0")
+    taken = done.select(*carried, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select(*[F.col(k).alias(c) for k, c in zip(carried, columns, strict=True)])
 
 
 #: The same mix for DuckDB, without the ranking in parts.
 SQL = r"""
-with sized as (
+with recursive sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
          (cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13)) as bigint)::double + 0.5) / 4503599627370496.0 as u
   from documents),
@@ -218,20 +261,38 @@ targets as (
   select source, source_size, least(most::double, weight * coalesce(w, 'infinity'::double)) as target,
          case when source_size > 0 then least(most::double, weight * coalesce(w, 'infinity'::double)) / source_size else 0 end as f
   from shared, water),
-plan as (
-  select *, floor(f)::bigint as whole, f - floor(f) as odds,
-         case when f - floor(f) > 0 then target - floor(f) * source_size else 0 end as rest
-  from targets),
-ranked as (
-  select d.doc_id, d.source, d.size, d.u, p.source_size, p.target, p.whole, p.odds, p.rest,
-         p.odds > 0 and sum(d.size) over (partition by d.source order by d.u) <= p.rest as fits
-  from sized d join plan p on d.source is not distinct from p.source),
-used as (select source, any_value(rest) - sum(case when fits then size else 0 end) as missing from ranked group by source),
-last as (
-  select r.source, arg_min(r.u, row(abs(missing - size), r.u, size)) as pu, arg_min(size, row(abs(missing - size), r.u, size)) as ps
-  from ranked r join used u on r.source is not distinct from u.source
-  where not fits and odds > 0 and abs(missing - size) < missing group by r.source)
+whole as (
+  select *, floor(f)::bigint as whole, case when f > floor(f) then target - floor(f) * source_size else 0 end as words from targets),
+counts as (select source, size, count(*)::hugeint as n from sized where size > 0 group by all),
+sums as (
+  select *, coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0)::double as above,
+         (sum(n * size * size) over (partition by source order by size desc rows between current row and unbounded following))::double as squares
+  from counts),
+firsts as (
+  select w.source, max(size) as size, arg_max((words - above) / squares, size) as c, arg_max(above, size) as above
+  from sums s join whole w on s.source is not distinct from w.source where words > 0 and (words - above) / squares * size < 1 group by w.source),
+bounds as (
+  select w.*, c, size + 1 as sure, greatest(words - coalesce(above, 0), 0) as rest from whole w left join firsts f on w.source is not distinct from f.source),
+keyed as (
+  select d.*, b.source_size, b.target, b.whole, b.rest, d.size >= b.sure as certain,
+         case when c > 0 and size > 0 and size < sure then (u / (1 - u)) / (c * size / (1 - c * size)) end as key
+  from sized d join bounds b on d.source is not distinct from b.source),
+ranked as (select source, key, sum(size) as words, max(size) as size, any_value(rest) as rest from keyed where key is not null group by source, key),
+walk as (
+  select 0 as step, source, key, words, rest as missing, false as got from ranked
+  union all
+  select step + 1, source, key, words, missing - coalesce(sum(case when fits then words end) over (partition by source), 0), fits
+  from (select *, sum(words) over (partition by source order by key) <= missing as fits from walk where not got and words <= missing)),
+taken as (select source, key from walk where got),
+gaps as (
+  select r.source, any_value(rest) - coalesce(sum(case when t.key is not null then words end), 0) as missing
+  from ranked r left join taken t on r.source is not distinct from t.source and r.key = t.key group by r.source),
+pick as (
+  select r.source, arg_min(r.key, row(abs(missing - size), r.key)) as key
+  from ranked r join gaps g on r.source is not distinct from g.source left join taken t on r.source is not distinct from t.source and r.key = t.key
+  where t.key is null and abs(missing - size) < missing group by r.source)
 select doc_id, size, source_size, target,
-       size * (whole + case when fits or coalesce(not fits and r.u = pu and size = ps, false) then 1 else 0 end) as taken
-from ranked r left join last l on r.source is not distinct from l.source
+       case when size = 0 then 0 else size * (whole + case when certain or t.key is not null or p.key is not null then 1 else 0 end) end as taken
+from keyed k left join taken t on k.source is not distinct from t.source and k.key = t.key
+left join pick p on k.source is not distinct from p.source and k.key = p.key
 """
