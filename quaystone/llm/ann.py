@@ -2,11 +2,17 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
 (`SAMPLE` distinct vectors); every vector is then put into its centroid's cell as a
-code. A query probes a share of the cells, ranks a cell's codes with its table of
+code. There are about as many cells as the root of the number of vectors, up to one per
+`CELL_SAMPLES` vectors of the sample. A query probes as many of the nearest cells as the
+sample's own queries need for a recall of `GOAL` (`needed_probes`), and goes on to further
+cells while the probed ones hold fewer than ``k + 1`` candidates. It ranks a cell's codes with its table of
 inner products per codebook (asymmetric: the query is not quantised), and in each
 part of a cell the best `KEEP`, and all that may be as good, are reranked with exact
 inner products.
 
+Clustered vectors need few probes; vectors without clusters need most of the cells, as
+no inverted file can tell where their neighbours are.
+
 Cells are dealt out in parts of bounded size, candidates and queries alike, so a hot
 cell is many groups. Equal vectors are one candidate: only the ids that can be among
 the nearest (the smallest ``k + 1``, as ties go to the smaller id) go on, cut before
@@ -15,8 +21,8 @@ the shuffle. Equal queries are searched once.
 Defined results
     Vectors that are null, empty, all zero, hold null or non-finite components, or
     are not as long as most of the sample's take no part, nor do rows without id.
-    Repeated rows count once. Ties go to the smaller id. Fewer candidates than ``k``:
-    all that were probed. Empty table: empty result. Other columns are ignored.
+    Repeated rows count once. Ties go to the smaller id. A query gets ``k`` rows, or
+    all candidates if there are fewer. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import spread_join
+
 SAMPLE = 8192
-CELLS = 64
-#: Share of the cells a query probes. Vectors without clusters need this much for a
-#: recall of 0.9; clustered ones reach it with far less.
-PROBED = 0.75
+#: Cells for each root of the number of vectors, and the sample's vectors for each cell at least.
+CELL_SAMPLES = 8
+#: Recall on the sample that decides how many cells are probed, and the sample's queries for it.
+GOAL, TRIALS = 0.96, 256
 SUBSPACES = 8
 CODES = 256
 KEEP = 32
@@ -84,17 +92,31 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
-def fit(sample: np.ndarray, cells: int = CELLS, subspaces: int = SUBSPACES, codes: int = CODES) -> Index:
+def fit(sample: np.ndarray, cells: int, subspaces: int = SUBSPACES, codes: int = CODES) -> Index:
     rng = np.random.default_rng(7)
     d = sample.shape[1]
     while d % subspaces:
         subspaces -= 1
-    centroids = k_means(sample, max(1, min(cells, len(sample) // 8)), 12, rng)
+    centroids = k_means(sample, max(1, min(cells, len(sample) // CELL_SAMPLES)), 12, rng)
     index = Index(centroids, np.zeros((subspaces, 1, d // subspaces), np.float32))
     rest = sample - centroids[index.cells(sample)]
     return Index(centroids, np.stack([k_means(p, codes, 8, rng) for p in np.split(rest, subspaces, axis=1)]))
 
 
+def needed_probes(index: Index, sample: np.ndarray, k: int, goal: float = GOAL, trials: int = TRIALS) -> int:
+    """How many cells the sample's queries must probe to find a share ``goal`` of their ``k`` nearest in the sample."""
+    q = sample[: min(trials, len(sample))]
+    scores = q @ sample.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    place = np.argsort(index.probes(q, len(index.centroids)), axis=1)  # of each cell in the query's order
+    ranks = np.sort(np.take_along_axis(place, index.cells(sample)[near], axis=1).ravel())
+    return int(ranks[int(np.ceil(goal * len(ranks))) - 1]) + 1
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """Distinct ``id, v`` (v: array<double>) of the rows that take part."""
     v = F.col(vector_column).cast("array<double>")
@@ -171,20 +193,23 @@ def _encode(index: Index):
     return run
 
 
-def _probe(index: Index, n: int):
+def _probe(index: Index, n: int, held: np.ndarray, least: int):
+    """Cells each query probes: the ``n`` nearest, and further ones until they hold ``least`` vectors (``held`` is by cell)."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                probes = index.probes(_matrix(b.column(1), np.float32), n)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(probes.astype(np.int32)), pa.list_(pa.int32()))], schema=schema)
+                order = index.probes(_matrix(b.column(1), np.float32), len(index.centroids)).astype(np.int32)
+                enough = (np.cumsum(held[order], axis=1) < least).sum(axis=1) + 1
+                cells = [row[: max(n, m)] for row, m in zip(order, enough, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], schema=schema)
 
     return run
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = K, cells: int = CELLS, probed: float = PROBED, keep: int = KEEP, margin: float = MARGIN, part_rows: int = PART_ROWS, id_column: str = "vec_id", vector_column: str = "embedding"
+    vectors: DataFrame, every: int = 20, k: int = K, goal: float = GOAL, keep: int = KEEP, margin: float = MARGIN, part_rows: int = PART_ROWS, id_column: str = "vec_id", vector_column: str = "embedding"
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = usable(vectors, id_column, vector_column)
@@ -193,36 +218,42 @@ def search(
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(v) for v in sample]
     d = max(sorted(set(lengths)), key=lengths.count)
-    index = fit(np.array([v for v in sample if len(v) == d], np.float32), cells)
-    n_cells = len(index.centroids)
+    sample = np.array([v for v in sample if len(v) == d], np.float32)
     rows = rows.where(F.size("v") == d)
+    total, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod("id", F.lit(every)) == 0)).first()
+    index = fit(sample, round(total**0.5))
+    n_cells, probed = len(index.centroids), needed_probes(index, sample, k, goal)
 
     # Of equal vectors the smallest ids; the limit is applied before the shuffle too.
     by_vector = Window.partitionBy("v").orderBy("id")
     candidates = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1).select("id", "v")
     candidates = candidates.mapInArrow(_encode(index), "id long, v array<double>, cell int, code binary").persist()
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    unique = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    probes = unique.mapInArrow(_probe(index, max(1, round(probed * n_cells))), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")).persist()
 
-    def parts(df: DataFrame) -> F.Column:
-        """How many parts each cell is dealt out to, as an expression over the cells (their number is fixed)."""
-        counts = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
-        return F.element_at(F.array(*[F.lit(-(-counts.get(c, 1) // part_rows)) for c in range(n_cells)]), F.col("cell") + 1)
+    def counts(df: DataFrame) -> np.ndarray:
+        held = np.zeros(n_cells, np.int64)
+        for r in df.groupBy("cell").count().collect():  # a row per cell
+            held[r["cell"]] = r["count"]
+        return held
+
+    def parts(held: np.ndarray) -> F.Column:
+        """How many parts each cell is dealt out to, as an expression over the cells."""
+        return F.element_at(F.array(*[F.lit(int(-(-max(1, n) // part_rows))) for n in held]), F.col("cell") + 1)
 
-    c_parts, q_parts = parts(candidates), parts(probes)
+    held = counts(candidates)
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    unique = asked.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("askers"))
+    probes = unique.select("id", "v").mapInArrow(_probe(index, probed, held, k + 1), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")).persist()
+    c_parts, q_parts = parts(held), parts(counts(probes))
     left = probes.withColumn("q_part", F.pmod(F.xxhash64("id"), q_parts).cast("int")).withColumn("c_part", F.explode(F.sequence(F.lit(0), (c_parts - 1).cast("int")))).select("id", "v", "cell", "q_part", "c_part")
     right = candidates.withColumn("c_part", F.pmod(F.xxhash64("id"), c_parts).cast("int")).withColumn("q_part", F.explode(F.sequence(F.lit(0), (q_parts - 1).cast("int"))))
     group = ["cell", "c_part", "q_part"]
     found = left.groupBy(*group).cogroup(right.select("id", "v", "cell", "code", "c_part", "q_part").groupBy(*group)).applyInArrow(_searcher(index, k + 1, keep, margin), "query long, id long, score double")
 
+    # The best of each distinct query as one row, which then goes to all rows that ask it.
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    best = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
-    same = unique.select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    per_id = asked.join(same, asked["v"] == same["qv"]).select(F.col("id").alias("query_id"), "query")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        per_id.join(best, "query").where("id <> query_id")
-        .withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
-    )
+    best = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
+    best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near"))  # k + 1 at the most
+    answers = unique.join(best, F.col("id") == F.col("query")).select("v", "near", "askers")
+    mine = spread_join(asked.withColumnRenamed("id", "query_id"), "v", answers, "askers", n_queries)
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    return mine.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
