@@ -28,12 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import spread_join
+
 SKIPPABLE = 0x184D2A5D  # fixed value of the format: the dictionary's frame
 FRAME = 0xFD2FB528  # fixed value: a Zstandard frame
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 16 << 20
-#: The dictionary is fitted on at most this many pages (a bounded sample).
-DICTIONARY_PAGES = 200
+#: The dictionary is fitted on the beginnings of at most this many pages (a bounded
+#: sample; records are always whole).
+DICTIONARY_PAGES, DICTIONARY_PREFIX = 200, 20_000
 DICTIONARY_BYTES = 32 << 10
 MIN_REVISIT_BYTES = 100
 NO_ID = "null"
@@ -49,21 +52,26 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     """Adds ``payload, digest, refers_to`` to ``page_id, url`` (refers_to null: a response)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # Only digests held by several ids matter; sums are made before the shuffle.
+    # Only digests held by several ids matter, and few rows hold one of them: their sums
+    # are made before the shuffle, and payloads only move to meet one that is not hot.
     first = (
         rows.where(F.length("payload") >= min_bytes).groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-        .where("first_id < last_id").select(F.col("digest").alias("first_digest"), "first_id")
+        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("*").alias("n"))
+        .where("first_id < last_id").drop("last_id")
     )
-    joined = rows.join(first, rows["digest"] == first["first_digest"], "left")
+    small, large = rows.where(F.length("payload") < min_bytes), rows.where(F.length("payload") >= min_bytes)
+    joined = spread_join(large, "digest", first, "n", pages.count(), "left").unionByName(small.withColumn("first_id", F.lit(None).cast("long")))
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
-def fit_dictionary(pages: DataFrame, n_pages: int = DICTIONARY_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from at most ``n_pages`` pages; empty where there are too few."""
-    spread = F.xxhash64("page_id")
-    rows = pages.select("page_id", F.substring("html", 1, 20_000).alias("html")).where("html is not null").orderBy(spread, "html").limit(n_pages).collect()
-    samples = [r["html"].encode() for r in rows if r["html"]]
+def fit_dictionary(pages: DataFrame, n_pages: int = DICTIONARY_PAGES, size: int = DICTIONARY_BYTES, prefix: int = DICTIONARY_PREFIX) -> bytes:
+    """A dictionary from the first ``prefix`` characters of at most ``n_pages`` pages; empty where there are too few.
+
+    The pages are chosen by hashes alone, so only those chosen send their texts.
+    """
+    chosen = pages.where("html is not null and html <> ''").select(F.xxhash64("page_id", "html").alias("chosen")).distinct().orderBy("chosen").limit(n_pages)
+    texts = pages.join(F.broadcast(chosen), F.xxhash64("page_id", "html") == F.col("chosen")).groupBy("chosen").agg(F.first(F.substring("html", 1, prefix)).alias("html"))
+    samples = [r["html"].encode() for r in sorted(texts.collect(), key=lambda r: r["chosen"])]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
