@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.llm.shared import materialise, spread_join
+
 # Usual notices of common licences.
 NOTICES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
@@ -269,15 +271,23 @@ def directory(path: Column) -> Column:
 
 
 def inherit(found: DataFrame) -> DataFrame:
-    """Adds ``license`` of the nearest directory, ``origin`` (own, inherited or null) and ``origin_path``."""
+    """Adds ``license`` of the nearest directory, ``origin`` (own, inherited or null) and ``origin_path``.
+
+    ``found`` is read several times. A directory with very many files is no hot task.
+    """
     found = found.withColumn("dir", directory(F.col("path")))
     best = F.max_by(F.struct("license", F.col("path").alias("from")), F.struct("similarity", F.transform(F.split("path", ""), lambda c: -F.ascii(c)).alias("order")))
     holders = found.where("license_file and path is not null").groupBy("dir").agg(best.alias("best")).select(F.col("dir").alias("holder"), "best")
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    dirs = found.where("path is not null").select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "up"))
-    nearest = dirs.join(holders, F.col("up") == F.col("holder")).groupBy("dir").agg(F.max_by("best", "depth").alias("near")).withColumnRenamed("dir", "for_dir")
-    out = found.join(nearest, F.col("path").isNotNull() & (F.col("dir") == F.col("for_dir")), "left")
+    sizes = found.where("path is not null").groupBy("dir").agg(F.count("*").alias("files"))
+    dirs = sizes.select("dir", "files", F.posexplode(above).alias("depth", "up"))
+    # The upper directories repeat below each of their own; only those with a holder are sent or shuffled on.
+    holders = holders.join(dirs.groupBy(F.col("up").alias("holder")).agg(F.count("*").alias("below")), "holder")
+    near = spread_join(dirs.withColumnRenamed("up", "holder"), "holder", holders, "below", max(1, sizes.count()))
+    nearest = near.groupBy("dir").agg(F.max_by("best", "depth").alias("near"), F.first("files").alias("files"))
+    placed = spread_join(found.where("path is not null"), "dir", nearest, "files", found.count(), "left")
+    out = placed.unionByName(found.where("path is null").withColumn("near", F.lit(None).cast(nearest.schema["near"].dataType)))
     own = F.col("license").isNotNull()
     return out.select(
         "file_id", "path", F.coalesce("license", "near.license").alias("license"), "similarity", "license_file",
@@ -287,7 +297,7 @@ def inherit(found: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame) -> DataFrame:
     """Licences of ``files(file_id, path, text)``, own or inherited."""
-    return inherit(notices(files, fit(files)))
+    return inherit(materialise(notices(files, fit(files)), "license-notices"))
 
 
 def document_path(docs: DataFrame) -> Column:
