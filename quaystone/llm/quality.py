@@ -7,7 +7,7 @@ it. Forward-backward marginals, weighted by line length, give the document's sha
 of good text, and a logistic curve fitted on the training documents turns it into
 the score.
 
-The field is fitted on a bounded sample of labelled documents (`SAMPLE`); scoring is
+The field is fitted on a bounded sample of labelled documents (`SAMPLE` texts, `SAMPLE_LINES` lines of each); scoring is
 one pass over all texts without a shuffle.
 
 Defined results
@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents are learnt from.
-SAMPLE = 4000
+#: At most so many labelled documents are learnt from, and of each so many lines.
+SAMPLE, SAMPLE_LINES = 4000, 2000
 CHUNK_BYTES = 1 << 20
 #: Kinds of bytes: other, lower case, upper case, digits, blanks, sentence marks, rare marks, exclamations, beyond ASCII.
 KINDS = 9
@@ -204,25 +204,39 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         a = b
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, starts in _chunks(batch.column(0)):
-            x, length, first = features(data, starts)
-            rows = [x[first[i] : first[i + 1]].astype(np.float64).tobytes() for i in range(b - a)]
-            sizes = [length[first[i] : first[i + 1]].astype(np.int64).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["quality", "x", "length"])
+def _line_rows(most_lines: int):
+    """Features of labelled texts; of a text with more than ``most_lines`` lines, a stretch of so many from the middle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, starts in _chunks(batch.column(0)):
+                x, length, first = features(data, starts)
+                spans = [(m := (p + q) // 2, max(p, m - most_lines // 2), min(q, m - most_lines // 2 + most_lines)) if q - p > most_lines else (p, p, q) for p, q in zip(first, first[1:], strict=False)]
+                rows = [x[p:q].astype(np.float32).tobytes() for _, p, q in spans]
+                sizes = [length[p:q].astype(np.int64).tobytes() for _, p, q in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["quality", "x", "length"])
+
+    return run
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from up to ``sample`` rows of ``labels(doc_id, quality)`` that are not held out."""
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = SAMPLE_LINES) -> Model:
+    """A model from up to ``sample`` labelled texts that are not held out, of ``labels(doc_id, quality)``.
+
+    Texts and labels are chosen by hashes of both, so the sample does not depend on
+    tasks; repeated rows are one. What the driver gets is bounded by ``sample *
+    most_lines`` lines. Scoring always takes whole texts.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("quality").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
-        .orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(sample)
+        .distinct().orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(sample)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select("text", "quality")
-    rows = texts.mapInArrow(_line_rows, "quality int, x binary, length binary").limit(4 * sample).toArrow()
-    x = [np.frombuffer(r, np.float64).reshape(-1, 2 * BASE) for r in rows["x"].to_pylist()]
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id"))
+    # An id may have any number of texts: again the first ``sample`` by hash, told apart without moving the texts.
+    keys = texts.select(F.xxhash64("label_id", "text", "quality").alias("key")).distinct().orderBy("key").limit(sample)
+    texts = texts.withColumn("key", F.xxhash64("label_id", "text", "quality")).join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).select("text", "quality")
+    rows = texts.mapInArrow(_line_rows(most_lines), "quality int, x binary, length binary").toArrow()
+    x = [np.frombuffer(r, np.float32).reshape(-1, 2 * BASE).astype(np.float64) for r in rows["x"].to_pylist()]
     length = [np.frombuffer(r, np.int64) for r in rows["length"].to_pylist()]
     order = sorted(range(len(x)), key=lambda i: (len(x[i]), x[i].tobytes()))  # the sum's order must not depend on tasks
     x, length, label = [x[i] for i in order], [length[i] for i in order], rows["quality"].to_numpy()[order] if len(rows) else np.zeros(0)

@@ -140,6 +140,16 @@ def test_quality_odd_inputs(spark, docs, none):
     assert quality.score_documents(none, model).count() == 0
 
 
+def test_quality_with_one_id_for_many_texts(spark):
+    docs, labels, _ = labelled(spark, random.Random(6), 40)
+    hot = docs.withColumn("doc_id", F.lit(2).cast("long")).unionByName(docs)
+    long = spark.createDataFrame([(999, "\n".join(["a fine line of prose"] * 9000), "en", "s", 1)], DOCS)
+    rows = hot.unionByName(long)
+    a, b = (quality.fit(rows.repartition(n), labels.unionByName(spark.createDataFrame([(2, 1, 0), (2, 0, 0), (999, 1, 0)], labels.schema)), sample=15, most_lines=50) for n in (1, 7))
+    assert (a.weights == b.weights).all()
+    assert quality.score_documents(rows, a).count() == rows.count()
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     score, moves, start = rng.normal(size=4), rng.normal(size=(2, 2)), rng.normal(size=2)
@@ -268,6 +278,49 @@ def test_full_licence_file_is_inherited(spark):
     assert got == {"p/LICENSE": ("MIT", "own"), "p/src/main.c": ("MIT", "inherited"), "q/other.c": (None, None)}
 
 
+def test_inheritance_equals_brute_force(spark):
+    """Own notices and inheritance against plain loops over all windows, templates and directories."""
+    rng = random.Random(14)
+    notes = [t for name in sorted(license_scan.NOTICES) for t in license_scan.NOTICES[name]]
+    files = []
+    for i in range(150):
+        parts = [rng.choice("abc") for _ in range(rng.randint(0, 3))] + [f"f{i % 140}"]
+        lines = [prose(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.4:
+            lines.insert(rng.randint(0, len(lines)), rng.choice(notes))
+        if rng.random() < 0.2:
+            lines = [rng.choice(notes)]
+        files.append((i, "/".join(parts) if rng.random() < 0.95 else None, "\n".join(lines) if rng.random() < 0.95 else None))
+    known = {t for _, c in [*license_scan.templates(), *license_scan.blocks(), *license_scan.full_texts()] for t in c}
+    counts = Counter(t for _, _, text in files for t in set(license_scan.terms(text or "")) & known)
+    m = license_scan.Matcher.fitted(counts, len(files))
+
+    def cosine(a, b):
+        w = lambda c: {t: k * m.idf.get(t, m.rare) for t, k in c.items()}
+        a, b = w(a), w(b)
+        size = lambda v: sum(x * x for x in v.values()) ** 0.5
+        return sum(x * b.get(t, 0) for t, x in a.items()) / (size(a) * size(b)) if a and b else 0.0
+
+    own, holders = {}, defaultdict(list)
+    for i, path, text in files:
+        lines = (text or "").split("\n")
+        best = max((cosine(Counter(license_scan.terms("\n".join(lines[a : a + k]))), c), name) for a in range(len(lines)) for k in (1, 2, 3) for name, c in license_scan.templates())
+        whole = max((cosine(Counter(license_scan.terms(text or "")), c), name) for name, c in license_scan.templates())
+        own[i] = best[1] if best[0] >= license_scan.THRESHOLD else whole[1] if whole[0] >= license_scan.FILE_THRESHOLD else None
+        if whole[0] >= license_scan.FILE_THRESHOLD and path is not None:
+            holders["/".join(path.split("/")[:-1])].append((-max(best[0], 0), path, own[i]))
+    frame = spark.createDataFrame(files, "file_id long, path string, text string").repartition(3)
+    for r in license_scan.scan(frame).collect():
+        if own[r.file_id] or r.path is None:
+            assert r.license == own[r.file_id] and r.origin == ("own" if r.license else None)
+            continue
+        up = r.path.split("/")[:-1]
+        near = next((holders["/".join(up[:k])] for k in range(len(up), -1, -1) if "/".join(up[:k]) in holders), None)
+        assert (r.license, r.origin) == ((None, None) if near is None else (r.license, "inherited"))
+        if near is not None:
+            assert r.license in {name for s, _, name in near if abs(s - min(near)[0]) < 1e-9} and any(p == r.origin_path for _, p, _ in near)
+
+
 def test_anchors_skip_nothing():
     m = license_scan.Matcher.fitted({"the": 90, "license": 3}, 100)
     loose = license_scan.Matcher(m.idf, m.rare, m.vectors, frozenset(t for _, v in m.vectors for t in v))
@@ -308,6 +361,23 @@ def test_neighbours_against_brute_force(spark):
     assert {(r.query_id, r.vec_id) for r in few} == {(0, 1), (0, 2)}
 
 
+@pytest.mark.parametrize("n", [2, 21, 24, 30, 60])
+def test_neighbours_are_always_k(spark, n):
+    rng = np.random.default_rng(n)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(frame).collect())
+    assert got == {q: min(20, n - 1) for q in range(0, n, 20)}
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(2)
+    centres = 20 * rng.normal(size=(40, 16))
+    clustered = (centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16))).astype(np.float32)
+    loose = rng.normal(size=(2000, 16)).astype(np.float32)
+    few, many = (ann.needed_probes(ann.fit(x, 45), x, 20) for x in (clustered, loose))
+    assert few <= 6 < many
+
+
 # 7. Near duplicates
 
 
