@@ -88,6 +88,8 @@ def spread_join(rows: DataFrame, key: str, table: DataFrame, size: str, total: i
     ``total`` is at least the sum of ``size``. ``key`` must not be null in ``table``.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= limit:
+        return rows.join(table.drop(size), key, how)
     heavy = F.broadcast(table.where(F.col(size) > limit).drop(size))
     near = rows.join(heavy.select(F.col(key).alias("_hot")), F.col(key) == F.col("_hot"), "left")
     hot = near.where("_hot is not null").drop("_hot").join(heavy, key)

@@ -7,8 +7,16 @@ rates do not differ statistically from the rest of their node (two-proportion z
 test). Others keep their names, however many they are; siblings without labels are
 one branch ``?`` if their node has more than ``max_children``, which cannot change a
 verdict. The branches that fell together are one template. A template blocks the
-urls that no rule fits if its smoothed purity ``(blocked + 1) / (labelled + 2)`` is
-over one half, so a template without labels lets its urls pass.
+urls that no rule fits if its smoothed purity is over one half. Purity is smoothed
+towards the node above, and so on up to the host: with ``W`` (`WEIGHT`) and, at the
+host, ``P`` (`PRIOR`),
+
+    node's purity     = (sum of the labelled segments' block rates + W * purity above) / (labelled segments + W)
+    template's purity = (blocked + W * node's purity) / (labelled + W)
+
+So labels reach siblings that have none: if two segments below a host are blocked, its
+unlabelled urls are, too. One blocked segment alone does not decide over the others
+(all numbers are one segment).
 
 The levels go on until no path has a further segment. Past ``depth`` segments, the
 rest of a node whose urls cannot differ any more (none blocked, or each one fits a
@@ -19,7 +27,7 @@ each shuffle; a hot host is a set of such rows, not a group in one task.
 
 Defined results
     null url or no ``://``: host and path are empty, no rule fits, and the verdict
-    is that of the empty template (allow). Repeated rows count as often as they
+    is that of the empty host's only template (allow). Repeated rows count as often as they
     occur and each get a result. Empty table: empty result. Other columns are ignored.
 """
 
@@ -31,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import materialise
+from quaystone.llm.shared import materialise, spread_join
 
 
 @dataclass(frozen=True)
@@ -54,6 +62,10 @@ def parse_rule(line: str) -> Rule:
 
 RULES = tuple(map(parse_rule, ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")))
 DEPTH, MAX_CHILDREN, Z = 3, 16, 1.96
+#: Block rate expected of a host without labels, and how many branches that counts for.
+PRIOR, WEIGHT = 0.25, 2
+#: Purities this close to one half are one half (sums of fractions may differ in their last bits).
+EXACT = 1e-9
 #: Unlabelled siblings together; no segment of a path is so called.
 UNLABELLED = "?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,33 +90,43 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def template_verdicts(paths: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> DataFrame:
-    """``paths(host, path, parts, n, m, k)`` (urls, labelled, blocked) with ``template, purity``."""
-    tree = paths.withColumn("template", F.lit("")).withColumn("shut", F.lit(False))
-    longest = paths.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(1, longest + 1):
-        node, seg = ["host", "template"], F.get("parts", level - 1)
-        going = tree.where(~F.col("shut") & (F.size("parts") >= level))
-        kids = going.groupBy(*node, seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("k").alias("k"))
-        nodes = kids.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("nn"), F.sum("m").alias("nm"), F.sum("k").alias("nk"))
+    """``paths(host, path, parts, n, m, k)`` (urls, labelled, blocked) with ``template, purity``.
+
+    Nodes and branches with very many paths are spread out (`spread_join`).
+    """
+    tree = paths.withColumns({"template": F.lit(""), "q": F.lit(PRIOR), "shut": F.lit(False)})
+    total, level, done = paths.count(), 0, []
+    while True:
+        ends = F.col("shut") | (F.size("parts") <= level)
+        done.append(tree.where(ends))
+        going = tree.where(~ends)
+        if going.isEmpty():
+            break
+        level += 1
+        going = going.withColumn("node", F.struct("host", "template")).withColumn("branch", F.struct("node", F.get("parts", level - 1).alias("seg")))
+        kids = going.groupBy("branch").agg(F.first("q").alias("q"), F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("k").alias("k")).withColumn("node", F.col("branch.node"))
+        kids = materialise(kids, "url-branches")
+        nodes = kids.groupBy("node").agg(F.count("*").alias("kids"), F.first("q").alias("above"), F.sum("n").alias("nn"), F.sum("m").alias("nm"), F.sum("k").alias("nk"))
         m, k, rm, rk = F.col("m"), F.col("k"), F.col("nm") - F.col("m"), F.col("nk") - F.col("k")
         p, rest, pool = (k + 1) / (m + 2), (rk + 1) / (rm + 2), (F.col("nk") + 2) / (F.col("nm") + 4)
         same = (m > 0) & (rm > 0) & (F.abs(p - rest) < z * F.sqrt(pool * (1 - pool) * (1 / (m + 2) + 1 / (rm + 2))))
-        name = F.when(F.col("seg").rlike("^[0-9]+$") | same, F.lit("*")).when((m == 0) & (F.col("kids") > max_children), F.lit(UNLABELLED)).otherwise(F.col("seg"))
+        name = F.when(F.col("branch.seg").rlike("^[0-9]+$") | same, F.lit("*")).when((m == 0) & (F.col("kids") > max_children), F.lit(UNLABELLED)).otherwise(F.col("branch.seg"))
         # Past ``depth`` a node goes on only while its urls can still get different verdicts.
         shut = F.lit(level > depth) & ((F.col("nk") == 0) | (F.col("nm") == F.col("nn")))
-        names = kids.join(nodes, node).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), F.when(shut, F.lit("**")).otherwise(name).alias("name"), shut.alias("ends"))
-        tree = (
-            tree.join(names, ~tree["shut"] & (tree["host"] == names["h"]) & (tree["template"] == names["t"]) & (F.get(tree["parts"], level - 1) == names["s"]), "left")
-            .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))))
-            .withColumn("shut", F.col("shut") | F.coalesce("ends", F.lit(False)))
-            .drop("h", "t", "s", "name", "ends")
-        )
-        tree = materialise(tree, "url-level")  # each level is read three times by the next
-        if level >= depth and tree.where(~F.col("shut") & (F.size("parts") > level)).isEmpty():
-            break
-    sums = tree.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("k").alias("tk"))
-    sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("tk") + 1) / (F.col("tm") + 2)).alias("purity"))
-    return tree.join(sums, (tree["host"] == sums["h"]) & (tree["template"] == sums["t"])).drop("h", "t")
+        named = spread_join(kids, "node", nodes.withColumn("size", F.col("kids")), "size", total)
+        kind = F.when(F.col("branch.seg").rlike("^[0-9]+$"), F.lit("*")).otherwise(F.col("branch.seg"))
+        named = named.select("branch", "node", "rows", "kids", "above", "m", "k", kind.alias("kind"), F.when(shut, F.lit("**")).otherwise(name).alias("name"), shut.alias("ends"))
+        named = materialise(named, "url-names")
+        groups = named.groupBy("node", "kind").agg(F.first("kids").alias("kids"), F.first("above").alias("above"), F.sum("m").alias("m"), F.sum("k").alias("k"))
+        rates = groups.groupBy("node").agg(F.first("kids").alias("kids"), F.first("above").alias("above"), F.count_if(F.col("m") > 0).alias("labelled"), F.sum(F.when(F.col("m") > 0, F.col("k") / F.col("m")).otherwise(0.0)).alias("rates"))
+        rates = rates.select("node", "kids", ((F.col("rates") + WEIGHT * F.col("above")) / (F.col("labelled") + WEIGHT)).alias("next"))
+        named = spread_join(named.select("branch", "node", "rows", "name", "ends"), "node", rates, "kids", total).select("branch", "rows", "name", "ends", "next")
+        tree = spread_join(going.drop("node", "q", "shut"), "branch", named, "rows", total)
+        tree = tree.withColumn("template", F.concat("template", F.lit("/"), "name")).withColumnRenamed("next", "q").withColumnRenamed("ends", "shut").drop("branch", "name")
+        tree = materialise(tree.select("host", "path", "parts", "n", "m", "k", "template", "q", "shut"), "url-level")
+    tree = materialise(reduce(DataFrame.unionByName, done).withColumn("node", F.struct("host", "template")), "url-tree")
+    sums = tree.groupBy("node").agg(F.count("*").alias("rows"), ((F.sum("k") + WEIGHT * F.first("q")) / (F.sum("m") + WEIGHT)).alias("purity"))
+    return spread_join(tree, "node", sums, "rows", total).drop("node", "q", "shut")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> DataFrame:
@@ -117,13 +139,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("m"), F.coalesce(blocked, F.lit(0)).alias("k"))
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     paths = materialise(paths.withColumn("parts", F.when(F.col("path") != "", parts).otherwise(F.array().cast("array<string>"))), "url-paths")
-    judged = template_verdicts(paths, depth, max_children, z).select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), "template", "purity")
-    verdict = F.coalesce("given", F.when(F.col("purity") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(judged, (rows["host"] == judged["j_host"]) & (rows["path"] == judged["j_path"])).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    judged = template_verdicts(paths, depth, max_children, z).select(F.struct("host", "path").alias("place"), "n", "template", "purity")
+    verdict = F.coalesce("given", F.when(F.col("purity") > 0.5 + EXACT, F.lit("block")).otherwise(F.lit("allow")))
+    found = spread_join(rows.withColumn("place", F.struct("host", "path")), "place", judged, "n", pages.count())
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def _sql(depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> str:
-    """The filter for DuckDB, on the rows themselves: the same for up to ``max_children`` siblings and ``depth`` segments."""
+    """The filter for DuckDB, on the rows themselves; paths beyond ``depth`` segments end in one wildcard there."""
     by_length = sorted(RULES, key=lambda r: (-len(r.text), r.text))
     case = lambda what: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'" for r in by_length) + " end"
     steps = [
@@ -132,16 +155,19 @@ def _sql(depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) ->
         f"r as (select *, {case('text')} as rule, {case('verdict')} as given, case when path = '' then [] else string_split(regexp_replace(path, '^/', ''), '/') end as parts from hp)",
         "t0 as (select *, '' as template, case given when 'block' then 1 when 'allow' then 0 end as bad from r)",
     ]
+    steps[-1] = steps[-1].replace("select *,", f"select *, {PRIOR}::double as q,", 1)
     for i in range(1, depth + 1):
         steps += [
-            f"k{i} as (select host, template, parts[{i}] as seg, count(bad) as m, coalesce(sum(bad), 0) as k from t{i - 1} where parts[{i}] is not null group by all)",
+            f"k{i} as (select host, template, any_value(q) as q, parts[{i}] as seg, count(bad) as m, coalesce(sum(bad), 0) as k from t{i - 1} where parts[{i}] is not null group by host, template, seg)",
             f"n{i} as (select *, count(*) over w as kids, sum(m) over w as nm, sum(k) over w as nk from k{i} window w as (partition by host, template))",
-            f"g{i} as (select host, template, seg, case when regexp_matches(seg, '^[0-9]+$') or kids > {max_children} or (m > 0 and nm - m > 0 and abs((k + 1) / (m + 2) - (nk - k + 1) / (nm - m + 2)) < {z} * sqrt((nk + 2) / (nm + 4) * (1 - (nk + 2) / (nm + 4)) * (1 / (m + 2) + 1 / (nm - m + 2)))) then '*' else seg end as name from n{i})",
-            f"t{i} as (select t.* exclude (template), t.template || coalesce('/' || g.name, '') as template from t{i - 1} t left join g{i} g on t.host = g.host and t.template = g.template and t.parts[{i}] = g.seg)",
+            f"g{i} as (select *, case when regexp_matches(seg, '^[0-9]+$') or (m > 0 and nm - m > 0 and abs((k + 1) / (m + 2) - (nk - k + 1) / (nm - m + 2)) < {z} * sqrt((nk + 2) / (nm + 4) * (1 - (nk + 2) / (nm + 4)) * (1 / (m + 2) + 1 / (nm - m + 2)))) then '*' when m = 0 and kids > {max_children} then '{UNLABELLED}' else seg end as name from n{i})",
+            f"b{i} as (select host, template, any_value(q) as q, sum(m) as m, sum(k) as k from g{i} group by host, template, case when regexp_matches(seg, '^[0-9]+$') then '*' else seg end)",
+            f"q{i} as (select host, template, (sum(case when m > 0 then k / m else 0 end) + {WEIGHT} * any_value(q)) / (count(*) filter (where m > 0) + {WEIGHT}) as q from b{i} group by host, template)",
+            f"t{i} as (select t.* exclude (template, q), t.template || coalesce('/' || g.name, '') as template, case when g.name is null then t.q else q.q end as q from t{i - 1} t left join g{i} g on t.host = g.host and t.template = g.template and t.parts[{i}] = g.seg left join q{i} q on t.host = q.host and t.template = q.template)",
         ]
     last = f"f as (select *, template || case when len(parts) > {depth} then '/**' else '' end as tpl from t{depth})"
     return "with " + ",\n".join([*steps, last]) + (
-        "\nselect page_id, host, path, rule, coalesce(given, case when (sum(bad) over w + 1) / (count(bad) over w + 2) > 0.5 then 'block' else 'allow' end) as verdict"
+        f"\nselect page_id, host, path, rule, coalesce(given, case when (coalesce(sum(bad) over w, 0) + {WEIGHT} * q) / (count(bad) over w + {WEIGHT}) > {0.5 + EXACT} then 'block' else 'allow' end) as verdict"
         " from f window w as (partition by host, tpl)"
     )
 

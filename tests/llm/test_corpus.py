@@ -223,6 +223,27 @@ def test_url_templates_learn_from_labels(spark):
     assert (got[401].rule, got[401].verdict) == (None, "allow")
 
 
+def test_labels_reach_siblings(spark):
+    """Two blocked branches block the unlabelled ones of their host, one does not, and an allowed one holds them back."""
+    rules = tuple(map(url_filter.parse_rule, ("block two/a/", "block two/b/", "block one/a/", "block mixed/a/", "block mixed/b/", "allow mixed/c/", "block deep/x/a/", "block deep/x/b/")))
+    urls = {"http://two/c/1": "block", "http://two/z": "block", "http://one/c/1": "allow", "http://mixed/d/1": "allow", "http://deep/x/c": "block", "http://deep/y/c": "allow", "http://none/a": "allow"}
+    labelled = [f"http://{place}{i}" for place in ("two/a/", "two/b/", "one/a/", "mixed/a/", "mixed/b/", "mixed/c/", "deep/x/a/", "deep/x/b/") for i in range(4)]
+    pages = spark.createDataFrame(list(enumerate([*urls, *labelled])), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
+    assert [got[i].verdict for i in range(len(urls))] == list(urls.values())
+    assert abs(got[0].purity - 0.625) < 1e-9 and abs(got[2].purity - 0.5) < 1e-9 and got[6].purity == 0.25
+
+
+def test_similar_branches_merge_and_hot_nodes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr("quaystone.llm.shared.HOT_ROWS", 3)
+    monkeypatch.setattr("quaystone.llm.shared.HOT_KEYS", 10**9)
+    rules = tuple(map(url_filter.parse_rule, ("block h/a/x", "block h/b/x", "allow h/c/x")))
+    urls = [f"http://h/{kind}/{leaf}{i}" for kind in "abc" for i in range(30) for leaf in ("x", "y")]
+    got = {r.path: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls * 2)), "page_id long, url string"), rules).collect()}
+    assert len(got) == 180 and got["/a/x1"].template != got["/c/x1"].template
+    assert {r.verdict for p, r in got.items() if p.startswith("/c/")} == {"allow"} and {r.verdict for p, r in got.items() if p[3] == "y" and p[1] in "ab"} == {"block"}
+
+
 # 5. Licences
 
 
