@@ -5,8 +5,10 @@ no later symbol can change it. How far it must look ahead is a property of the m
 list, computed once by `sufficient_lookahead`: symbols beyond the end of the buffer
 can only matter through a chain of merges of growing rank, each of which takes the
 left neighbour of the one before, so the longest such chain, in symbols, bounds how
-far left of the buffer's end a token may still change. Texts are read in pieces cut
-before white space, so what is held is one piece, one buffer and the tokens made.
+far left of the buffer's end a token may still change. Texts are read in pieces, cut before
+white space or, where a long stretch has none, between characters that normalisation
+cannot join; a word that goes on in the next piece goes on in the same transducer. So
+what is held is one piece and one buffer.
 
 `Decoder` is the way back: it takes ids in any portions and gives the text that is
 complete so far. Byte-level files go through an incremental UTF-8 decoder; files
@@ -81,7 +83,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], width: dict[str, int]) -
 
 
 class Transducer:
-    """Encodes words given as symbol ids; see the module's text."""
+    """Encodes words given as symbol ids by a `Run` each; see the module's text."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         made = {u + v: rank for rank, (u, v) in enumerate(merges)}
@@ -134,27 +136,37 @@ class Transducer:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
-    def stream(self, symbols: Iterator[int], last: int | None = None) -> Iterator[int]:
-        """The tokens of a word, each as soon as it is stable.
+    def start(self) -> Run:
+        return Run(self)
 
-        ``last`` is the word's final symbol where that differs (word ends).
-        """
-        buffer: list[int] = []
-        for s in symbols:
-            buffer.append(s)
-            if len(buffer) >= self.room:
-                stable, done, emitted = len(buffer) - self.lookahead, 0, 0
-                tokens = self.merged(buffer)
-                for t in tokens:
-                    if done + self.width_of[t] > stable:
+
+class Run:
+    """One word on its way through a `Transducer`: tokens come out as soon as they are stable."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.buffer = transducer, []
+
+    def push(self, symbols: list[int]) -> Iterator[int]:
+        """The tokens that nothing after ``symbols`` can change."""
+        t, at = self.transducer, 0
+        while at < len(symbols):
+            take = t.room - len(self.buffer)
+            self.buffer += symbols[at : at + take]
+            at += take
+            if len(self.buffer) >= t.room:
+                stable, done, emitted = len(self.buffer) - t.lookahead, 0, 0
+                tokens = t.merged(self.buffer)
+                for token in tokens:
+                    if done + t.width_of[token] > stable:
                         break
-                    done += self.width_of[t]
+                    done += t.width_of[token]
                     emitted += 1
                 yield from tokens[:emitted]
-                del buffer[:done]
-        if last is not None:
-            buffer.append(last)
-        yield from self.merged(buffer)
+                del self.buffer[:done]
+
+    def finish(self, last: int) -> list[int]:
+        """The rest, ``last`` being the word's final symbol."""
+        return self.transducer.merged([*self.buffer, last])
 
 
 class _Known(dict):
@@ -198,6 +210,7 @@ class Encoder:
         self.space = regex.compile(r"\p{White_Space}+")
         added = {a["content"]: a["id"] for a in file["added_tokens"]}
         self.added = {t: np.uint32(i).tobytes() for t, i in added.items()}
+        self.longest_added = max(map(len, added), default=1)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -210,42 +223,70 @@ class Encoder:
         self.byte_level = (file["decoder"] or {}).get("type") == "ByteLevel"
 
     def word(self, word: str) -> bytes:
-        data, transducer = word.encode(), self.transducer
-        symbols = map(self.inner.__getitem__, data[:-1])
-        last = self.final[data[-1]]
-        if len(data) < transducer.room:  # ends before the buffer is full
-            return array("I", transducer.merged([*symbols, last])).tobytes()
-        return array("I", transducer.stream(symbols, last)).tobytes()
-
-    def pieces(self, text: str) -> Iterator[str]:
-        """``text`` in parts that end before white space."""
+        data, run = word.encode(), self.transducer.start()
+        tokens = [*run.push([self.inner[b] for b in data[:-1]])]
+        return array("I", tokens + run.finish(self.final[data[-1]])).tobytes()
+
+    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+        """``text`` in parts, and whether a part ends inside a word.
+
+        Parts end before white space; where the next ``PIECE`` characters have none, at a
+        place that neither normalisation nor the words' pattern nor an added token spans.
+        """
         at = 0
         while len(text) - at > PIECE:
-            cut = _BREAK.search(text, at + PIECE)
-            if not cut:
+            blank = _BREAK.search(text, at + PIECE, at + 2 * PIECE)
+            cut, inside = (blank.start(), False) if blank else (next(filter(lambda k: self.between(text, k), range(at + PIECE, len(text))), None), True)
+            if cut is None:
                 break
-            yield text[at : cut.start()]
-            at = cut.start()
-        yield text[at:] if at else text
+            yield text[at:cut], inside
+            at = cut
+        yield text[at:] if at else text, False
+
+    def between(self, text: str, k: int) -> bool:
+        """Whether ``text`` may be cut at ``k`` inside a run of letters, or of marks that are neither letters, digits nor blanks."""
+        c = text[k]
+        near = text[max(0, k - self.longest_added) : k + self.longest_added]
+        if unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or any(t in near for t in self.added):
+            return False
+        if c.isalpha():  # four letters before it: no "'re" reaches the cut
+            return text[k - 4 : k].isalpha() and all(lower(x).isalpha() and unicodedata.normalize("NFC", x).isalpha() for x in text[k - 4 : k + 1])
+        mark = lambda x: unicodedata.category(x)[0] in "PS"
+        return c != "'" and mark(c) and mark(text[k - 1]) and len(unicodedata.normalize("NFC", c)) == 1
 
     def stream(self, text: str) -> Iterator[bytes]:
         """The ids of ``text`` as bytes (little-endian, 32 bits each), portion by portion."""
-        for piece in self.pieces(text):
-            for part in self.special.split(piece) if self.special and any(t in piece for t in self.added) else (piece,):
+        run, held = None, b""  # a word that began in the piece before, and its last byte
+        for piece, inside in self.pieces(text):
+            parts = self.special.split(piece) if self.special and any(t in piece for t in self.added) else [piece]
+            for n, part in enumerate(parts):
                 if part in self.added:
                     yield self.added[part]
-                elif part:
-                    yield self._normal(part)
-
-    def _normal(self, part: str) -> bytes:
+                    continue
+                words = self.words_of(part) if part else []
+                if run and n == 0:
+                    data = held + (words.pop(0).encode() if words else b"")
+                    yield array("I", [*run.push([self.inner[b] for b in data[:-1]])]).tobytes()
+                    held = data[-1:]
+                    if not (inside and len(parts) == 1 and not words):  # the word ends here
+                        yield array("I", run.finish(self.final[held[0]])).tobytes()
+                        run = None
+                if inside and n == len(parts) - 1 and words:
+                    data, run = words.pop().encode(), self.transducer.start()
+                    last = array("I", [*run.push([self.inner[b] for b in data[:-1]])]).tobytes()
+                    yield b"".join(map(self.known.__getitem__, words))
+                    yield last
+                    held = data[-1:]
+                else:
+                    yield b"".join(map(self.known.__getitem__, words))
+
+    def words_of(self, part: str) -> list[str]:
         if not part.isascii() and not unicodedata.is_normalized("NFC", part):
             part = unicodedata.normalize("NFC", part)
         low = lower(part)
         if self.plain and not _PLAIN.search(low):
-            words = _PLAIN_WORDS.findall(low)
-        else:
-            words = self.words.findall(lower(self.space.sub(" ", part)))
-        return b"".join(map(self.known.__getitem__, words))
+            return _PLAIN_WORDS.findall(low)
+        return self.words.findall(lower(self.space.sub(" ", part)))
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.stream(text or ""))

@@ -98,6 +98,36 @@ def test_bpe_streams_long_words_and_odd_characters(library):
         assert bpe.decode(encoder, encoder.encode(t), portion=3) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_words_longer_than_a_piece(library, monkeypatch):
+    """Texts without blanks are cut inside words, which changes nothing."""
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    encoder = bpe.encoder_for(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    rng = random.Random(15)
+    pools = ["abcdefgh", "éàüñ", "ea\u0301o\u0308", "中文字漢", "'s're'll'", "!?.,-", "\u1112\u1161\u11ab", "İIıΣσ", "01²", "<|endoftext|>", "x\u00a0", "\u0915\u093c\u09be"]
+    for _ in range(400):
+        some = rng.sample(pools, rng.randint(1, 4))
+        t = "".join(rng.choice(some) if rng.random() < 0.1 else rng.choice(rng.choice(some)) for _ in range(rng.randint(100, 900)))
+        assert np.frombuffer(encoder.encode(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert any(inside for _, inside in encoder.pieces("abcdefgh" * 100)) and any(inside for _, inside in encoder.pieces("!?" * 100))
+
+
+def test_bpe_holds_a_piece_and_a_buffer():
+    import tracemalloc
+
+    encoder = bpe.encoder_for(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    rng = random.Random(16)
+    peaks = []
+    for n in (300_000, 1_500_000):
+        text, made = "".join(rng.choices("aeintrsho", k=n)), 0
+        tracemalloc.start()
+        for portion in encoder.stream(text):
+            made += len(portion)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert made > n / 4
+    assert peaks[1] < 1.3 * peaks[0] and peaks[1] < 16 << 20
+
+
 def test_bpe_refuses_merges_out_of_order():
     with pytest.raises(ValueError):
         bpe.Transducer({c: i for i, c in enumerate(("a", "b", "c", "ab", "abc"))}, [("ab", "c"), ("a", "b")])
