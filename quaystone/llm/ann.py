@@ -2,10 +2,10 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
 (`SAMPLE` distinct vectors); every vector is then put into its centroid's cell as a
-code. There are about as many cells as the root of the number of vectors, up to one per
-`CELL_SAMPLES` vectors of the sample. A query probes as many of the nearest cells as the
-sample's own queries need for a recall of `GOAL` (`needed_probes`), and goes on to further
-cells while the probed ones hold fewer than ``k + 1`` candidates. It ranks a cell's codes with its table of
+code. A query probes as many of the nearest cells as the sample's own queries need for a
+recall of `GOAL` (`needed_probes`), and goes on to further cells while the probed ones hold
+fewer than ``k + 1`` candidates. The number of cells is the smallest of `CELLS` beyond
+which finer cells would not halve the share that is probed (`fit_cells`). A query ranks a cell's codes with its table of
 inner products per codebook (asymmetric: the query is not quantised), and in each
 part of a cell the best `KEEP`, and all that may be as good, are reranked with exact
 inner products.
@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import spread_join
+from quaystone.llm.shared import materialise, spread_join
 
 SAMPLE = 8192
-#: Cells for each root of the number of vectors, and the sample's vectors for each cell at least.
-CELL_SAMPLES = 8
+#: Numbers of cells to choose from, and the sample's vectors for each cell at least.
+CELLS, CELL_SAMPLES = (64, 256, 1024), 8
 #: Recall on the sample that decides how many cells are probed, and the sample's queries for it.
-GOAL, TRIALS = 0.96, 256
+GOAL, TRIALS = 0.95, 256
 SUBSPACES = 8
 CODES = 256
 KEEP = 32
@@ -117,6 +117,22 @@ def needed_probes(index: Index, sample: np.ndarray, k: int, goal: float = GOAL,
     return int(ranks[int(np.ceil(goal * len(ranks))) - 1]) + 1
 
 
+def fit_cells(sample: np.ndarray, k: int, goal: float, choices: tuple[int, ...] = CELLS) -> tuple[Index, int]:
+    """An index and how many of its cells a query probes."""
+    index = fit(sample, choices[0])
+    probed = needed_probes(index, sample, k, goal)
+    for finer in choices[1:]:
+        share = probed / len(index.centroids)
+        if share > 0.5 or finer * CELL_SAMPLES > len(sample):
+            break
+        other = fit(sample, finer)
+        n = needed_probes(other, sample, k, goal)
+        if n / len(other.centroids) > share / 2:
+            break
+        index, probed = other, n
+    return index, probed
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """Distinct ``id, v`` (v: array<double>) of the rows that take part."""
     v = F.col(vector_column).cast("array<double>")
@@ -220,9 +236,9 @@ def search(
     d = max(sorted(set(lengths)), key=lengths.count)
     sample = np.array([v for v in sample if len(v) == d], np.float32)
     rows = rows.where(F.size("v") == d)
-    total, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod("id", F.lit(every)) == 0)).first()
-    index = fit(sample, round(total**0.5))
-    n_cells, probed = len(index.centroids), needed_probes(index, sample, k, goal)
+    n_queries = rows.where(F.pmod("id", F.lit(every)) == 0).count()
+    index, probed = fit_cells(sample, k, goal)
+    n_cells = len(index.centroids)
 
     # Of equal vectors the smallest ids; the limit is applied before the shuffle too.
     by_vector = Window.partitionBy("v").orderBy("id")
@@ -254,6 +270,6 @@ def search(
     best = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
     best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near"))  # k + 1 at the most
     answers = unique.join(best, F.col("id") == F.col("query")).select("v", "near", "askers")
-    mine = spread_join(asked.withColumnRenamed("id", "query_id"), "v", answers, "askers", n_queries)
+    mine = spread_join(asked.withColumnRenamed("id", "query_id"), "v", materialise(answers, "ann-answers"), "askers", n_queries, written=True)
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

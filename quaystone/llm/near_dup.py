@@ -317,7 +317,7 @@ def classes(docs: DataFrame) -> DataFrame:
     counted = nodes.agg(F.count("*"), F.sum("n")).first()
     named = spread_join(nodes.drop("best"), "class_node", least, "members", counted[0]).select("node", "n", F.col("least.id").alias("class_id"))
     named = materialise(named, "near-named")
-    return spread_join(rows.select(F.col("c0").alias("doc_id"), "node"), "node", named, "n", counted[1] or 0).select("doc_id", "class_id")
+    return spread_join(rows.select(F.col("c0").alias("doc_id"), "node"), "node", named, "n", counted[1] or 0, written=True).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -80,17 +80,23 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 20_000, 1000
 
 
-def spread_join(rows: DataFrame, key: str, table: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, key: str, table: DataFrame, size: str, total: int, how: str = "inner", written: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per ``key`` and in ``size`` how many rows hold that key.
 
     Rows of hot keys meet a broadcast of fewer than ``HOT_KEYS`` rows where they are;
     only the others are shuffled, so no task gets more of a key than that share.
-    ``total`` is at least the sum of ``size``. ``key`` must not be null in ``table``.
+    ``total`` is at least the sum of ``size``. ``key`` must not be null in ``table``,
+    which is written first if it is not ``written``.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
     if total <= limit:
         return rows.join(table.drop(size), key, how)
-    heavy = F.broadcast(table.where(F.col(size) > limit).drop(size))
+    if not written:
+        table = materialise(table, "keys")
+    heavy = table.where(F.col(size) > limit).drop(size)
+    if heavy.isEmpty():
+        return rows.join(table.drop(size), key, how)
+    heavy = F.broadcast(heavy)
     near = rows.join(heavy.select(F.col(key).alias("_hot")), F.col(key) == F.col("_hot"), "left")
     hot = near.where("_hot is not null").drop("_hot").join(heavy, key)
     return hot.unionByName(near.where("_hot is null").drop("_hot").join(table.where(F.col(size) <= limit).drop(size), key, how))
@@ -133,7 +139,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), label)
-        large = spread_join(both, "a", least, "degree", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, "a", least, "degree", 2 * before[0], written=True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, label)
         lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
         small = spread_join(large, "a", lower, "degree", 2 * before[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
