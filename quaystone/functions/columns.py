@@ -81,13 +81,25 @@ def replay_target(column: Column) -> Column:
     return F.try_element_at(header_map(column), F.lit("source.topic"))
 
 
+def tenths(x: Column) -> Column:
+    """``x`` (not negative) with one decimal, as text: nearest to its exact value, exact ties to the even digit.
+
+    ``off`` is exactly ``20 x - m``: both differences are of numbers within a factor of two.
+    """
+    m = F.rint(x * 20)
+    off = (x * 16 - m) + x * 4
+    odd = m % 2 == 1
+    t = F.when(odd & ((off > 0) | ((off == 0) & (m % 4 == 3))), (m + 1) / 2).when(odd, (m - 1) / 2).otherwise(m / 2).cast("long")
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def format_duration(seconds: Column) -> Column:
-    """``250 ms``, ``12.3 s``, ``4.5 min``; a dash for null. Exact ties round up."""
+    """``250 ms``, ``12.3 s``, ``4.5 min``; a dash for null. Exact ties go to the even digit."""
     return (
         F.when(seconds.isNull(), "—")
-        .when(seconds < 1, F.concat(F.format_string("%.0f", seconds * 1000), F.lit(" ms")))
-        .when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit(" s")))
-        .otherwise(F.concat(F.format_string("%.1f", seconds / 60), F.lit(" min")))
+        .when(seconds < 1, F.concat(F.rint(seconds * 1000).cast("long").cast("string"), F.lit(" ms")))
+        .when(seconds < 60, F.concat(tenths(seconds), F.lit(" s")))
+        .otherwise(F.concat(tenths(seconds / 60), F.lit(" min")))
     )
 
 

@@ -1,19 +1,44 @@
 """From framed bytes to records: frame check, writer-schema lookup, body decoding, evolution.
 
-The body codec here is JSON; with Spark's Avro package `decode_body` can be given
-`from_avro` instead. A failure is a row with an ``error``, never a failed job.
+A failure is a row with an ``error``, never a failed job. How a body is read and written
+is a `Codec`; the default is JSON, and with Spark's Avro package one of ``from_avro`` and
+``to_avro`` takes its place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.functions.columns import pinned
-from quaystone.schema import CATALOG, CATALOG_TYPE, CHANNELS, DEFAULT_TIER, TICKET, TIERS
+from quaystone.schema import CATALOG, CATALOG_TYPE, DEFAULTS, SYMBOLS, TICKET
 
 UNDECODABLE = "UndecodableMessage"
+CORRUPT = "_corrupt"
+
+
+@dataclass(frozen=True)
+class Codec:
+    """Bodies to structs and back.
+
+    ``read(body, reader)`` gives the reader's fields and a string `CORRUPT`, which is
+    null where the body could be read; ``write(struct)`` gives bytes, nulls included.
+    """
+
+    read: Callable[[Column, T.StructType], Column]
+    write: Callable[[Column], Column]
+
+
+def _read_json(content: Column, reader: T.StructType) -> Column:
+    with_corrupt = T.StructType([*reader.fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(F.decode(content, "UTF-8"), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+JSON = Codec(_read_json, lambda record: F.encode(F.to_json(record, {"ignoreNullFields": "false"}), "UTF-8"))
 
 
 def frame_error(value: Column) -> Column:
@@ -54,32 +79,46 @@ def read_frames(log: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.when(unknown, F.concat(F.lit("unknown schema id "), F.col("schema_id").cast("string"))).otherwise(F.col("error"))).drop("known_id")
 
 
-def decode_body(framed: DataFrame, reader: T.StructType = TICKET, record: str = "Ticket") -> DataFrame:
+def decode_body(framed: DataFrame, reader: T.StructType = TICKET, record: str = "Ticket", codec: Codec = JSON) -> DataFrame:
     """Adds the reader's record as struct ``r`` and completes ``error``.
 
     A body fails if it is cut off, written as another record, lacks a field of its
-    writer's schema, or holds an unknown enum symbol. ``tier`` takes its default only
-    where the writer's schema has no such field.
+    writer's schema or one of the reader's that has no default, or holds an unknown
+    symbol in one of the reader's enum fields. A field takes its default only where the
+    writer's schema has no such field.
     """
-    with_corrupt = T.StructType([*reader.fields, T.StructField("_corrupt", T.StringType())])
-    raw = F.from_json(F.decode(body(F.col("value")), "UTF-8"), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = pinned(framed, raw=F.when(F.col("error").isNull() & F.col("value").isNotNull(), raw))
+    rows = pinned(framed, raw=F.when(F.col("error").isNull() & F.col("value").isNotNull(), codec.read(body(F.col("value")), reader)))
     written = lambda name: F.array_contains("fields", name)
-    tier = F.when(written("tier"), F.col("raw.tier")).otherwise(F.lit(DEFAULT_TIER))
-    whole = F.lit(True)
+    value = lambda name: F.when(written(name), F.col(f"raw.{name}")).otherwise(F.lit(DEFAULTS[name])) if name in DEFAULTS else F.col(f"raw.{name}")
+    whole = symbols = F.lit(True)
     for name in reader.fieldNames():
-        whole = whole & (F.col(f"raw.{name}").isNotNull() | ~written(name))
-    symbols = F.coalesce(F.col("raw.channel").isin(*CHANNELS), F.lit(False)) & F.coalesce(tier.isin(*TIERS), F.lit(False))
+        whole = whole & value(name).isNotNull()
+        if name in SYMBOLS:
+            symbols = symbols & F.coalesce(value(name).isin(*SYMBOLS[name]), F.lit(False))
     problem = (
         F.when(F.col("record") != record, F.concat(F.lit("written as "), F.col("record")))
-        .when(F.col("raw._corrupt").isNotNull() | ~whole, F.lit("body cannot be read"))
+        .when(F.col(f"raw.{CORRUPT}").isNotNull() | ~whole, F.lit("body cannot be read"))
         .when(~symbols, F.lit("unknown symbol"))
     )
-    fields = [tier.alias("tier") if n == "tier" else F.col(f"raw.{n}").alias(n) for n in reader.fieldNames()]
     rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("raw").isNotNull(), problem)))
-    return rows.withColumn("r", F.when(F.col("error").isNull() & F.col("raw").isNotNull(), F.struct(*fields))).drop("raw")
+    fields = F.struct(*[value(n).alias(n) for n in reader.fieldNames()])
+    return rows.withColumn("r", F.when(F.col("error").isNull() & F.col("raw").isNotNull(), fields)).drop("raw")
+
 
+def encode_error(record: Callable[[str], Column], writer: T.StructType) -> Column:
+    """Why a record cannot be written: the fields of ``writer`` without a value, and those with an unknown symbol; null if it can."""
+    missing = F.array_compact(F.array(*[F.when(record(n).isNull(), F.lit(n)) for n in writer.fieldNames()]))
+    unknown = [F.when(~record(n).isin(*SYMBOLS[n]), F.lit(n)) for n in writer.fieldNames() if n in SYMBOLS]
+    unknown = F.array_compact(F.array(*unknown)) if unknown else F.array().cast("array<string>")
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(F.size(unknown) > 0, F.concat(F.lit("unknown symbol in "), F.array_join(unknown, ", ")))
 
-def encode(record: Column, schema: int) -> Column:
-    """A record struct as a frame; nulls are written, so the reader sees what is missing."""
-    return frame(schema, F.encode(F.to_json(record), "UTF-8"))
+
+def encode(rows: DataFrame, record: str, schema: int, writer: T.StructType, codec: Codec = JSON) -> DataFrame:
+    """``rows`` with their struct ``record`` as a frame in ``encoded``, or null and the reason in ``encode_error``.
+
+    A null struct is written as null (a tombstone).
+    """
+    field = lambda n: F.col(f"{record}.{n}")
+    there = F.col(record).isNotNull()
+    rows = rows.withColumn("encode_error", F.when(there, encode_error(field, writer)))
+    return rows.withColumn("encoded", F.when(there & F.col("encode_error").isNull(), frame(schema, codec.write(F.struct(*[field(n).alias(n) for n in writer.fieldNames()])))))

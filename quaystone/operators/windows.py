@@ -2,8 +2,8 @@
 
 `window_counts` counts everything; its streaming form is in `quaystone.streaming`.
 The strict forms judge each row by the newest event time that arrived before it. That
-needs a running maximum over arrival order, which `running_max` takes in two levels,
-so no task ever sees more than one range of the order.
+needs a running maximum over arrival order, which `running_max` takes in levels, so no
+task ever sees more than one range of the order.
 """
 
 from __future__ import annotations
@@ -35,18 +35,29 @@ def window_counts(enriched: DataFrame, size_ms: int = 300_000) -> DataFrame:
 def running_max(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, inclusive: bool, range_size: int = RANGE) -> DataFrame:
     """``rows`` with the maximum of ``value`` over all rows of the same keys so far.
 
-    ``order`` starts with a number; ranges of it are reduced first, the ranges' maxima
-    are carried forward, and rows only look back within their own range.
+    ``order`` starts with a whole number. Ranges of ``range_size`` of it are reduced
+    first, their maxima are carried forward, and rows only look back within their own
+    range. The ranges' maxima are themselves such rows, so as many levels are taken as
+    the span of the order needs: no window holds more than ``range_size`` numbers.
     """
-    split = F.floor(F.col(order[0]) / range_size)
-    rows = rows.withColumn("_range", split).withColumn("_value", value)
-    tops = rows.groupBy(*keys, "_range").agg(F.max("_value").alias("_top"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_before", F.max("_top").over(earlier)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range") == F.col("_r")]
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = rows.join(tops, on, "left").withColumn(name, F.greatest(F.max("_value").over(inside), F.col("_before")))
-    return joined.drop("_range", "_value", "_r", "_before", *[f"_k{i}" for i in range(len(keys))])
+    low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
+    levels, span = 0, 0 if low is None else high - low + 1
+    while span > range_size:
+        levels, span = levels + 1, -(-span // range_size)
+    return _running_max(rows, keys, order, value, name, inclusive, range_size, levels)
+
+
+def _running_max(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, inclusive: bool, range_size: int, levels: int) -> DataFrame:
+    back = Window.unboundedPreceding, 0 if inclusive else -1
+    if not levels:
+        return rows.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*back)))
+    r, v, top, before = (f"_{x}{levels}" for x in ("range", "value", "top", "before"))
+    rows = rows.withColumn(r, F.floor(F.col(order[0]) / range_size)).withColumn(v, value)
+    tops = _running_max(rows.groupBy(*keys, r).agg(F.max(v).alias(top)), keys, [r], F.col(top), before, False, range_size, levels - 1)
+    tops = tops.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(r).alias("_r"), before)
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(r) == F.col("_r")]
+    inside = F.max(v).over(Window.partitionBy(*keys, r).orderBy(*order).rowsBetween(*back))
+    return rows.join(tops, on, "left").withColumn(name, F.greatest(inside, F.col(before))).drop(r, v, before, "_r", *[f"_k{i}" for i in range(len(keys))])
 
 
 def judged_lateness(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1, range_size: int = RANGE) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quaystone.functions import columns as C
 from quaystone.operators import decode, enrich, latest, replay, reports, route, sink, validate, windows
 from quaystone.plans import tickets as P
-from quaystone.plans.tickets import NOW_MS, dead_bounds, dead_log, raw_log, tickets
-from quaystone.schema import COUNTED_TOPICS, PRIORITIES, RAW, VALID
+from quaystone.plans.tickets import NOW_MS, dead_bounds, dead_log, enriched_log, raw_log, tickets
+from quaystone.schema import BILLING, COUNTED_TOPICS, OTHER, PRIORITIES, RAW, TECH, TICKET, VALID
 from quaystone.sources import log as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,10 +267,33 @@ def route_topics(spark, sf_dir):
     return routed(spark, sf_dir).select("event_id", "copy", "topic")
 
 
-@query(_JUDGED + "select case when kind = 'tombstone' then 'skipped' when error_type is not null then 'dead_letter' else 'counted' end as outcome, part as partition, count(*) as n from o group by all")
+@query(
+    f""", k as (select *, {P.ENRICHED_KIND} as kind from t),
+j as (select *, concat_ws(', ', {_TICKET_RULES}, case when kind = 'range' then 'sentiment' end) as broken from k),
+o as (select *, case when kind = 'tombstone' then 'ValueError' when kind in ('ticket', 'cut', 'symbol', 'missing') then 'UndecodableMessage' when broken <> '' then 'ValidationError' end as error_type,
+  case kind when 'tombstone' then 'message has no value' when 'ticket' then 'written as Ticket' when 'cut' then 'body cannot be read' when 'missing' then 'body cannot be read' when 'symbol' then 'unknown symbol'
+    else case when broken <> '' then 'invalid: ' || broken end end as error_message from j)
+select event_id, case when kind = 'tombstone' then 'skipped' when error_type is not null then 'dead_letter' else 'counted' end as outcome, error_type, error_message,
+  case when error_type is null then category end as category, case when error_type is null then sentiment end as sentiment from o"""
+)
 def agg_dead_letters(spark, sf_dir):
-    rows = route.aggregator_input(raw_log(spark, sf_dir), decode.catalog(spark))
-    return rows.groupBy("outcome", F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"))
+    rows = route.aggregator_input(enriched_log(spark, sf_dir), decode.catalog(spark))
+    good = F.col("error_type").isNull()
+    return rows.select("event_id", "outcome", "error_type", "error_message", F.when(good, F.col("r.category")).alias("category"), F.when(good, F.col("r.sentiment")).alias("sentiment"))
+
+
+@query(
+    """, x as (select event_id, tier, case event_id % 10 when 2 then null when 4 then '' else summary end as summary, case event_id % 10 when 6 then 'fax' else channel end as channel, event_id % 10 = 8 as gone from t)
+select event_id, case when gone then null when summary is null then 'missing body' when channel = 'fax' then 'unknown symbol in channel' end as refused,
+  case when gone or summary is null or channel = 'fax' then null else summary end as body, case when gone or summary is null or channel = 'fax' then null else tier end as tier from x"""
+)
+def encode(spark, sf_dir):
+    t = tickets(spark, sf_dir).withColumn("created_at", F.col("created_ms"))
+    t = t.withColumn("body", F.when(F.col("event_id") % 10 == 4, "").when(F.col("event_id") % 10 != 2, F.col("summary"))).withColumn("channel", F.when(F.col("event_id") % 10 == 6, "fax").otherwise(F.col("channel")))
+    rows = C.pinned(t, record=F.when(F.col("event_id") % 10 != 8, F.struct(*TICKET.fieldNames())))
+    out = C.pinned(decode.encode(rows, "record", 2, TICKET).select("event_id", "encode_error", "encoded"), value=F.col("encoded"))
+    again = decode.decode_body(decode.read_frames(out, decode.catalog(spark)))
+    return again.select("event_id", F.col("encode_error").alias("refused"), "r.body", "r.tier")
 
 
 # Enrichment
@@ -423,10 +446,23 @@ def next_offsets(spark, sf_dir):
     return L.next_offsets(raw_log(spark, sf_dir)).withColumn("partition", F.col("partition").cast("long"))
 
 
-@query(_JUDGED + "select count(*) as seen, count(*) filter (where error_type is null) as valid, count(error_type) as dead_lettered, count(*) filter (where error_type = 'UndecodableMessage') as undecodable from o")
+@query(
+    _JUDGED
+    + """, v as (select *, cast('0x' || substr(ticket_id, 1, 1) as bigint) % 6 < 4 as answered, case split_part(trim(subject), ' ', 1) when 'purchase' then 'billing' when 'error' then 'technical' when 'signup' then 'account' else 'other' end as kind_of from o)
+select count(*) as seen, count(*) filter (where error_type is null) as valid, count(error_type) as dead_lettered, count(*) filter (where error_type = 'UndecodableMessage') as undecodable,
+  count(*) filter (where error_type is null and answered) as enriched, count(*) filter (where error_type is null and not answered) as failed,
+  count(*) filter (where error_type is null and answered and kind_of = 'billing') as routed_billing, count(*) filter (where error_type is null and answered and kind_of = 'technical') as routed_tech,
+  count(*) filter (where error_type is null and answered and kind_of in ('account', 'other')) as routed_other from v"""
+)
 def run_counters(spark, sf_dir):
     rows = route.judged(raw_log(spark, sf_dir), decode.catalog(spark))
-    return rows.agg(F.count("*").alias("seen"), F.count_if(F.col("error_type").isNull()).alias("valid"), F.count("error_type").alias("dead_lettered"), F.count_if(F.col("error_type") == "UndecodableMessage").alias("undecodable"))
+    valid = rows.where("error_type is null").select("r.ticket_id", "r.subject")
+    answers = enrich.classify(valid, _flaky, sleep=lambda s: None)
+    topics = C.route_topics(F.col("category"), F.col("priority"))
+    routed_to = lambda t: F.count_if(F.array_contains(topics, t))
+    first = rows.agg(F.count("*").alias("seen"), F.count_if(F.col("error_type").isNull()).alias("valid"), F.count("error_type").alias("dead_lettered"), F.count_if(F.col("error_type") == "UndecodableMessage").alias("undecodable"))
+    second = answers.agg(F.count_if(F.col("error").isNull()).alias("enriched"), F.count("error").alias("failed"), routed_to(BILLING).alias("routed_billing"), routed_to(TECH).alias("routed_tech"), routed_to(OTHER).alias("routed_other"))
+    return first.join(F.broadcast(second), F.lit(True))  # one row each
 
 
 # Replay
@@ -518,9 +554,10 @@ def stats_pivot(spark, sf_dir):
 
 
 @query(
-    """, x as (select event_id, case when event_id % 13 = 0 then null else ((event_id * 7919) % 1000000) / 1000.0::double / (1 + 500 * (event_id % 3)) + 0.00013 end as s from t)
+    """, x as (select event_id, case when event_id % 13 = 0 then null when event_id % 5 = 1 then (event_id % 3000) / 20.0::double when event_id % 5 = 2 then (event_id % 400) / 16.0::double else ((event_id * 7919) % 1000000) / 1000.0::double / (1 + 500 * (event_id % 3)) + 0.00013 end as s from t)
 select event_id, case when s is null then '—' when s < 1 then printf('%.0f', s * 1000) || ' ms' when s < 60 then printf('%.1f', s) || ' s' else printf('%.1f', s / 60) || ' min' end as shown from x"""
 )
 def format_duration(spark, sf_dir):
-    s = F.when(F.col("event_id") % 13 != 0, F.expr("((event_id * 7919) % 1000000) / 1000.0D / (1 + 500 * (event_id % 3)) + 0.00013D"))
+    ties = F.when(F.col("event_id") % 5 == 1, F.expr("(event_id % 3000) / 20.0D")).when(F.col("event_id") % 5 == 2, F.expr("(event_id % 400) / 16.0D"))
+    s = F.when(F.col("event_id") % 13 != 0, F.coalesce(ties, F.expr("((event_id * 7919) % 1000000) / 1000.0D / (1 + 500 * (event_id % 3)) + 0.00013D")))
     return tickets(spark, sf_dir).select("event_id", C.format_duration(s).alias("shown"))

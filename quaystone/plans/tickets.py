@@ -5,11 +5,12 @@ The same mapping is given as SQL for DuckDB, so queries can be compared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.functions.columns import pinned, route_topics
 from quaystone.operators.decode import frame
-from quaystone.schema import DEAD, RAW
+from quaystone.schema import DEAD, ENRICHED, RAW
 
 NOW_MS = 1_706_616_000_000  # 2024-01-30 12:00:00 UTC
 
@@ -63,32 +64,54 @@ def _split(columns: str) -> list[str]:
 KIND = "case event_id % 29 when 3 then 'tombstone' when 5 then 'short' when 7 then 'json' when 9 then 'unknown' when 11 then 'cut' when 13 then 'symbol' when 15 then 'enriched' else case when event_id % 2 = 0 then 'v1' else 'v2' end end"
 
 
+def _logged(t: DataFrame, topic: Column, value: Column, *columns: str) -> DataFrame:
+    """Rows of a log; the value is made once per row, not again in each use."""
+    log = pinned(t, framed=value)
+    return log.select(
+        topic.alias("topic"), F.col("part").cast("int").alias("partition"), F.expr("event_id div 3").alias("offset"), F.timestamp_millis("created_ms").alias("timestamp"),
+        F.encode("customer_id", "UTF-8").alias("key"), F.col("framed").alias("value"), F.array().cast("array<struct<key:string,value:binary>>").alias("headers"), *columns,
+    )
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed tickets of both versions, and a share of broken rows (`KIND`)."""
     t = tickets(spark, sf_dir).withColumn("kind", F.expr(KIND)).withColumn("created_at", F.col("created_ms"))
     v1 = ("ticket_id", "customer_id", "created_at", "channel", "product", "subject", "body")
-    text = lambda *c: F.encode(F.to_json(F.struct(*c)), "UTF-8")
-    one, two = text(*v1), text(*v1, "tier")
-    symbol = text(*[F.lit("fax").alias("channel") if c == "channel" else F.col(c) for c in v1], "tier")
-    value = (
-        F.when(F.col("kind") == "short", F.unhex(F.lit("00000002"))).when(F.col("kind") == "json", two).when(F.col("kind") == "unknown", frame(999999, two))
-        .when(F.col("kind") == "cut", frame(2, F.substring(two, 1, 40))).when(F.col("kind") == "symbol", frame(2, symbol)).when(F.col("kind") == "enriched", frame(3, two))
-        .when(F.col("kind") == "v1", frame(1, one)).when(F.col("kind") == "v2", frame(2, two))
-    )
-    return t.select(
-        F.lit(RAW).alias("topic"), F.col("part").cast("int").alias("partition"), F.expr("event_id div 3").alias("offset"), F.timestamp_millis("created_ms").alias("timestamp"),
-        F.encode("customer_id", "UTF-8").alias("key"), value.alias("value"), F.array().cast("array<struct<key:string,value:binary>>").alias("headers"), "event_id", "kind",
-    )
+    # One record per row: version 1 has no tier, and a null field is left out.
+    fields = [F.when(F.col("kind") == "symbol", F.lit("fax")).otherwise(F.col(c)).alias(c) if c == "channel" else F.col(c) for c in v1]
+    text = F.encode(F.to_json(F.struct(*fields, F.when(F.col("kind") != "v1", F.col("tier")).alias("tier"))), "UTF-8")
+    t = pinned(t, text=text)
+    number = F.when(F.col("kind") == "v1", 1).when(F.col("kind") == "unknown", 999999).when(F.col("kind") == "enriched", 3).otherwise(2)
+    content = F.when(F.col("kind") == "cut", F.substring("text", 1, 40)).otherwise(F.col("text"))
+    value = F.when(F.col("kind") == "short", F.unhex(F.lit("00000002"))).when(F.col("kind") == "json", F.col("text")).when(F.col("kind") != "tombstone", frame(number, content))
+    return _logged(t, F.lit(RAW), value, "event_id", "kind")
+
+
+#: What is wrong with a row of the enriched log, by ``event_id % 37``.
+ENRICHED_KIND = "case event_id % 37 when 2 then 'tombstone' when 4 then 'ticket' when 6 then 'cut' when 8 then 'symbol' when 10 then 'range' when 12 then 'missing' else 'good' end"
+
+
+def enriched_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Framed enriched tickets under their category's topic, and a share of broken rows (`ENRICHED_KIND`)."""
+    t = tickets(spark, sf_dir).withColumn("kind", F.expr(ENRICHED_KIND)).withColumns({"created_at": F.col("created_ms"), "enriched_at": F.col("enriched_ms")})
+    changed = {
+        "category": F.when(F.col("kind") != "symbol", F.col("category")).otherwise(F.lit("spam")), "sentiment": F.when(F.col("kind") != "range", F.col("sentiment")).otherwise(F.lit(1.5)),
+        "model": F.when(F.col("kind") != "missing", F.col("model")),
+    }
+    t = pinned(t, text=F.encode(F.to_json(F.struct(*[changed.get(n, F.col(n)).alias(n) for n in ENRICHED.fieldNames()])), "UTF-8"))
+    content = F.when(F.col("kind") == "cut", F.substring("text", 1, 40)).otherwise(F.col("text"))
+    value = F.when(F.col("kind") != "tombstone", frame(F.when(F.col("kind") == "ticket", 2).otherwise(3), content))
+    return _logged(t, route_topics(F.col("category"), F.lit("low"))[0], value, "event_id", "kind")
 
 
 def dead_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dead letters of every seventh ticket; some name no origin, all have a repeated and a null header."""
-    t = tickets(spark, sf_dir).where("event_id % 7 = 0").withColumn("n", F.expr("event_id div 7"))
+    """A dead letter of every ticket; some name no origin, all have a repeated and a null header."""
+    t = tickets(spark, sf_dir)
     header = lambda k, v: F.struct(F.lit(k).alias("key"), F.encode(v, "UTF-8").alias("value"))
     always = [header("error.type", F.lit("first")), header("error.type", F.concat(F.lit("kind"), (F.col("event_id") % 4).cast("string"))), header("empty", F.lit(None).cast("string"))]
     named = header("source.topic", F.when(F.col("event_id") % 2 == 0, F.lit(RAW)).otherwise(F.lit("tickets.valid")))
     return t.select(
-        F.lit(DEAD).alias("topic"), (F.col("n") % 3).cast("int").alias("partition"), F.expr("n div 3").alias("offset"), F.timestamp_millis("created_ms").alias("timestamp"),
+        F.lit(DEAD).alias("topic"), F.col("part").cast("int").alias("partition"), F.expr("event_id div 3").alias("offset"), F.timestamp_millis("created_ms").alias("timestamp"),
         F.encode("customer_id", "UTF-8").alias("key"), F.encode("summary", "UTF-8").alias("value"), F.when(F.col("event_id") % 5 == 2, F.array(*always)).otherwise(F.array(*always, named)).alias("headers"), "event_id",
     )
 
@@ -99,8 +122,8 @@ def dead_bounds(log: DataFrame) -> DataFrame:
 
 
 #: The dead letters and their bounds for DuckDB, to follow `SQL`.
-DEAD_SQL = """, d as (select *, (event_id // 7) % 3 as dpart, event_id // 21 as doff,
-  case when event_id % 5 = 2 then null when event_id % 2 = 0 then 'tickets.raw' else 'tickets.valid' end as target from t where event_id % 7 = 0),
+DEAD_SQL = """, d as (select *, part as dpart, event_id // 3 as doff,
+  case when event_id % 5 = 2 then null when event_id % 2 = 0 then 'tickets.raw' else 'tickets.valid' end as target from t),
 b as (select dpart as bpart, dpart + 5 as next_offset, max(doff) * 2 // 3 as high from d group by dpart),
 s as (select d.* from d join b on dpart = bpart and doff >= next_offset and doff < high)
 """

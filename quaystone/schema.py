@@ -18,6 +18,9 @@ STATS, LATEST, SINK_DEAD = "tickets.stats", "customers.latest", "tickets.sink.dl
 COUNTED_TOPICS = (BILLING, TECH, OTHER)
 
 DEFAULT_TIER = "free"
+#: Values of fields that a writer's schema may lack, and the symbols of enum fields.
+DEFAULTS = {"tier": DEFAULT_TIER}
+SYMBOLS = {"channel": CHANNELS, "tier": TIERS, "category": CATEGORIES, "priority": PRIORITIES}
 MAX_SUBJECT, MAX_SUMMARY, MAX_ERROR = 200, 300, 1000
 RETENTION_DAYS = 30
 

@@ -10,15 +10,17 @@ the rows before it, as the batch operator of that name does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quaystone.operators.sink import upsert
 from quaystone.operators.windows import by_dimension
 
 #: Settings these operators need: state that survives and can be large, and late rows
@@ -138,6 +140,48 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, topic: Column |
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, columns: str, keys: list[str], written: list[str], now: Callable[[int], Column], buckets: int = 16) -> StreamingQuery:
+    """Keyed upserts (`sink.upsert`) of a stream into a table of files.
+
+    The table lies in ``buckets`` of its keys' hash, and a batch rewrites only the
+    buckets it has keys of, as a new version; `read_upserted` reads the versions that
+    the ledger names, and its row is written last. A redone batch starts from the
+    version before it and overwrites its own, so each batch counts once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        batch = bucket(batch).persist()
+        try:
+            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets``
+            if not touched:
+                return
+            current = read_upserted(spark, path, columns, before=number).where(F.col("bucket").isin(touched))
+            table = upsert(current.drop("bucket", "version"), batch.drop("bucket"), keys, written, now(number))
+            bucket(table).withColumn("version", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(path)
+            done = spark.createDataFrame([(number, b, number) for b in touched], "version long, bucket int, done long")
+            done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("done").parquet(f"{path}_ledger")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, path: str, columns: str, before: int | None = None) -> DataFrame:
+    """The table of `upsert_batches`: each bucket's newest finished version (before a batch)."""
+    empty = spark.createDataFrame([], f"{columns}, version long, bucket int")
+    try:
+        ledger = spark.read.schema("version long, bucket int, done long").parquet(f"{path}_ledger")
+    except AnalysisException:  # nothing is written yet
+        return empty
+    if before is not None:
+        ledger = ledger.where(F.col("version") < before)
+    newest = ledger.groupBy("bucket").agg(F.max("version").alias("version"))
+    rows = spark.read.schema(f"{columns}, version long, bucket int").parquet(path)
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi")  # a row per bucket
+
+
 def counted(rows: DataFrame, name: str, **conditions: Column) -> DataFrame:
     """``rows`` with run counters that listeners see per batch."""
     return rows.observe(name, F.count(F.lit(1)).alias("seen"), *[F.count_if(c).alias(n) for n, c in conditions.items()])

@@ -1,11 +1,20 @@
 """Operators on hand-written rows."""
 
+import json
+import os
+import statistics
+
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.functions import columns as C
 from quaystone.operators import decode, enrich, latest, replay, reports, route, sink, validate, windows
-from quaystone.sources import log
+from quaystone.plans.queries import QUERIES
+from quaystone.schema import LOG, TICKET
+from quaystone.sources import log as L
+from tests.test_queries import SF
 
 BASE = {"ticket_id": "6f1c2f0e-9c39-4c52-8f5e-3c9d6c1f7a10", "customer_id": "C-0042", "created_at": 1, "channel": "email", "product": "Hub", "subject": "Help", "body": "It broke", "tier": "free"}
 
@@ -56,8 +65,6 @@ def raw(spark, *values):
 
 
 def test_decode_and_split(spark):
-    import json
-
     def framed(schema, **fields):
         return b"\0" + schema.to_bytes(4, "big") + json.dumps(fields).encode()
 
@@ -178,6 +185,62 @@ def test_retries(spark):
 
 def test_log_helpers(spark):
     rows = spark.createDataFrame([("t", 0, 5, "a"), ("t", 0, 7, "a"), ("t", 1, 0, "b")], "topic string, partition int, offset long, k string")
-    assert [tuple(r) for r in log.next_offsets(rows).collect()] == [("t", 0, 8), ("t", 1, 1)]
-    assert {(r.k, r.offset) for r in log.compact(rows, "k", ["offset"]).collect()} == {("a", 7), ("b", 0)}
-    assert log.kafka_source_options("h:1", ["a", "b"])["subscribe"] == "a,b"
+    assert [tuple(r) for r in L.next_offsets(rows).collect()] == [("t", 0, 8), ("t", 1, 1)]
+    assert {(r.k, r.offset) for r in L.compact(rows, "k", ["offset"]).collect()} == {("a", 7), ("b", 0)}
+    assert L.kafka_source_options("h:1", ["a", "b"])["subscribe"] == "a,b"
+
+
+def test_encode_refuses_what_the_schema_lacks(spark):
+    """A record without a required field or with an unknown symbol is not written; a null record is a tombstone."""
+    fields = ("t", "C-0001", 5, "email", "p", "s", "b", "free")
+    rows = [fields, (*fields[:6], None, "free"), (*fields[:3], "fax", *fields[4:]), (*fields[:6], "", "free"), None]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], T.StructType([T.StructField("n", T.IntegerType()), T.StructField("record", TICKET)]))
+    got = {r.n: r for r in decode.encode(frame, "record", 2, TICKET).collect()}
+    assert [got[n].encode_error for n in range(5)] == [None, "missing body", "unknown symbol in channel", None, None]
+    assert [got[n].encoded is None for n in range(5)] == [False, True, True, False, True]
+
+
+def test_another_codec_takes_the_place_of_json(spark):
+    """Bodies as comma-separated values."""
+    reader = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    corrupt = T.StructType([*reader.fields, T.StructField(decode.CORRUPT, T.StringType())])
+    codec = decode.Codec(lambda body, _: F.from_csv(F.decode(body, "UTF-8"), ", ".join(f"{f.name} string" for f in corrupt.fields), {"columnNameOfCorruptRecord": decode.CORRUPT}), lambda r: F.encode(F.concat_ws(",", r["a"], r["b"]), "UTF-8"))
+    rows = spark.createDataFrame([(1, ("x", "y")), (2, ("x", None))], T.StructType([T.StructField("n", T.IntegerType()), T.StructField("r0", reader)]))
+    out = decode.encode(rows, "r0", 7, reader, codec).select("n", F.col("encoded").alias("value"))
+    schemas = spark.createDataFrame([(7, "s", 1, "Pair", ["a", "b"])], decode.CATALOG_TYPE)
+    got = {r.n: r.r for r in decode.decode_body(decode.read_frames(out, schemas), reader, "Pair", codec).collect()}
+    assert tuple(got[1]) == ("x", "y") and got[2] is None
+
+
+def test_the_aggregator_counts_enriched_tickets(spark):
+    """Enriched records are counted; raw tickets, broken bytes and broken rules are dead letters; a null value is skipped."""
+    good = {"ticket_id": "00000000-0000-4000-8000-000000000001", "customer_id": "C-0001", "created_at": 1, "channel": "chat", "product": "p", "subject": "s", "body": "b", "tier": "free"}
+    more = {"category": "billing", "priority": "low", "sentiment": 0.5, "summary": " fine ", "enriched_at": 2, "model": "m"}
+    frame = lambda n, fields: b"\0" + n.to_bytes(4, "big") + json.dumps(fields).encode()
+    values = [frame(3, good | more), frame(2, good), frame(3, good | more | {"sentiment": 2.0}), frame(3, good | more | {"category": "spam"}), frame(3, good), b"\xff\xfe", None]
+    log = spark.createDataFrame([("tickets.billing", 0, i, None, None, v, []) for i, v in enumerate(values)], LOG)
+    got = {r.offset: r for r in route.aggregator_input(log, decode.catalog(spark)).collect()}
+    assert [got[i].outcome for i in range(7)] == ["counted", *["dead_letter"] * 5, "skipped"]
+    assert got[0].r.summary == "fine" and [got[i].error_type for i in range(1, 4)] == ["UndecodableMessage", "ValidationError", "UndecodableMessage"]
+
+
+@pytest.mark.parametrize("values", [[], [None], [7], [1, 2], [5, 1, 9], [3, 3, 3, 100_000], [0, 70_000, 140_000, 210_000], [-5, -70_000, 8]])
+def test_medians(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values], "v long")
+    known = [v for v in values if v is not None]
+    assert reports.median(frame, F.col("v")).first()[0] == (statistics.median(known) if known else None)
+
+
+def test_pivot_refuses_too_many_columns(spark):
+    stats = spark.createDataFrame([(0, 60, f"v{i}", i) for i in range(5)], "window_start long, window_end long, value string, count long")
+    assert len(reports.stats_pivot(stats, ("v0",), 4).columns) == 6 and reports.stats_long(stats).count() == 5
+    with pytest.raises(ValueError):
+        reports.stats_pivot(stats, ("v0",), 3)
+
+
+def test_no_query_fails_to_compile(spark, capfd):
+    """Records are decoded once per row, so generated code stays within bounds."""
+    if os.path.isdir(SF):
+        for name in ("schema_lookup", "decode_body", "validate_split", "dead_letter_record", "agg_dead_letters", "encode"):
+            QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+        assert "grows beyond 64 KB" not in "".join(capfd.readouterr())

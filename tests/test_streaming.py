@@ -1,10 +1,14 @@
 """Streams of one file per batch, restarts, and equality with the batch operators."""
 
+import json
+import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from quaystone.operators import latest, windows
+from quaystone.operators import decode, enrich, latest, route, windows
+from quaystone.schema import LOG
 from quaystone.streaming import tickets as S
 from tests.test_operators import STORY, WANT, story
 
@@ -69,3 +73,55 @@ def test_batches_are_written_once(spark, tmp_path):
     S.write_batches(S.read_table(spark, path, SCHEMA), table, str(tmp_path / f"cp-{uuid.uuid4().hex}")).awaitTermination(120)
     assert spark.read.parquet(table).count() == len(STORY)
     assert spark.read.parquet(f"{table}_ledger").count() == 2
+
+
+def raw(spark, rows):
+    """Log rows of ``(offset, value)``."""
+    return spark.createDataFrame([("tickets.raw", 0, n, None, b"k", value, []) for n, value in rows], LOG)
+
+
+def framed(schema, **fields):
+    return b"\0" + schema.to_bytes(4, "big") + json.dumps(fields).encode()
+
+
+GOOD = {"ticket_id": "00000000-0000-4000-8000-000000000001", "customer_id": "C-0042", "created_at": 1, "channel": "email", "product": "p", "subject": " error here ", "body": "b"}
+
+
+def test_validate_and_route_work_on_streams(spark, tmp_path):
+    """The stateless operators give the same rows on a stream as on the whole table."""
+    path = str(tmp_path / "in")
+    rows = [framed(1, **GOOD), framed(2, **GOOD, tier="pro"), framed(2, **(GOOD | {"body": " "}), tier="pro"), b"{}", None, framed(999999, **GOOD), b"\xff\xfe"]
+    whole = raw(spark, list(enumerate(rows)))
+    for n in range(len(rows)):
+        append(whole.where(f"offset = {n}"), path)
+    schemas, at = decode.catalog(spark), F.lit("t")
+    stream = S.read_table(spark, path, LOG, 2)
+    key = lambda df: sorted(str(r) for r in df.collect())
+    got = spark.read.parquet(run(route.validate_split(stream, schemas, at), tmp_path, "split"))
+    want = route.validate_split(whole, schemas, at)
+    assert key(got.select(*want.columns)) == key(want) and want.where("out_topic = 'tickets.valid'").count() == 2
+
+    def enriched(log):
+        valid = route.judged(log, schemas).where("error_type is null").select("r.*")
+        answers = enrich.classify(valid.select("ticket_id", "subject", "tier"), lambda: enrich.classify_rules)
+        return route.fan_out(answers).select("ticket_id", "category", "topic")
+
+    got = spark.read.parquet(run(enriched(S.read_table(spark, path, LOG, 2)), tmp_path, "enriched"))
+    assert key(got) == key(enriched(whole)) and {r.topic for r in got.collect()} == {"tickets.tech"}
+
+
+def test_upserts_keep_the_first_load_over_batches(spark, tmp_path):
+    """Later batches overwrite, ``loaded_at`` stays, a redone batch counts once."""
+    path, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    columns, wire = "ticket_id string, priority string, loaded_at long", "ticket_id string, priority string, at long"
+    parts = [[("a", "low", 1), ("b", "low", 2)], [("a", "urgent", 4), ("a", "high", 3), ("c", "low", 5)], [("b", "medium", 6)]]
+    for n, part in enumerate(parts):
+        append(spark.createDataFrame(part, wire), path)
+        stream = S.read_table(spark, path, wire)
+        assert S.upsert_batches(stream, table, checkpoint, columns, ["ticket_id"], ["at"], lambda k: F.lit(100 + k), buckets=3).awaitTermination(120)
+    rows = {tuple(r) for r in S.read_upserted(spark, table, columns).select("ticket_id", "priority", "loaded_at").collect()}
+    assert rows == {("a", "urgent", 100), ("b", "medium", 100), ("c", "low", 101)}
+    for name in ("2", ".2.crc"):  # the last batch is done again
+        os.remove(f"{checkpoint}/commits/{name}")
+    assert S.upsert_batches(S.read_table(spark, path, wire), table, checkpoint, columns, ["ticket_id"], ["at"], lambda k: F.lit(900 + k), buckets=3).awaitTermination(120)
+    assert {tuple(r) for r in S.read_upserted(spark, table, columns).select("ticket_id", "priority", "loaded_at").collect()} == rows
