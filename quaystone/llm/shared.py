@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="quaystone-", ignore_cleanup_errors=True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share, the session's ``spark.checkpoint.dir``.
 
-    It has to be set (tests set their own): a folder of this machine would not be seen elsewhere.
+    It has to be set on a cluster, as a folder of one machine would not be seen elsewhere. Where
+    driver and executor are one process, a folder that ends with it takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        root = f"file://{_own_folder().name}"
     if not root:
         raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
