@@ -29,8 +29,8 @@ only preselect, 32 within their range).
 
 Defined results
     null text: as the empty text, nothing to remove. Texts shorter than ``length``
-    stay whole. White space at the ends of a removed run of words stays. Repeated rows are copies: both are removed if long enough. Empty
-    table: empty result. All columns are carried along.
+    stay whole. White space at the ends of a removed run of words stays. Repeated rows
+    are copies: both are removed if long enough. Empty table: empty result. All columns are carried along.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ LENGTH = 400
 #: Passages of at least so many words are repeats where texts are strings of words.
 PASSAGE_WORDS = 50
 UNIT_BYTES = 3 << 20
+#: Bytes of texts for each partition of units, where the session's number of partitions would make larger ones.
+PART_BYTES = 128 << 20
 #: Bytes of input for each range of names; a range's names are sorted in one task.
 NAME_RANGE, PREFIX_RANGE = 24 << 20, 4 << 20
 
@@ -278,7 +280,9 @@ def cut(docs: DataFrame, length: int = LENGTH, text_column: str = "text", unit_b
     columns, at = docs.columns, docs.columns.index(text_column)
     carried = [f"c{i}" for i in range(len(columns))]
     text = carried[at]
+    parts = max(-(-total // PART_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.toDF(*carried).withColumn("unit", F.pmod(F.xxhash64(*[c for c in carried if dict(zip(carried, [t for _, t in docs.dtypes], strict=True))[c] in ("bigint", "int", "string")]), F.lit(units)).cast("int"))
+    rows = rows.repartition(parts, "unit")  # the one shuffle of the texts
 
     def first(table: pa.Table) -> pa.Table:
         step = SampledNames(Unit(_texts(table, text), length, by_words), name_parts)
