@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm import ann, bpe, license_scan, media, mixing, near_dup, quality, suffix_dedup, url_filter, warc
-from quaystone.llm.shared import materialise, read_table, small_batches
+from quaystone.llm import ann, bpe, conversations, license_scan, media, mixing, near_dup, quality, ranked_search, suffix_dedup, token_counts, url_filter, warc
+from quaystone.llm.shared import materialise, read_table, scratch_path, small_batches
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own: a query's result does not depend on what ran before."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -70,8 +83,9 @@ def _with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Call
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _with_small_batches(f) for f in (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc)}
+    found = (op1_bpe, op2_quality, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_ann, op7_near_dup, op8_media, op9_mixing, op10_warc, op11_token_counts, op12_conversations, op13_ranked_search)
+    return {f.__name__: _with_small_batches(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL, "op12_conversations": conversations.SQL, "op13_ranked_search": ranked_search.SQL}
