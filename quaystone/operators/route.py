@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.functions.columns import headers, pinned, route_topics, strip, truncate_error
+from quaystone.functions.columns import headers, pinned, route_topics, truncate_error
 from quaystone.operators.decode import JSON, UNDECODABLE, Codec, decode_body, encode, read_frames
-from quaystone.operators.validate import TEXTS, enriched_errors, ticket_errors
+from quaystone.operators.validate import cleaned, enriched_errors, ticket_errors
 from quaystone.schema import DEAD, ENRICHED, TICKET, VALID
 
 TOMBSTONE = "message has no value"
 
 
+def is_tombstone() -> Column:
+    """A record without a value: a dead letter for validator and enricher, skipped by the aggregator."""
+    return F.col("value").isNull()
+
+
 @dataclass(frozen=True)
 class Kind:
     """What a log's records are read as: the reader's schema, the record's name, and its rules."""
@@ -37,14 +42,14 @@ def dead_headers(error_type: Column, message: Column, failed_at: Column) -> Colu
 
 
 def judged(log: DataFrame, schemas: DataFrame, kind: Kind = TICKETS, codec: Codec = JSON) -> DataFrame:
-    """``log`` decoded and checked: struct ``r`` (texts stripped), ``error_type``, ``error_message``."""
+    """``log`` decoded and checked: struct ``r`` (fields `cleaned`), ``error_type``, ``error_message``."""
     rows = decode_body(read_frames(log, schemas), kind.reader, kind.record, codec)
-    kept = [(strip(F.col(f"r.{n}")) if n in TEXTS else F.col(f"r.{n}")).alias(n) for n in kind.reader.fieldNames()]
+    kept = [cleaned(n, F.col(f"r.{n}")).alias(n) for n in kind.reader.fieldNames()]
     rows = pinned(rows, clean=F.when(F.col("r").isNotNull(), F.struct(*kept))).drop("r").withColumnRenamed("clean", "r")
     errors = kind.errors(lambda n: F.col(f"r.{n}"))
     rows = pinned(rows, errors=F.when(F.col("r").isNotNull(), errors).otherwise(F.array().cast("array<string>")))
-    kind_of_error = F.when(F.col("value").isNull(), "ValueError").when(F.col("error").isNotNull(), UNDECODABLE).when(F.size("errors") > 0, "ValidationError")
-    message = F.when(F.col("value").isNull(), TOMBSTONE).otherwise(F.coalesce("error", F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", ", ")))))
+    kind_of_error = F.when(is_tombstone(), "ValueError").when(F.col("error").isNotNull(), UNDECODABLE).when(F.size("errors") > 0, "ValidationError")
+    message = F.when(is_tombstone(), TOMBSTONE).otherwise(F.coalesce("error", F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", ", ")))))
     return rows.withColumn("error_type", kind_of_error).withColumn("error_message", message)
 
 
@@ -74,4 +79,4 @@ def fan_out(enriched: DataFrame) -> DataFrame:
 def aggregator_input(log: DataFrame, schemas: DataFrame, kind: Kind = ENRICHED_TICKETS, codec: Codec = JSON) -> DataFrame:
     """The enriched log as `judged`, with ``outcome``: counted, dead_letter, or skipped for a record without a value."""
     rows = judged(log, schemas, kind, codec)
-    return rows.withColumn("outcome", F.when(F.col("value").isNull(), "skipped").when(F.col("error_type").isNotNull(), "dead_letter").otherwise("counted"))
+    return rows.withColumn("outcome", F.when(is_tombstone(), "skipped").when(F.col("error_type").isNotNull(), "dead_letter").otherwise("counted"))

@@ -14,9 +14,16 @@ CUSTOMER = r"(?U)^C-\d{4}\z"
 TEXTS = ("customer_id", "product", "subject", "body", "summary", "model")
 
 
+def cleaned(name: str, value: Column) -> Column:
+    """A field as it is passed on: texts without white space at their ends, a ticket's UUID in canonical form if it is one."""
+    if name == "ticket_id":
+        return F.coalesce(canonical_uuid(value), value)
+    return strip(value) if name in TEXTS else value
+
+
 def stripped(df: DataFrame) -> DataFrame:
-    """Text fields without white space at their ends; the result is what is passed on."""
-    return df.withColumns({c: strip(F.col(c)) for c in TEXTS if c in df.columns})
+    """``df`` with its fields `cleaned`."""
+    return df.withColumns({c: cleaned(c, F.col(c)) for c in (*TEXTS, "ticket_id") if c in df.columns})
 
 
 def _ticket(c: Callable[[str], Column], time: str) -> dict[str, Column]:

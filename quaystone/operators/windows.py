@@ -8,6 +8,8 @@ task ever sees more than one range of the order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ def running_max(rows: DataFrame, keys: list[str], order: list[str], value: Colum
     first, their maxima are carried forward, and rows only look back within their own
     range. The ranges' maxima are themselves such rows, so as many levels are taken as
     the span of the order needs: no window holds more than ``range_size`` numbers.
+    The order's span is asked for when this is called, which reads ``order[0]`` of the input.
     """
     low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
     levels, span = 0, 0 if low is None else high - low + 1
@@ -60,20 +63,28 @@ def _running_max(rows: DataFrame, keys: list[str], order: list[str], value: Colu
     return rows.join(tops, on, "left").withColumn(name, F.greatest(inside, F.col(before))).drop(r, v, before, "_r", *[f"_k{i}" for i in range(len(keys))])
 
 
-def judged_lateness(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1, range_size: int = RANGE) -> DataFrame:
+ORDER = ("arrival", "event_id")
+
+
+def judged_lateness(
+    enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1, range_size: int = RANGE, order: Sequence[str] = ORDER, carry: Sequence[str] = (), before: DataFrame | None = None
+) -> DataFrame:
     """Rows by dimension with ``newest_ms`` (in arrival order) and ``late_by_ms`` (over 0: late, 0 too).
 
     ``buckets`` is the number of partitions of the re-keyed log; each has its own clock.
+    ``before(dimension, bucket, before_ms)``, a row per clock, is the newest time of earlier input.
     """
-    rows = windowed(by_dimension(enriched, "event_id", "arrival"), size_ms)
+    rows = windowed(by_dimension(enriched, *order, *carry), size_ms)
     rows = rows.withColumn("bucket", F.pmod(F.hash("value"), F.lit(buckets)))
-    rows = running_max(rows, ["dimension", "bucket"], ["arrival", "event_id"], F.col("created_ms"), "newest_ms", True, range_size)
+    rows = running_max(rows, ["dimension", "bucket"], [*order], F.col("created_ms"), "newest_ms", True, range_size)
+    if before is not None:
+        rows = rows.join(F.broadcast(before), ["dimension", "bucket"], "left").withColumn("newest_ms", F.greatest("newest_ms", "before_ms")).drop("before_ms")
     return rows.withColumn("late_by_ms", F.col("newest_ms") - F.col("window_end") - grace_ms)
 
 
-def window_counts_strict(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1) -> DataFrame:
+def window_counts_strict(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1, order: Sequence[str] = ORDER) -> DataFrame:
     """Counts of rows in time, for windows that are closed at the end of the input."""
-    rows = judged_lateness(enriched, size_ms, grace_ms, buckets)
+    rows = judged_lateness(enriched, size_ms, grace_ms, buckets, order=order)
     last = rows.groupBy("dimension", "bucket").agg(F.max("created_ms").alias("last_ms")).select(F.col("dimension").alias("d"), F.col("bucket").alias("b"), "last_ms")
     counts = rows.where("late_by_ms < 0").groupBy("dimension", "bucket", "value", "window_start", "window_end").agg(F.count("*").alias("count"))
     closed = counts.join(last, (F.col("dimension") == F.col("d")) & (F.col("bucket") == F.col("b"))).where(F.col("window_end") + grace_ms <= F.col("last_ms"))
@@ -83,3 +94,15 @@ def window_counts_strict(enriched: DataFrame, size_ms: int, grace_ms: int, bucke
 def late_rows(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1) -> DataFrame:
     """Rows that came after their window had closed, and by how much."""
     return judged_lateness(enriched, size_ms, grace_ms, buckets).where("late_by_ms >= 0").select("event_id", "dimension", "value", "window_start", "window_end", "late_by_ms")
+
+
+POSITION = ("ticket_id", "topic", "partition", "offset")
+
+
+def late_report(enriched: DataFrame, size_ms: int, grace_ms: int, buckets: int = 1, order: Sequence[str] = ORDER) -> DataFrame:
+    """What is told about each late row: its ticket, the window it missed and by how much, and where in the log it lies."""
+    rows = judged_lateness(enriched, size_ms, grace_ms, buckets, order=order, carry=POSITION)
+    return rows.where("late_by_ms >= 0").select(*LATE)
+
+
+LATE = ("ticket_id", "dimension", "value", "window_start", "window_end", "late_by_ms", "topic", "partition", "offset")

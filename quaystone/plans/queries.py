@@ -6,17 +6,20 @@ the SQL text. Texts that start with a comma or a select continue `tickets.SQL`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions import columns as C
-from quaystone.operators import decode, enrich, latest, replay, reports, route, sink, validate, windows
+from quaystone.operators import aggregate, decode, enrich, latest, replay, reports, route, sink, validate, windows
 from quaystone.plans import tickets as P
 from quaystone.plans.tickets import NOW_MS, dead_bounds, dead_log, enriched_log, raw_log, tickets
-from quaystone.schema import BILLING, COUNTED_TOPICS, OTHER, PRIORITIES, RAW, TECH, TICKET, VALID
+from quaystone.schema import BILLING, COUNTED_TOPICS, DEAD, ENRICHED, LATEST, OTHER, PARTITIONS, PRIORITIES, RAW, STATS, STATS_RECORD, TECH, TICKET, VALID
 from quaystone.sources import log as L
+from quaystone.sources import log_table
+from quaystone.sources.folders import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,6 +123,21 @@ def compact_latest(spark, sf_dir):
     return L.compact(tickets(spark, sf_dir).select("customer_id", "arrival", "event_id"), "customer_id", ["arrival", "event_id"]).select("customer_id", "event_id")
 
 
+@query(
+    f""", x as (select *, event_id % 6 = 1 as empty from t), m as (select customer_id, arg_max(event_id, row(arrival, event_id)) as event_id from x group by customer_id)
+select customer_id, event_id from x join m using (customer_id, event_id) where not (empty and created_ms <= {NOW_MS} - 86400000)"""
+)
+def compact_tombstones(spark, sf_dir):
+    """In two steps: the first half of the log, then the rest onto what it left."""
+    t = tickets(spark, sf_dir)
+    value = F.when(F.col("event_id") % 6 != 1, F.col("ticket_id"))
+    rows = t.select("customer_id", "arrival", "event_id", F.timestamp_millis("created_ms").alias("timestamp"), value.alias("value"))
+    gone = L.tombstone(F.timestamp_millis(F.lit(NOW_MS)), "24 hours")
+    early = F.col("arrival") < 5000
+    half = L.compact_onto(rows.limit(0), rows.where(early), "customer_id", ["arrival", "event_id"], gone)
+    return L.compact_onto(half, rows.where(~early), "customer_id", ["arrival", "event_id"], gone).select("customer_id", "event_id")
+
+
 # Decoding
 
 LOGGED = f", k as (select *, {P.KIND} as kind from t)\n"
@@ -143,7 +161,7 @@ def schema_lookup(spark, sf_dir):
 
 @query(
     LOGGED
-    + """select event_id, case when kind in ('v1', 'v2') then ticket_id end as ticket_id, case when kind in ('v1', 'v2') then created_ms end as created_at, case when kind in ('v1', 'v2') then body end as body,
+    + f"""select event_id, case when kind in ('v1', 'v2') then {P.WIRE_ID} end as ticket_id, case when kind in ('v1', 'v2') then created_ms end as created_at, case when kind in ('v1', 'v2') then body end as body,
   case kind when 'cut' then 'body cannot be read' when 'symbol' then 'unknown symbol' when 'enriched' then 'written as EnrichedTicket' end as problem
 from k where kind in ('v1', 'v2', 'cut', 'symbol', 'enriched')"""
 )
@@ -219,8 +237,8 @@ def validate_stats(spark, sf_dir):
 
 @query(LOGGED + "select part as partition, count(*) filter (where kind = 'tombstone') as dead_letters, count(*) filter (where kind <> 'tombstone') as with_value from k group by part")
 def tombstones(spark, sf_dir):
-    rows = route.judged(raw_log(spark, sf_dir), decode.catalog(spark))
-    return rows.groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count_if(F.col("error_type") == "ValueError").alias("dead_letters"), F.count("value").alias("with_value"))
+    rows = raw_log(spark, sf_dir)  # no value needs to be decoded for this
+    return rows.groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count_if(route.is_tombstone()).alias("dead_letters"), F.count("value").alias("with_value"))
 
 
 # Routing and dead letters
@@ -235,12 +253,12 @@ o as (select *, case when kind = 'tombstone' then 'ValueError' when kind not in
 )
 
 
-@query(_JUDGED + "select part as partition, event_id // 3 as \"offset\", case when error_type is null then 'tickets.valid' else 'tickets.dlq' end as out_topic, customer_id as out_key, error_type, case when error_type is null then new_tier end as tier, case when error_type is null then trim(body) end as body from o")
+@query(_JUDGED + "select part as partition, event_id // 3 as \"offset\", case when error_type is null then 'tickets.valid' else 'tickets.dlq' end as out_topic, customer_id as out_key, error_type, case when error_type is null then ticket_id end as ticket_id, case when error_type is null then new_tier end as tier, case when error_type is null then trim(body) end as body from o")
 def validate_split(spark, sf_dir):
     schemas = decode.catalog(spark)
     out = route.validate_split(raw_log(spark, sf_dir), schemas, F.lit("2024-01-30T12:00:00Z"))
     again = decode.decode_body(decode.read_frames(out.withColumn("value", F.when(F.col("out_topic") == VALID, F.col("out_value"))), schemas))
-    return again.select(F.col("partition").cast("long").alias("partition"), "offset", "out_topic", text("out_key").alias("out_key"), "error_type", "r.tier", "r.body")
+    return again.select(F.col("partition").cast("long").alias("partition"), "offset", "out_topic", text("out_key").alias("out_key"), "error_type", "r.ticket_id", "r.tier", "r.body")
 
 
 @query(
@@ -352,7 +370,48 @@ def classify_retry(spark, sf_dir):
 @query(_RULED + f"select ticket_id, tier, category, priority, {NOW_MS} as enriched_at, 'rules' as model from ruled", name="enrich")
 def enrich_tickets(spark, sf_dir):
     t = tickets(spark, sf_dir).select("ticket_id", "subject", "tier")
-    return enrich.enrich(t, enrich.classify(t, lambda: enrich.classify_rules), F.lit(NOW_MS), "rules").select("ticket_id", "tier", "category", "priority", "enriched_at", "model")
+    return enrich.enrich(t, lambda: enrich.classify_rules, F.lit(NOW_MS), "rules").select("ticket_id", "tier", "category", "priority", "enriched_at", "model")
+
+
+def _picky():
+    """A classifier that is down for some tickets, answers others badly, and refuses some."""
+
+    def call(ticket: dict) -> dict | str:
+        k = int(ticket["ticket_id"][:2], 16) % 9
+        if k == 1:
+            raise enrich.ClassifierError("busy")
+        if k == 2:
+            raise ValueError("not a language we know")
+        answer = enrich.classify_rules(ticket)
+        if k == 3:
+            return answer | {"summary": "  ", "sentiment": 2}
+        return json.dumps(answer | {"summary": f" {answer['summary']}\n", "priority": "urgent" if k == 4 else answer["priority"]})
+
+    return call
+
+
+@query(
+    _JUDGED
+    + f""", q as (select *, cast('0x' || substr(ticket_id, 1, 2) as bigint) % 9 as k, split_part(trim(subject), ' ', 1) as about, unnest(case when event_id % 7 = 0 then [0, 1] else [0] end) as delivery from o),
+a as (select *, case about when 'purchase' then 'billing' when 'error' then 'technical' when 'signup' then 'account' else 'other' end as given, coalesce(error_type, case k when 1 then 'LLMError' when 2 then 'ValueError' when 3 then 'LLMError' end) as type,
+  coalesce(error_message, case k when 1 then 'gave up after 4 attempts: busy' when 2 then 'not a language we know' when 3 then 'gave up after 4 attempts: unusable answer: sentiment, summary' end) as message from q),
+p as (select *, case when k = 4 then 'urgent' else case given when 'technical' then 'high' when 'billing' then 'medium' else 'low' end end as prio from a),
+x as (select *, unnest(case when type is null and prio = 'urgent' then [0, 1] else [0] end) as copy from p)
+select event_id // 3 + delivery * 1000000000 as "offset", part as partition, copy, case when type is not null then 'tickets.dlq' when copy = 1 then 'tickets.urgent' when given = 'billing' then 'tickets.billing' when given = 'technical' then 'tickets.tech' else 'tickets.enriched.other' end as out_topic,
+  customer_id as out_key, type as error_type, message as error_message, case when type is not null then 'tickets.valid' end as source_topic,
+  case when type is null then ticket_id end as ticket_id, case when type is null then given end as category, case when type is null then prio end as priority, case when type is null then 'Customer reports ' || about end as summary, case when type is null then {NOW_MS}::bigint end as enriched_at
+from x""",
+)
+def enrich_split(spark, sf_dir):
+    log = raw_log(spark, sf_dir).withColumn("topic", F.lit(VALID))
+    log = log.unionByName(log.where("event_id % 7 = 0").withColumn("offset", F.col("offset") + 1_000_000_000))  # delivered twice
+    schemas = decode.catalog(spark)
+    out = enrich.enrich_split(log, schemas, _picky, F.lit(NOW_MS).cast("long"), F.lit("now"), "rules", sleep=lambda s: None)
+    out = C.pinned(out, h=C.header_map(F.col("out_headers")))
+    framed = out.withColumn("value", F.when(F.col("error_type").isNull(), F.col("out_value")))
+    again = decode.decode_body(decode.read_frames(framed, schemas), ENRICHED, "EnrichedTicket")
+    told = [F.element_at("h", F.lit(n)).alias(c) for n, c in (("error.type", "error_type"), ("error.message", "error_message"), ("source.topic", "source_topic"))]
+    return again.select("offset", F.col("partition").cast("long").alias("partition"), "copy", "out_topic", text("out_key").alias("out_key"), *told, "r.ticket_id", "r.category", "r.priority", "r.summary", "r.enriched_at")
 
 
 @query("select event_id, case when customer_id[-1] = '0' then 'enterprise' when customer_id[-1] in ('1', '2', '3') then 'pro' else 'free' end as tier from t")
@@ -376,6 +435,48 @@ def event_time(spark, sf_dir):
     return t.select("event_id", C.event_time_ms(created, F.timestamp_millis("enriched_ms")).alias("ms"))
 
 
+_AGG = (
+    f""", k as (select *, {P.ENRICHED_KIND} as kind from t),
+j as (select *, concat_ws(', ', {_TICKET_RULES}, case when kind = 'range' then 'sentiment' end) as broken from k),
+bad as (select *, case when kind in ('ticket', 'cut', 'symbol', 'missing') then 'UndecodableMessage' else 'ValidationError' end as type,
+  case kind when 'ticket' then 'written as Ticket' when 'cut' then 'body cannot be read' when 'missing' then 'body cannot be read' when 'symbol' then 'unknown symbol' else 'invalid: ' || broken end as message from j where kind <> 'tombstone' and (kind in ('ticket', 'cut', 'symbol', 'missing') or broken <> '')),
+c as (select * from j where kind <> 'tombstone' and event_id not in (select event_id from bad)),
+w as (select 'category' as dimension, category as v, created_ms, arrival, event_id, ticket_id, part from c union all select 'priority', priority, created_ms, arrival, event_id, ticket_id, part from c),
+n as (select *, created_ms - created_ms % {SIX_HOURS} as ws, max(created_ms) over (partition by dimension order by arrival, event_id) as newest, max(created_ms) over (partition by dimension) as last from w),
+l as (select *, newest - (ws + {SIX_HOURS}) - {HOUR} as late from n),
+g as (select *, max(created_ms) over (partition by customer_id order by arrival, event_id rows between unbounded preceding and 1 preceding) as seen from c)
+"""
+)
+
+
+@query(
+    _AGG
+    + f"""select 'tickets.dlq' as out_topic, customer_id as out_key, concat_ws('|', type, message, case category when 'billing' then 'tickets.billing' when 'technical' then 'tickets.tech' else 'tickets.enriched.other' end, part, event_id // 3) as content from bad
+union all select 'tickets.stats', dimension || '=' || v, concat_ws('|', dimension, v, ws, ws + {SIX_HOURS}, count(*)) from l where late < 0 and ws + {SIX_HOURS + HOUR} <= last group by dimension, v, ws
+union all select 'customers.latest', customer_id, concat_ws('|', ticket_id, created_ms, priority) from g where created_ms > greatest(coalesce(seen, -1), -1)"""
+)
+def aggregate_records(spark, sf_dir):
+    schemas = decode.catalog(spark)
+    out = aggregate.aggregate_records(enriched_log(spark, sf_dir), schemas, SIX_HOURS, HOUR, F.lit("now"), ["arrival", "event_id"])
+    out = C.pinned(out.withColumnRenamed("out_value", "value"), h=C.header_map(F.col("out_headers")))
+    of = lambda topic, reader, record: decode.decode_body(decode.read_frames(out.where(F.col("out_topic") == topic), schemas), reader, record)
+    joined = lambda *c: F.concat_ws("|", *c).alias("content")
+    dead = out.where(F.col("out_topic") == DEAD).select("out_topic", "out_key", joined(*[F.element_at("h", F.lit(n)) for n in ("error.type", "error.message", "source.topic", "source.partition", "source.offset")]))
+    stats = of(STATS, STATS_RECORD, "TicketStats").select("out_topic", "out_key", joined(*[F.col(f"r.{n}") for n in STATS_RECORD.fieldNames()]))
+    latest_ = of(LATEST, ENRICHED, "EnrichedTicket").select("out_topic", "out_key", joined("r.ticket_id", "r.created_at", "r.priority"))
+    return dead.unionByName(stats).unionByName(latest_).withColumn("out_key", text("out_key"))
+
+
+@query(
+    _AGG
+    + f"select l.ticket_id, dimension, v as value, ws as window_start, ws + {SIX_HOURS} as window_end, late as late_by_ms, case t.category when 'billing' then 'tickets.billing' when 'technical' then 'tickets.tech' else 'tickets.enriched.other' end as topic, l.part as partition, l.event_id // 3 as \"offset\" from l join t using (event_id) where late >= 0"
+)
+def late_report(spark, sf_dir):
+    judged = route.aggregator_input(enriched_log(spark, sf_dir), decode.catalog(spark))
+    order = ["arrival", "event_id"]
+    return windows.late_report(aggregate.judged_tickets(judged, order), SIX_HOURS, HOUR, order=order).withColumn("partition", F.col("partition").cast("long"))
+
+
 _BY_DIMENSION = ", w as (select 'category' as dimension, category as v, created_ms, arrival, event_id from t union all select 'priority', priority, created_ms, arrival, event_id from t)\n"
 
 
@@ -465,6 +566,45 @@ def run_counters(spark, sf_dir):
     return first.join(F.broadcast(second), F.lit(True))  # one row each
 
 
+# Logs that are written
+
+
+def _appended(spark, t, batches=3, **topics):
+    """Tickets appended to a log in some batches (by ``event_id``), one of them twice; where it is."""
+    path = scratch(spark, "log")
+    rows = t.withColumn("timestamp", F.timestamp_millis("created_ms")).withColumn("headers", aggregate.no_headers())
+    for number in [*range(batches), batches - 1]:
+        log_table.append(rows.where(F.col("event_id") % batches == number), path, "tickets", number, ["arrival", "event_id"], topics or PARTITIONS)
+    return path
+
+
+_KEYED = "cast(('0x' || substr(md5(customer_id), 1, 8)) as bigint)"
+
+
+@query(f", n as (select *, {_KEYED} % 6 as p from t) select p as partition, row_number() over (partition by p order by event_id % 3, arrival, event_id) - 1 as \"offset\", customer_id as key, ticket_id as value from n")
+def keyed_log_sink(spark, sf_dir):
+    t = tickets(spark, sf_dir).select(F.lit(RAW).alias("topic"), "created_ms", "arrival", "event_id", F.encode("customer_id", "UTF-8").alias("key"), F.encode("ticket_id", "UTF-8").alias("value"))
+    return log_table.read(spark, _appended(spark, t), [RAW]).select(F.col("partition").cast("long").alias("partition"), "offset", text("key").alias("key"), text("value").alias("value"))
+
+
+@query(
+    """, n as (select *, row_number() over (order by event_id) - 1 as off, case when event_id % 5 = 2 then null when event_id % 2 = 0 then 'tickets.raw' else 'tickets.valid' end as target from t),
+l as (select * from n order by off limit 40)
+select n.ticket_id as value, target as topic, 'tickets.dlq:0:' || off as origin, case when l.off is null then 2 else 1 end as batch from n left join l using (off) where target is not null""".replace("n.ticket_id as value, target as topic, 'tickets.dlq:0:' || off", "n.ticket_id as value, n.target as topic, 'tickets.dlq:0:' || n.off").replace("where target is", "where n.target is")
+)
+def replay_run(spark, sf_dir):
+    """Two runs with a dry one between them; the first stops at its limit, a third finds nothing."""
+    named = C.headers({"source.topic": F.when(F.col("event_id") % 2 == 0, RAW).otherwise(VALID)})
+    t = tickets(spark, sf_dir).select(F.lit(DEAD).alias("topic"), F.timestamp_millis("created_ms").alias("timestamp"), F.encode("customer_id", "UTF-8").alias("key"), F.encode("ticket_id", "UTF-8").alias("value"), F.when(F.col("event_id") % 5 == 2, aggregate.no_headers()).otherwise(named).alias("headers"), "event_id")
+    path, progress = scratch(spark, "log"), scratch(spark, "replay")
+    log_table.append(t, path, "dead", 0, ["event_id"])
+    now = F.timestamp_millis(F.lit(NOW_MS))
+    for limit, dry in ((40, False), (None, True), (None, False), (None, False)):
+        replay.run(spark, path, progress, now, limit=limit, dry_run=dry)
+    again = log_table.read(spark, path, [RAW, VALID], "batch")
+    return again.select(text("value").alias("value"), "topic", F.element_at(C.header_map(F.col("headers")), "replayed.from").alias("origin"), "batch")
+
+
 # Replay
 
 

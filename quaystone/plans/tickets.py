@@ -73,12 +73,17 @@ def _logged(t: DataFrame, topic: Column, value: Column, *columns: str) -> DataFr
     )
 
 
+#: A ticket's id as it is written on the wire, in one of its forms.
+WIRE_ID = "case event_id % 5 when 1 then upper(ticket_id) when 2 then concat('{', ticket_id, '}') when 3 then concat('urn:uuid:', ticket_id) when 4 then replace(ticket_id, '-', '') else ticket_id end"
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Framed tickets of both versions, and a share of broken rows (`KIND`)."""
+    """Framed tickets of both versions with ids in all forms, and a share of broken rows (`KIND`)."""
     t = tickets(spark, sf_dir).withColumn("kind", F.expr(KIND)).withColumn("created_at", F.col("created_ms"))
     v1 = ("ticket_id", "customer_id", "created_at", "channel", "product", "subject", "body")
     # One record per row: version 1 has no tier, and a null field is left out.
-    fields = [F.when(F.col("kind") == "symbol", F.lit("fax")).otherwise(F.col(c)).alias(c) if c == "channel" else F.col(c) for c in v1]
+    changed = {"channel": F.when(F.col("kind") == "symbol", F.lit("fax")).otherwise(F.col("channel")), "ticket_id": F.expr(WIRE_ID)}
+    fields = [changed.get(c, F.col(c)).alias(c) for c in v1]
     text = F.encode(F.to_json(F.struct(*fields, F.when(F.col("kind") != "v1", F.col("tier")).alias("tier"))), "UTF-8")
     t = pinned(t, text=text)
     number = F.when(F.col("kind") == "v1", 1).when(F.col("kind") == "unknown", 999999).when(F.col("kind") == "enriched", 3).otherwise(2)
@@ -101,7 +106,7 @@ def enriched_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pinned(t, text=F.encode(F.to_json(F.struct(*[changed.get(n, F.col(n)).alias(n) for n in ENRICHED.fieldNames()])), "UTF-8"))
     content = F.when(F.col("kind") == "cut", F.substring("text", 1, 40)).otherwise(F.col("text"))
     value = F.when(F.col("kind") != "tombstone", frame(F.when(F.col("kind") == "ticket", 2).otherwise(3), content))
-    return _logged(t, route_topics(F.col("category"), F.lit("low"))[0], value, "event_id", "kind")
+    return _logged(t, route_topics(F.col("category"), F.lit("low"))[0], value, "event_id", "kind", "arrival")
 
 
 def dead_log(spark: SparkSession, sf_dir: str) -> DataFrame:

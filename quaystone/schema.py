@@ -20,7 +20,9 @@ COUNTED_TOPICS = (BILLING, TECH, OTHER)
 DEFAULT_TIER = "free"
 #: Values of fields that a writer's schema may lack, and the symbols of enum fields.
 DEFAULTS = {"tier": DEFAULT_TIER}
-SYMBOLS = {"channel": CHANNELS, "tier": TIERS, "category": CATEGORIES, "priority": PRIORITIES}
+SYMBOLS = {"channel": CHANNELS, "tier": TIERS, "category": CATEGORIES, "priority": PRIORITIES, "dimension": DIMENSIONS}
+#: Partitions of each topic; dead letters have one.
+PARTITIONS = {RAW: 6, VALID: 6, DEAD: 1, BILLING: 3, TECH: 3, OTHER: 3, URGENT: 3, STATS: 3, LATEST: 3, SINK_DEAD: 1}
 MAX_SUBJECT, MAX_SUMMARY, MAX_ERROR = 200, 300, 1000
 RETENTION_DAYS = 30
 
@@ -52,10 +54,15 @@ ENRICHED = T.StructType(
     ]
 )
 
+STATS_RECORD = T.StructType([T.StructField(n, T.StringType() if n in ("dimension", "value") else T.LongType()) for n in ("dimension", "value", "window_start", "window_end", "count")])
+
+#: Ids of the schemas that records are written in.
+TICKET_SCHEMA, ENRICHED_SCHEMA, STATS_SCHEMA = 2, 3, 4
 #: Writer schemas by id: (schema_id, subject, version, record, fields).
 CATALOG = (
     (1, "tickets.raw-value", 1, "Ticket", TICKET_V1.fieldNames()),
-    (2, "tickets.raw-value", 2, "Ticket", TICKET.fieldNames()),
-    (3, "tickets.enriched-value", 1, "EnrichedTicket", ENRICHED.fieldNames()),
+    (TICKET_SCHEMA, "tickets.raw-value", 2, "Ticket", TICKET.fieldNames()),
+    (ENRICHED_SCHEMA, "tickets.enriched-value", 1, "EnrichedTicket", ENRICHED.fieldNames()),
+    (STATS_SCHEMA, "tickets.stats-value", 1, "TicketStats", STATS_RECORD.fieldNames()),
 )
 CATALOG_TYPE = "schema_id long, subject string, version int, record string, fields array<string>"

@@ -29,9 +29,9 @@ def scan(log: DataFrame, topics: list[str]) -> DataFrame:
     return log.where(F.col("topic").isin(*topics))
 
 
-def key_partition(key: Column, partitions: int) -> Column:
-    """The partition of a key: the first 32 bits of its MD5, modulo the number of partitions."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(partitions)).cast("int")
+def key_partition(key: Column, partitions: int | Column) -> Column:
+    """The partition of a key: the first 32 bits of its MD5, modulo the number of partitions; null without a key."""
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), partitions if isinstance(partitions, Column) else F.lit(partitions)).cast("int")
 
 
 def read_committed(log: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -50,6 +50,20 @@ def compact(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*")
 
 
+def compact_onto(current: DataFrame, changes: DataFrame, key: str, order: list[str], gone: Column) -> DataFrame:
+    """A compacted log after ``changes`` (same columns): the last row of each key, and no row of keys whose last one is ``gone``.
+
+    A tombstone that is to be seen for a while is ``gone`` only after a delay: until then it
+    stays, so that it still removes its key from copies that are brought up to date later.
+    """
+    return compact(current.unionByName(changes), key, order).where(~F.coalesce(gone, F.lit(False)))
+
+
+def tombstone(now: Column, delay: str) -> Column:
+    """Whether a row without a value is older than ``delay`` (as ``24 hours``)."""
+    return F.col("value").isNull() & (F.col("timestamp") <= now - F.expr(f"interval {delay}"))
+
+
 def next_offsets(log: DataFrame) -> DataFrame:
     """Per topic and partition, one past the highest offset."""
     return log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset")).orderBy("topic", "partition")
