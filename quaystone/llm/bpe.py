@@ -5,10 +5,14 @@ no later symbol can change it. How far it must look ahead is a property of the m
 list, computed once by `sufficient_lookahead`: symbols beyond the end of the buffer
 can only matter through a chain of merges of growing rank, each of which takes the
 left neighbour of the one before, so the longest such chain, in symbols, bounds how
-far left of the buffer's end a token may still change. Texts are read in pieces, cut before
-white space or, where a long stretch has none, between characters that normalisation
-cannot join; a word that goes on in the next piece goes on in the same transducer. So
-what is held is one piece and one buffer.
+far left of the buffer's end a token may still change. A buffer is a little over twice
+that; words that end before it is full (1,399 bytes with the default file) are merged as a
+whole. Texts are read in pieces of `PIECE` characters, cut before white space or, where a long
+stretch has none, at the next place that nothing spans: between words of any kind, at
+added tokens, or inside a run of letters or of marks. A word that goes on in the next piece
+goes on in the same transducer. So `Encoder.stream` holds one piece and one buffer, with
+one exception: a run of combining marks has no such place, as normalisation may move its
+last one to its front, and is held whole. Rows hold a text and all its ids (`encode`).
 
 `Decoder` is the way back: it takes ids in any portions and gives the text that is
 complete so far. Byte-level files go through an incremental UTF-8 decoder; files
@@ -191,6 +195,11 @@ _FILE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BREAK = re.compile(r"[ \t\n\r]")
 
 
+def _starts(c: str) -> bool:
+    """Whether nothing before ``c`` can be composed with it, or change places with it, in normalisation."""
+    return c < "\u0300" or not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or unicodedata.combining(c))
+
+
 def lower(text: str) -> str:
     """Lower case character by character (no rule looks at neighbours)."""
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
@@ -210,7 +219,6 @@ class Encoder:
         self.space = regex.compile(r"\p{White_Space}+")
         added = {a["content"]: a["id"] for a in file["added_tokens"]}
         self.added = {t: np.uint32(i).tobytes() for t, i in added.items()}
-        self.longest_added = max(map(len, added), default=1)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -230,29 +238,54 @@ class Encoder:
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """``text`` in parts, and whether a part ends inside a word.
 
-        Parts end before white space; where the next ``PIECE`` characters have none, at a
-        place that neither normalisation nor the words' pattern nor an added token spans.
+        Parts end before white space; where the next ``PIECE`` characters have none, at the first
+        place that no normalisation, no match of the words' pattern and no added token spans.
         """
         at = 0
         while len(text) - at > PIECE:
             blank = _BREAK.search(text, at + PIECE, at + 2 * PIECE)
-            cut, inside = (blank.start(), False) if blank else (next(filter(lambda k: self.between(text, k), range(at + PIECE, len(text))), None), True)
+            if blank:
+                cut, inside = blank.start(), False
+            else:
+                cut, inside = next(((k, i) for k in range(at + PIECE, len(text)) if (i := self.between(text, k)) is not None), (None, False))
             if cut is None:
                 break
             yield text[at:cut], inside
             at = cut
         yield text[at:] if at else text, False
 
-    def between(self, text: str, k: int) -> bool:
-        """Whether ``text`` may be cut at ``k`` inside a run of letters, or of marks that are neither letters, digits nor blanks."""
-        c = text[k]
-        near = text[max(0, k - self.longest_added) : k + self.longest_added]
-        if unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or any(t in near for t in self.added):
+    def kind(self, c: str) -> str:
+        """What the words' pattern takes a normalised character for: space, letter, number or other."""
+        return " " if self.space.fullmatch(c) else found if (found := unicodedata.category(c)[0]) in "LN" else "O"
+
+    def between(self, text: str, k: int) -> bool | None:
+        """Whether a cut at ``k`` parts a word; null where there can be none.
+
+        Neither side's normal form may depend on the other's, no added token may lie across, and
+        a word that is parted has to be one whose rest is read as one word by itself.
+        """
+        if not _starts(text[k]) or any(text.startswith(t, k - n) for t in self.added for n in range(1, min(len(t), k + 1))):
+            return None
+        if any(text.startswith(t, k) or text.endswith(t, 0, k) for t in self.added):
+            return False
+        if not self.plain:
+            return False if self.space.fullmatch(text[k]) else None
+        begin, end = max(0, k - 40), min(len(text), k + 40)
+        while begin and begin < k and not _starts(text[begin]):
+            begin += 1
+        while end < len(text) and end > k + 1 and not _starts(text[end]):
+            end -= 1
+        left, right = (lower(unicodedata.normalize("NFC", x)) for x in (text[begin:k], text[k:end]))
+        if not left or not right:
+            return None
+        a, b = self.kind(left[-1]), self.kind(right[0])
+        if " " in (a, b) or "N" in (a, b) or (a, b) == ("L", "O"):
             return False
-        if c.isalpha():  # four letters before it: no "'re" reaches the cut
-            return text[k - 4 : k].isalpha() and all(lower(x).isalpha() and unicodedata.normalize("NFC", x).isalpha() for x in text[k - 4 : k + 1])
-        mark = lambda x: unicodedata.category(x)[0] in "PS"
-        return c != "'" and mark(c) and mark(text[k - 1]) and len(unicodedata.normalize("NFC", c)) == 1
+        if (a, b) == ("O", "L"):
+            return None if left[-1] == "'" else False  # the apostrophe may begin "'s"
+        if a == "L":  # four letters before: they are no "'re" that goes on
+            return True if len(left) > 3 and all(self.kind(c) == "L" for c in left[-4:]) else None
+        return True if right[0] != "'" or (len(right) > 1 and self.kind(right[1]) == "O") else None
 
     def stream(self, text: str) -> Iterator[bytes]:
         """The ids of ``text`` as bytes (little-endian, 32 bits each), portion by portion."""
