@@ -14,8 +14,15 @@ which all components must be filled are never made.
 3. In a cluster every two members are compared on their whole multisets; pairs of
    0.8 and more are links (`links`), and the connected nodes are a class.
 
-Buckets and clusters of any size are dealt out by pairs of bounded blocks, and what
-comes back is a spanning forest, never all pairs.
+Buckets and clusters of any size are compared in bounded parts, and what comes back is a
+spanning forest, never all pairs. In a group of more than one block the first step is a
+pivot: its members meet it block by block, which is one row a member, and those near it
+are connected by that. Only members that are not near the pivot still have to meet others,
+and, as both distances (the share of components that differ, and one less the weighted
+Jaccard measure) obey the triangle inequality, only those whose distance from the pivot
+is like theirs: members within the limit of the pivot that are closer to it than what
+the nearest of the others leaves open take no further part. So a group of n near copies costs
+n rows, however large it is; members far from the pivot are compared in pairs of blocks (`spanning`).
 
 A pair at exactly 0.8 shares no band with a probability of 1.5e-5, and its
 signature falls below the limit with one of about 1e-4; both shrink fast above 0.8.
@@ -34,7 +41,7 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import blocked, components, dealt, materialise, paired, spread_join, whole_groups
+from quaystone.llm.shared import components, dealt, materialise, spread_join, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -212,37 +219,120 @@ def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _edges(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """A spanning forest of the linked rows of ``table``, as ``a, b`` nodes."""
+#: What is found about the members of a part: a link ``a, b``; or (``d`` not null) the distance of ``a`` from its group's pivot, and ``b`` if it is near.
+FOUND = "a binary, b binary, grp {group}, d double, ref bigint"
+
+
+def _found(table: pa.Table, rows: np.ndarray, others: np.ndarray, d: np.ndarray | None = None, near: np.ndarray | None = None) -> pa.RecordBatch:
+    """``rows`` of ``table`` with ``others`` as `FOUND`; with distances ``d``, ``b`` is null where it is not ``near``."""
+    take = lambda name, at: table[name].take(pa.array(at)).combine_chunks()
+    b = pa.array(np.where(near, others, 0), pa.int64(), mask=~near) if near is not None else pa.array(others)
+    distance = pa.array(d, pa.float64()) if d is not None else pa.nulls(len(rows), pa.float64())
+    return pa.RecordBatch.from_arrays([take("node", rows), table["node"].take(b).combine_chunks(), take("grp", rows), distance, take("ref", rows)], names=["a", "b", "grp", "d", "ref"])
+
+
+def _forest(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the linked rows of ``table``."""
     label = _labels(a, b, len(table))
     rows = np.flatnonzero(label != np.arange(len(table)))
-    nodes = table["node"]
-    return pa.RecordBatch.from_arrays([nodes.take(pa.array(rows)).combine_chunks(), nodes.take(pa.array(label[rows])).combine_chunks()], names=["a", "b"])
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_groups(batches, "g"):
-        g = table["g"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(table), M)
-        left, right, lag = [], [], 1
-        while len(at := np.flatnonzero(g[lag:] == g[:-lag])):  # pairs of rows `lag` apart in one group
-            for k in range(0, len(at), 20_000):
-                p = at[k : k + 20_000]
-                near = (sig[p] == sig[p + lag]).mean(axis=1) >= AGREE
-                left.append(p[near])
-                right.append(p[near] + lag)
-            lag += 1
-            if lag >= len(g):
-                break
-        if left:
-            yield _edges(table, np.concatenate(left), np.concatenate(right))
+    return _found(table, rows, label[rows])
+
+
+def _compare(read: Callable, pairs: Callable, pivoted: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the members of each part: all pairs, or in parts with a ``pivot`` each member with it.
+
+    ``read(table)`` gives the members' contents, ``pairs(contents, a, b)`` the links among
+    members a to b, ``pivoted(contents, rows, pivots)`` distances and which are near.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "g"):
+            g, pivot, contents = table["g"].to_numpy(), table["pivot"].to_numpy(zero_copy_only=False), read(table)
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            left, right, members, pivots = [], [], [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                at = np.flatnonzero(pivot[a:b])
+                if len(at):
+                    rows = np.flatnonzero(~pivot[a:b]) + a
+                    members.append(rows)
+                    pivots.append(np.full(len(rows), at[0] + a))
+                else:
+                    i, j = pairs(contents, a, b)
+                    left.append(i)
+                    right.append(j)
+            if left:
+                yield _forest(table, np.concatenate(left), np.concatenate(right))
+            if members:
+                rows, others = np.concatenate(members), np.concatenate(pivots)
+                yield _found(table, rows, others, *pivoted(contents, rows, others))
+
+    return run
+
+
+def spanning(members: DataFrame, total: int, block_rows: int, radius: float, attach: Callable[[DataFrame], DataFrame], compare: Callable, label: str) -> DataFrame:
+    """Links ``a, b`` that connect what all links within the groups of ``members(grp, node, ref)`` connect.
+
+    ``total`` is at least the number of members; groups of one have no links. ``attach``
+    adds the contents to parts ``(g, pivot, grp, node, ref)``, ``compare`` is a `_compare`; members are
+    near if their distance is at most ``radius``.
+    """
+    schema = FOUND.format(group=dict(members.dtypes)["grp"])
+    hashed = F.xxhash64("node")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("members"), F.min(hashed).alias("first")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
+    rows = spread_join(members, "grp", sizes, "members", total)
+    # Each member in its block's part; the pivot of a large group besides in all of its parts.
+    own = F.array(F.struct(F.xxhash64("grp", F.pmod(hashed, F.col("blocks"))).alias("g"), F.lit(False).alias("pivot")))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.xxhash64("grp", b.cast("long")).alias("g"), F.lit(True).alias("pivot")))
+    parts = rows.select("grp", "node", "ref", F.explode(F.when((F.col("blocks") > 1) & (hashed == F.col("first")), F.concat(own, every)).otherwise(own)).alias("p")).select("p.g", "p.pivot", "grp", "node", "ref")
+    found = materialise(dealt(attach(parts), "g").mapInArrow(compare, schema), label)
+    links = found.where("b is not null and a <> b").select("a", "b")
+    far = found.where("d is not null and b is null")
+    if far.isEmpty():
+        return links
+    # Members that are not near their pivot, and those near it that could be near one of them.
+    lowest = found.where("d is not null").groupBy("grp").agg(F.count("*").alias("members"), F.min(F.when(F.col("b").isNull(), F.col("d"))).alias("lowest")).where("lowest is not null")
+    rest = spread_join(found.where("d is not null"), "grp", lowest, "members", total).where(F.col("d") >= F.col("lowest") - radius - 1e-9)
+    width = radius * (1 + 1e-9)
+    rest = materialise(rest.select("grp", F.col("a").alias("node"), "ref", F.when(F.col("b").isNotNull(), 0).otherwise(1 + F.greatest(F.floor((F.col("d") - radius) / width), F.lit(0))).cast("int").alias("bin")), label)
+    bins = rest.groupBy("grp", "bin").agg(F.count("*").alias("n"))
+    # At most as many bins as the radius goes into one.
+    held = bins.groupBy("grp").agg(F.sum("n").alias("members"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("n") / block_rows).cast("int")))).alias("blocks"))
+    rows = spread_join(rest, "grp", held, "members", total)
+    blocks = lambda k: F.coalesce(F.try_element_at("blocks", F.col("bin") + k), F.lit(0))
+    block = F.pmod(F.xxhash64("node"), blocks(0))
+    # In the same bin (but for those near the pivot), in the next one, in the one before.
+    over = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    same = over(F.when(F.col("bin") > 0, blocks(0)).otherwise(0), lambda o: F.xxhash64("grp", F.lit("same"), "bin", F.least(block, o.cast("long")), F.greatest(block, o.cast("long"))))
+    up = over(blocks(1), lambda o: F.xxhash64("grp", F.lit("next"), "bin", block, o.cast("long")))
+    down = over(F.when(F.col("bin") > 0, blocks(-1)).otherwise(0), lambda o: F.xxhash64("grp", F.lit("next"), F.col("bin") - 1, o.cast("long"), block))
+    parts = rows.select(F.explode(F.array_distinct(F.concat(same, up, down))).alias("g"), F.lit(False).alias("pivot"), "grp", "node", "ref")
+    more = dealt(attach(parts), "g").mapInArrow(compare, schema)
+    return links.unionByName(more.where("b is not null").select("a", "b"))
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(table), M)
+
+
+def _agreeing(sig: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    left, right = [], []
+    for k in range(a, b - 1):
+        near = np.flatnonzero((sig[k + 1 : b] == sig[k]).mean(axis=1) >= AGREE) + k + 1
+        left.append(np.full(len(near), k))
+        right.append(near)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _signature_distances(sig: np.ndarray, rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    agree = np.concatenate([(sig[rows[k : k + 20_000]] == sig[pivots[k : k + 20_000]]).mean(axis=1) for k in range(0, len(rows), 20_000)]) if len(rows) else np.zeros(0)
+    return 1 - agree, agree >= AGREE
 
 
 def candidates(nodes: DataFrame, total: int) -> DataFrame:
     """``node, component``: clusters of the ``total`` rows ``nodes(node, sig, bands)`` that may hold links."""
-    members = blocked(nodes.select("node", F.explode("bands").alias("bucket")), "bucket", "node", BUCKET_ROWS, BANDS * total)
-    edges = dealt(paired(members.join(nodes.select("node", "sig"), "node"), "bucket"), "g").mapInArrow(_agreeing, "a binary, b binary")
-    return components(edges, "near-candidates")
+    members = nodes.select(F.explode("bands").alias("grp"), "node", F.lit(0).cast("bigint").alias("ref"))
+    attach = lambda parts: parts.join(nodes.select("node", "sig"), "node")
+    return components(spanning(members, BANDS * total, BUCKET_ROWS, 1 - AGREE, attach, _compare(_signatures, _agreeing, _signature_distances), "near-agreeing"), "near-candidates")
 
 
 def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
@@ -263,18 +353,21 @@ def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     return out
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_groups(batches, "g"):
-        g = table["g"].to_numpy()
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        left, right = [], []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"].slice(a, b - a)]
-            both, size = overlaps(sets), np.array([len(s) for s in sets], np.float64)
-            i, j = np.nonzero(np.triu(both >= SIMILARITY * (size[:, None] + size - both) - 1e-6, 1))
-            left.append(i + a)
-            right.append(j + a)
-        yield _edges(table, np.concatenate(left), np.concatenate(right))
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"].combine_chunks()]
+
+
+def _linked(sets: list[np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    both, size = overlaps(sets[a:b]), np.array([len(s) for s in sets[a:b]], np.float64)
+    i, j = np.nonzero(np.triu(both >= SIMILARITY * (size[:, None] + size - both) - 1e-6, 1))
+    return i + a, j + a
+
+
+def _set_distances(sets: list[np.ndarray], rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.array([len(np.intersect1d(sets[r], sets[p], assume_unique=True)) for r, p in zip(rows, pivots, strict=True)], np.float64)
+    size = np.array([len(s) for s in sets], np.float64)
+    either = size[rows] + size[pivots] - both
+    return 1 - both / np.maximum(either, 1), both >= SIMILARITY * either - 1e-6
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +378,14 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(texts: DataFrame, clusters: DataFrame, total: int) -> DataFrame:
-    """A spanning forest ``a, b`` of all verified links inside the ``total`` rows ``clusters(node, cluster, row)``; ``texts(row, text)``."""
-    rows = texts.join(blocked(clusters, "cluster", "node", CLUSTER_ROWS, total), "row").select("text", "node", "cluster", "blocks", "block")
-    rows = rows.mapInArrow(_contents, "node binary, cluster binary, blocks int, block int, elements binary")
-    return dealt(paired(rows, "cluster"), "g").mapInArrow(_linked, "a binary, b binary")
+    """Verified links ``a, b`` that connect all that are linked inside the ``total`` rows ``clusters(node, cluster, row)``; ``texts(row, text)``."""
+
+    def attach(parts: DataFrame) -> DataFrame:
+        rows = parts.join(texts, F.col("ref") == F.col("row")).select("text", "g", "pivot", "grp", "node", "ref")
+        return rows.mapInArrow(_contents, "g bigint, pivot boolean, grp binary, node binary, ref bigint, elements binary")
+
+    members = clusters.select(F.col("cluster").alias("grp"), "node", F.col("row").alias("ref"))
+    return spanning(members, total, CLUSTER_ROWS, 1 - SIMILARITY, attach, _compare(_sets, _linked, _set_distances), "near-compared")
 
 
 def classed_nodes(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -309,15 +406,15 @@ def classed_nodes(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id`` for every row of ``docs(doc_id, text)``."""
+    """``doc_id, class_id, members`` for every row of ``docs(doc_id, text)``; ``members`` is how many rows the class has."""
     rows = sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     nodes = materialise(classed_nodes(rows, "c0", "c1"), "near-classed")
     # Sums are made before the shuffle, and large classes and nodes are spread out.
-    least = nodes.groupBy("class_node").agg(F.min("best").alias("least"), F.count("*").alias("members"))
+    least = nodes.groupBy("class_node").agg(F.min("best").alias("least"), F.count("*").alias("nodes"), F.sum("n").alias("members"))
     counted = nodes.agg(F.count("*"), F.sum("n")).first()
-    named = spread_join(nodes.drop("best"), "class_node", least, "members", counted[0]).select("node", "n", F.col("least.id").alias("class_id"))
+    named = spread_join(nodes.drop("best"), "class_node", least, "nodes", counted[0]).select("node", "n", F.col("least.id").alias("class_id"), "members")
     named = materialise(named, "near-named")
-    return spread_join(rows.select(F.col("c0").alias("doc_id"), "node"), "node", named, "n", counted[1] or 0, written=True).select("doc_id", "class_id")
+    return spread_join(rows.select(F.col("c0").alias("doc_id"), "node"), "node", named, "n", counted[1] or 0, written=True).select("doc_id", "class_id", "members")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -112,27 +112,6 @@ def spread_join(rows: DataFrame, key: str, table: DataFrame, size: str, total: i
     return hot.unionByName(near.where("_hot is null").drop("_hot").join(table.where(F.col(size) <= limit).drop(size), key, how))
 
 
-def blocked(df: DataFrame, group: str, member: str, block_rows: int, total: int) -> DataFrame:
-    """``df`` without groups of one, with ``blocks`` of its group and its own ``block`` for `paired`.
-
-    ``total`` is at least the number of rows.
-    """
-    sizes = df.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
-    return spread_join(df, group, sizes, "members", total).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-
-
-def paired(df: DataFrame, group: str) -> DataFrame:
-    """Deals each group of a `blocked` table out so that any two members meet in some part ``g``.
-
-    A group of one block is one part; of larger ones each pair of blocks is a part of its own.
-    """
-    return (
-        df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("g", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
-        .drop("blocks", "block", "other")
-    )
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """``node, component`` (its least node) for every node of ``edges(a, b)``.
 

@@ -19,8 +19,10 @@ unlabelled urls are, too. One blocked segment alone does not decide over the oth
 (all numbers are one segment).
 
 The levels go on until no path has a further segment. Past ``depth`` segments, the
-rest of a node whose urls cannot differ any more (none blocked, or each one fits a
-rule) is one wildcard ``/**``.
+rest of a node that is settled is one wildcard ``/**``: if the purity that comes from
+above passes and nothing below is blocked, if it blocks and all labels below are blocks,
+or if each url fits a rule. Purities below lie between the one above and the labels', so
+``depth`` changes which templates are told apart and never a verdict.
 
 All statistics are made on distinct (host, path) with counts, summed before
 each shuffle; a hot host is a set of such rows, not a group in one task.
@@ -111,8 +113,9 @@ def template_verdicts(paths: DataFrame, depth: int = DEPTH, max_children: int =
         p, rest, pool = (k + 1) / (m + 2), (rk + 1) / (rm + 2), (F.col("nk") + 2) / (F.col("nm") + 4)
         same = (m > 0) & (rm > 0) & (F.abs(p - rest) < z * F.sqrt(pool * (1 - pool) * (1 / (m + 2) + 1 / (rm + 2))))
         name = F.when(F.col("branch.seg").rlike("^[0-9]+$") | same, F.lit("*")).when((m == 0) & (F.col("kids") > max_children), F.lit(UNLABELLED)).otherwise(F.col("branch.seg"))
-        # Past ``depth`` a node goes on only while its urls can still get different verdicts.
-        shut = F.lit(level > depth) & ((F.col("nk") == 0) | (F.col("nm") == F.col("nn")))
+        # Past ``depth`` a node ends as soon as all below it is on one side of one half, the purity from above included.
+        blocks = F.col("above") > 0.5 + EXACT
+        shut = F.lit(level > depth) & ((~blocks & (F.col("nk") == 0)) | (blocks & (F.col("nk") == F.col("nm"))) | (F.col("nm") == F.col("nn")))
         named = spread_join(kids, "node", nodes.withColumn("size", F.col("kids")), "size", total)
         kind = F.when(F.col("branch.seg").rlike("^[0-9]+$"), F.lit("*")).otherwise(F.col("branch.seg"))
         named = named.select("branch", "node", "rows", "kids", "above", "m", "k", kind.alias("kind"), F.when(shut, F.lit("**")).otherwise(name).alias("name"), shut.alias("ends"))
@@ -145,31 +148,25 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
-def _sql(depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> str:
-    """The filter for DuckDB, on the rows themselves; paths beyond ``depth`` segments end in one wildcard there."""
-    by_length = sorted(RULES, key=lambda r: (-len(r.text), r.text))
+def _sql(rules: tuple[Rule, ...] = RULES, max_children: int = MAX_CHILDREN, z: float = Z) -> str:
+    """The filter for DuckDB, on the rows themselves and to the last segment of every path."""
+    by_length = sorted(rules, key=lambda r: (-len(r.text), r.text))
     case = lambda what: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'" for r in by_length) + " end"
-    steps = [
-        "cut as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages)",
-        f"hp as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut)",
-        f"r as (select *, {case('text')} as rule, {case('verdict')} as given, case when path = '' then [] else string_split(regexp_replace(path, '^/', ''), '/') end as parts from hp)",
-        "t0 as (select *, '' as template, case given when 'block' then 1 when 'allow' then 0 end as bad from r)",
-    ]
-    steps[-1] = steps[-1].replace("select *,", f"select *, {PRIOR}::double as q,", 1)
-    for i in range(1, depth + 1):
-        steps += [
-            f"k{i} as (select host, template, any_value(q) as q, parts[{i}] as seg, count(bad) as m, coalesce(sum(bad), 0) as k from t{i - 1} where parts[{i}] is not null group by host, template, seg)",
-            f"n{i} as (select *, count(*) over w as kids, sum(m) over w as nm, sum(k) over w as nk from k{i} window w as (partition by host, template))",
-            f"g{i} as (select *, case when regexp_matches(seg, '^[0-9]+$') or (m > 0 and nm - m > 0 and abs((k + 1) / (m + 2) - (nk - k + 1) / (nm - m + 2)) < {z} * sqrt((nk + 2) / (nm + 4) * (1 - (nk + 2) / (nm + 4)) * (1 / (m + 2) + 1 / (nm - m + 2)))) then '*' when m = 0 and kids > {max_children} then '{UNLABELLED}' else seg end as name from n{i})",
-            f"b{i} as (select host, template, any_value(q) as q, sum(m) as m, sum(k) as k from g{i} group by host, template, case when regexp_matches(seg, '^[0-9]+$') then '*' else seg end)",
-            f"q{i} as (select host, template, (sum(case when m > 0 then k / m else 0 end) + {WEIGHT} * any_value(q)) / (count(*) filter (where m > 0) + {WEIGHT}) as q from b{i} group by host, template)",
-            f"t{i} as (select t.* exclude (template, q), t.template || coalesce('/' || g.name, '') as template, case when g.name is null then t.q else q.q end as q from t{i - 1} t left join g{i} g on t.host = g.host and t.template = g.template and t.parts[{i}] = g.seg left join q{i} q on t.host = q.host and t.template = q.template)",
-        ]
-    last = f"f as (select *, template || case when len(parts) > {depth} then '/**' else '' end as tpl from t{depth})"
-    return "with " + ",\n".join([*steps, last]) + (
-        f"\nselect page_id, host, path, rule, coalesce(given, case when (coalesce(sum(bad) over w, 0) + {WEIGHT} * q) / (count(bad) over w + {WEIGHT}) > {0.5 + EXACT} then 'block' else 'allow' end) as verdict"
-        " from f window w as (partition by host, tpl)"
-    )
+    return f"""with recursive cut as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+hp as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+r as (select *, {case("text")} as rule, {case("verdict")} as given, case when path = '' then [] else string_split(regexp_replace(path, '^/', ''), '/') end as parts from hp),
+t(page_id, host, path, rule, given, parts, bad, q, template, level) as (
+  select page_id, host, path, rule, given, parts, case given when 'block' then 1 when 'allow' then 0 end, {PRIOR}::double, '', 0 from r
+  union all
+  select page_id, host, path, rule, given, parts, bad, (coalesce(sum(case when mk > 0 then kk / mk / ck end) over w, 0) + {WEIGHT} * q) / (count(distinct case when mk > 0 then kind end) over w + {WEIGHT}), template || '/' ||
+    case when kind = '*' or (m > 0 and nm - m > 0 and abs((k + 1) / (m + 2) - (nk - k + 1) / (nm - m + 2)) < {z} * sqrt((nk + 2) / (nm + 4) * (1 - (nk + 2) / (nm + 4)) * (1 / (m + 2) + 1 / (nm - m + 2)))) then '*' when m = 0 and kids > {max_children} then '{UNLABELLED}' else seg end, level + 1
+  from (select *, count(bad) over b as m, coalesce(sum(bad) over b, 0) as k, count(bad) over w as nm, coalesce(sum(bad) over w, 0) as nk, count(distinct seg) over w as kids, count(bad) over g as mk, coalesce(sum(bad) over g, 0) as kk, count(*) over g as ck
+    from (select *, parts[level + 1] as seg, case when regexp_matches(parts[level + 1], '^[0-9]+$') then '*' else parts[level + 1] end as kind from t where len(parts) > level)
+    window w as (partition by host, template), b as (partition by host, template, seg), g as (partition by host, template, kind))
+  window w as (partition by host, template)),
+f as (select * from t where level = len(parts))
+select page_id, host, path, rule, coalesce(given, case when (coalesce(sum(bad) over w, 0) + {WEIGHT} * q) / (count(bad) over w + {WEIGHT}) > {0.5 + EXACT} then 'block' else 'allow' end) as verdict
+from f window w as (partition by host, template)"""
 
 
 SQL = _sql()

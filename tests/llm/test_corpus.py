@@ -128,6 +128,46 @@ def test_bpe_holds_a_piece_and_a_buffer():
     assert peaks[1] < 1.3 * peaks[0] and peaks[1] < 16 << 20
 
 
+#: Texts in which no ASCII blank ends a piece.
+UNBROKEN = {
+    "digits": "0123456789", "letters and digits": "a1", "no-break spaces": "word\u00a0", "wide spaces": "中文\u3000", "apostrophes": "'", "contractions": "it's", "decomposed letters": "e\u0301o\u0308",
+    "marks between letters": "a\u0315\u0300b\u05ae", "dotted capitals": "İ", "jamo": "\u1112\u1161\u11ab", "special tokens": "<|endoftext|>", "emoji": "👨‍👩", "thai": "\u0e17\u0e35\u0e48", "quotes": "'!'", "numbers": "Ⅷ²x",
+}
+
+
+@pytest.mark.parametrize("kind", UNBROKEN)
+def test_bpe_pieces_are_bounded_for_any_text(library, monkeypatch, kind):
+    import tracemalloc
+
+    encoder = bpe.encoder_for(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    for size in (37, 64):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        text = (UNBROKEN[kind] * 300)[:900]
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(len(p) for p, _ in encoder.pieces(text)) < size + 60
+    monkeypatch.setattr(bpe, "PIECE", 1 << 12)
+    peaks = []
+    for n in (20_000, 80_000):
+        text = (UNBROKEN[kind] * n)[:n]
+        tracemalloc.start()
+        for _ in encoder.stream(text):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] + (1 << 18) and peaks[1] < 4 << 20
+
+
+def test_bpe_cuts_change_nothing(library, monkeypatch):
+    encoder = bpe.encoder_for(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    rng = random.Random(21)
+    pool = ["a", "B", "é", "e\u0301", "\u0301", "'", "'s", "'re", "'l", "l", "r", "1", "²", "\u00a0", "\u3000", "!", ".", "İ", "Σ", "\u1112\u1161", "\u11ab", "中", "<|endoftext|>", "<|end", "👨‍", "\u0e35", "s", "t", "\x1c", "\u0958", "\u212b"]
+    for _ in range(800):
+        monkeypatch.setattr(bpe, "PIECE", rng.randint(1, 30))
+        some = rng.sample(pool, rng.randint(1, 6))
+        t = "".join(rng.choice(some) if rng.random() < 0.8 else rng.choice(pool) for _ in range(rng.randint(20, 120)))
+        assert np.frombuffer(encoder.encode(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, (bpe.PIECE, ascii(t))
+
+
 def test_bpe_refuses_merges_out_of_order():
     with pytest.raises(ValueError):
         bpe.Transducer({c: i for i, c in enumerate(("a", "b", "c", "ab", "abc"))}, [("ab", "c"), ("a", "b")])
@@ -457,7 +497,9 @@ def near_classes(rows):
 
 def test_near_classes_equal_brute_force(docs, none, rows):
     got = [tuple(r) for r in near_dup.classes(docs).collect()]
-    assert ordered(got) == ordered(near_classes(rows))
+    assert ordered([g[:2] for g in got]) == ordered(near_classes(rows))
+    sizes = Counter(g[1] for g in got if g[1] is not None)
+    assert all(g[2] == sizes[g[1]] for g in got if g[1] is not None)
     assert near_dup.classes(none).count() == 0
     kept = [r.doc_id for r in near_dup.keep_one(docs).collect()]
     assert ordered(kept) == ordered({c for _, c in near_classes(rows)})
@@ -474,7 +516,45 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
         w[rng.randrange(len(w))] = f"changed{i}"
         rows.append((i, " ".join(w), "en", "s", 1))
     got = {tuple(r) for r in near_dup.classes(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == set(near_classes(rows)) == {(i, 0) for i in range(40)}
+    assert {g[:2] for g in got} == set(near_classes(rows)) == {(i, 0) for i in range(40)} and {g[2] for g in got} == {40}
+
+
+def drifting(rng, families, steps, n, words=100):
+    """Families of texts, each text a changed copy of an earlier one: links form chains, and many are near the limit."""
+    rows = []
+    for f in range(families):
+        texts = [[rng.choice(WORDS) + rng.choice(WORDS) for _ in range(words)]]
+        while len(texts) < n:
+            w = list(rng.choice(texts[-6:]))
+            for _ in range(rng.randint(0, steps)):
+                w[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+            texts.append(w)
+        rows += [(f * n + i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    return rows
+
+
+@pytest.mark.parametrize(("bucket_rows", "cluster_rows"), [(3, 3), (1000, 5)])
+def test_members_far_from_the_pivot_lose_no_link(spark, monkeypatch, bucket_rows, cluster_rows):
+    monkeypatch.setattr(near_dup, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(near_dup, "CLUSTER_ROWS", cluster_rows)
+    rows = drifting(random.Random(bucket_rows), 2, 3, 45)
+    want = near_classes(rows)
+    assert len({c for _, c in want}) > 4  # chains, some of them broken
+    assert ordered([tuple(r)[:2] for r in near_dup.classes(spark.createDataFrame(rows, DOCS)).collect()]) == ordered(want)
+
+
+def test_one_large_cluster_costs_a_row_a_member(spark, monkeypatch):
+    """Rows that are compared, counted: in proportion to the members of a group of near copies."""
+    rng, n = random.Random(10), 1200
+    base = prose(rng, 60).split(" ")
+    rows = [(i, " ".join([*base[: i % 60], f"changed{i}", *base[i % 60 + 1 :]]), "en", "s", 1) for i in range(n)]
+    monkeypatch.setattr(near_dup, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(near_dup, "CLUSTER_ROWS", 64)
+    compared, dealt = [], near_dup.dealt
+    monkeypatch.setattr(near_dup, "dealt", lambda df, key: compared.append(df.count()) or dealt(df, key))
+    got = near_dup.classes(spark.createDataFrame(rows, DOCS))
+    assert {tuple(r)[1:] for r in got.collect()} == {(0, n)}
+    assert sum(compared) < 2 * n * (near_dup.BANDS + 1), compared
 
 
 def test_signatures_are_unbiased_and_do_not_depend_on_batches():
