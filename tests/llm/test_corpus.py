@@ -359,6 +359,7 @@ def test_licence_texts_and_headers():
                 code = "\n".join(prose(rng, 9) for _ in range(60))
                 assert m.scan(f"/*\n * Copyright (C) 2020 Jane Doe\n *\n{head}\n */\n{code}")[::2] == (name, False), (name, width)
     assert m.scan("the of to and a in or is that for this with by as any you not be are it\n" * 300)[0] is None
+    assert {"BSD-2-Clause", "BSD-3-Clause", "ISC"} <= {name for name, _ in license_scan.full_texts()}
 
 
 def test_full_licence_file_is_inherited(spark):
