@@ -125,3 +125,15 @@ def test_upserts_keep_the_first_load_over_batches(spark, tmp_path):
         os.remove(f"{checkpoint}/commits/{name}")
     assert S.upsert_batches(S.read_table(spark, path, wire), table, checkpoint, columns, ["ticket_id"], ["at"], lambda k: F.lit(900 + k), buckets=3).awaitTermination(120)
     assert {tuple(r) for r in S.read_upserted(spark, table, columns).select("ticket_id", "priority", "loaded_at").collect()} == rows
+
+
+def test_repeats_within_the_horizon_are_dropped(spark, tmp_path):
+    """At-least-once input: a ticket that is delivered again, in its batch or a later one, is passed on once."""
+    path = str(tmp_path / "in")
+    parts = [[("a", 0), ("b", 1), ("a", 2)], [("a", 30), ("c", 40)], [("b", 50)]]
+    for part in parts:
+        append(spark.createDataFrame([(i, s * 1000) for i, s in part], "ticket_id string, ms long"), path)
+    stream = S.read_table(spark, path, "ticket_id string, ms long").withColumn("at", F.timestamp_millis("ms"))
+    out = run(S.dedup(stream, "ticket_id", "at", "1 hour"), tmp_path)
+    assert sorted((r.ticket_id, r.ms) for r in spark.read.parquet(out).collect())[1:] == [("b", 1000), ("c", 40_000)]
+    assert spark.read.parquet(out).count() == 3
