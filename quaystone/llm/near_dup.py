@@ -59,6 +59,8 @@ M = BANDS * ROWS
 AGREE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 BUCKET_ROWS, CLUSTER_ROWS = 1024, 256
 KNOWN_WORDS = 60_000
+#: Up to so many members of clusters are sent to the texts (8 bytes each), so that no other text is shuffled to be verified.
+SENT_MEMBERS = 1_000_000
 
 _WORD = re.compile(r"\w+")
 _TICKS, _NEVER = 2.0**40, np.iinfo(np.int64).max
@@ -379,6 +381,8 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(texts: DataFrame, clusters: DataFrame, total: int) -> DataFrame:
     """Verified links ``a, b`` that connect all that are linked inside the ``total`` rows ``clusters(node, cluster, row)``; ``texts(row, text)``."""
+    if total <= SENT_MEMBERS:
+        texts = texts.join(F.broadcast(clusters.select("row")), "row", "left_semi")
 
     def attach(parts: DataFrame) -> DataFrame:
         rows = parts.join(texts, F.col("ref") == F.col("row")).select("text", "g", "pivot", "grp", "node", "ref")
@@ -401,7 +405,7 @@ def classed_nodes(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     ids = nodes.select("node", "n", "best")
     found = materialise(candidates(nodes.select("node", "sig", "bands"), total), "near-clusters")
     clusters = found.withColumnRenamed("component", "cluster").join(ids, "node").select("node", "cluster", F.col("best.row").alias("row"))
-    parts = components(links(rows.select("row", F.col(text).alias("text")), clusters, total), "near-links")
+    parts = components(links(rows.select("row", F.col(text).alias("text")), clusters, found.count()), "near-links")
     return ids.join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class_node"), "best")
 
 
