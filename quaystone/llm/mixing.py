@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from quaystone.llm.shared import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of the ranking per doubling of the key: the ranking of a hot source is a set
-#: of sums and the one part in which its words run out, never one task. Cuts lie
-#: near a key of one, where a part is about a two-thousandth of the source.
-RANK_PARTS = 512
+#: Parts of the ranking per doubling of the key, a power of two from 2 on; the part in which the
+#: words run out is split by as many again until it has at most `EDGE_ROWS` rows. So the
+#: ranking of a hot source is sums and one part of bounded size, never one task.
+RANK_PARTS = 64
+EDGE_ROWS = 4_096
+#: Parts per doubling up to which keys still tell parts apart in double precision.
+FINEST = 1 << 42
 #: Rows per source are sent to all tasks up to so many; beyond, they are joined.
 SENT_ROWS = 20_000
 
@@ -134,17 +137,23 @@ def first_words(left: DataFrame, gaps: DataFrame, send) -> DataFrame:
     """Of ``left(source, key, words)`` the front of each source's ranking that fits ``gaps(m_source, missing)``.
 
     Returns ``source, key, words`` and ``inside``: whole parts before the part in which
-    the words run out are summed, and only that part is sorted.
+    the words run out are summed, and only that part is sorted. Parts are ranges of the
+    key's logarithm; as they are split by powers of two, each lies in one of the level before.
     """
-    part = F.floor(F.log2("key") * RANK_PARTS).cast("long")
-    left = left.withColumn("part", part)
-    parts = left.groupBy("source", "part").agg(F.sum("words").alias("w")).withColumn("upto", F.sum("w").over(Window.partitionBy("source").orderBy("part")))
-    edge = (
-        parts.join(send(gaps), same("source", "m_source")).where(F.col("upto") > F.col("missing")).groupBy("source")
-        .agg(F.min(F.struct("part", (F.col("upto") - F.col("w")).alias("before"), "missing")).alias("edge"))
-        .select(F.col("source").alias("e_source"), F.col("edge.part").alias("e_part"), F.col("edge.before").alias("e_before"), F.col("edge.missing").alias("e_missing"))
-    )
-    placed = left.join(send(edge), same("source", "e_source"), "left")
+    part = lambda n: F.floor(F.log2("key") * n).cast("long").alias("part")
+    parts = RANK_PARTS
+    here = left.join(send(gaps), same("source", "m_source")).select("source", part(parts), "words", "missing", F.lit(0).cast("long").alias("before"))
+    while True:
+        sums = here.groupBy("source", "part").agg(F.sum("words").alias("w"), F.count("*").alias("n"), F.max("before").alias("before"), F.max("missing").alias("missing"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("source").orderBy("part")))
+        first = sums.where(F.col("upto") > F.col("missing")).groupBy("source").agg(F.min(F.struct("part", (F.col("upto") - F.col("w")).alias("before"), "missing", "n")).alias("edge"))
+        edge = materialise(first.select(F.col("source").alias("e_source"), *[F.col(f"edge.{c}").alias(f"e_{c}") for c in ("part", "before", "missing", "n")]), "mix-edge")
+        if parts >= FINEST or (edge.agg(F.max("e_n")).first()[0] or 0) <= EDGE_ROWS:
+            break
+        here = left.withColumn("part", part(parts)).join(send(edge), same("source", "e_source") & (F.col("part") == F.col("e_part")))
+        parts *= RANK_PARTS
+        here = here.select("source", part(parts), "words", F.col("e_missing").alias("missing"), F.col("e_before").alias("before"))
+    placed = left.withColumn("part", part(parts)).join(send(edge), same("source", "e_source"), "left")
     at_edge = same("part", "e_part")
     rank = Window.partitionBy("source").orderBy("key")
     inside = placed.where(at_edge).withColumn("inside", F.col("e_before") + F.sum("words").over(rank) <= F.col("e_missing"))

@@ -620,6 +620,9 @@ def test_mixing(spark, docs, none, rows, monkeypatch):
     monkeypatch.setattr(mixing, "RANK_PARTS", 1)
     monkeypatch.setattr(mixing, "SENT_ROWS", 0)
     assert ordered(mixing.mix(docs).collect()) == ordered(got)
+    monkeypatch.setattr(mixing, "RANK_PARTS", 2)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 3)  # the part in which the words run out is split several times
+    assert ordered(mixing.mix(docs).collect()) == ordered(got)
 
 
 def test_a_long_document_does_not_end_the_ranking(spark):
