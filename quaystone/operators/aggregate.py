@@ -14,6 +14,7 @@ from quaystone.operators.latest import newer_guard
 from quaystone.operators.route import aggregator_input, dead_headers
 from quaystone.operators.validate import stats_errors
 from quaystone.schema import DEAD, ENRICHED, ENRICHED_SCHEMA, LATEST, STATS, STATS_RECORD, STATS_SCHEMA
+from quaystone.sources.folders import written
 
 
 def no_headers() -> Column:
@@ -51,10 +52,14 @@ def aggregate_records(log: DataFrame, schemas: DataFrame, size_ms: int, grace_ms
 
     ``order`` is the order of arrival, a whole number first; ``latest`` records are to be
     written in it, so it comes along (null for the others). Late rows are counted nowhere,
-    see `windows.late_report`. The log is read for each of the outputs; of each only the columns it needs.
+    see `windows.late_report`. The log is read and decoded once: what comes of it is written,
+    and each of the outputs reads the columns it needs. Bytes are kept of dead letters only, which come in ``order``.
     """
-    judged = aggregator_input(log, schemas, codec=codec)
+    judged = aggregator_input(log, schemas, codec=codec).where("outcome <> 'skipped'")
+    bytes_ = {c: F.when(F.col("outcome") == "dead_letter", F.col(c)).alias(c) for c in ("key", "value")}
+    needed = dict.fromkeys(["topic", "partition", "offset", "key", "value", "r", "error_type", "error_message", "outcome", *order])
+    judged = written(judged.select(*[bytes_.get(c, c) for c in needed]), "aggregate")
     tickets = judged_tickets(judged, order)
     counts = windows.window_counts_strict(tickets, size_ms, grace_ms, buckets, order)
-    written = dead_letters(judged, failed_at).unionByName(stats_records(counts, codec))
-    return written.unionByName(latest_records(tickets, order, codec), allowMissingColumns=True)
+    out = dead_letters(judged.orderBy(*order), failed_at).unionByName(stats_records(counts, codec))
+    return out.unionByName(latest_records(tickets, order, codec), allowMissingColumns=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.functions.columns import canonical_uuid, failing, strip
+from quaystone.functions.columns import canonical_uuid, failing, is_uuid, strip
 from quaystone.schema import CATEGORIES, CHANNELS, DIMENSIONS, MAX_SUBJECT, MAX_SUMMARY, PRIORITIES, TIERS
 
 CUSTOMER = r"(?U)^C-\d{4}\z"
@@ -29,7 +29,7 @@ def stripped(df: DataFrame) -> DataFrame:
 def _ticket(c: Callable[[str], Column], time: str) -> dict[str, Column]:
     filled = lambda name: F.char_length(c(name)) > 0
     return {
-        "ticket_id": canonical_uuid(c("ticket_id")).isNotNull(), "customer_id": c("customer_id").rlike(CUSTOMER), "created_at": c(time).isNotNull(), "channel": c("channel").isin(*CHANNELS),
+        "ticket_id": is_uuid(c("ticket_id")), "customer_id": c("customer_id").rlike(CUSTOMER), "created_at": c(time).isNotNull(), "channel": c("channel").isin(*CHANNELS),
         "product": filled("product"), "subject": F.char_length(c("subject")).between(1, MAX_SUBJECT), "body": filled("body"), "tier": c("tier").isin(*TIERS),
     }
 

@@ -353,3 +353,26 @@ def test_counters_over_restarts(spark, tmp_path):
             assert found == {"seen": 10 * (k + 1), "odd": 5 * (k + 1)}
     finally:
         spark.streams.removeListener(listener)
+
+
+# What a log costs
+
+
+def counted(rows, column):
+    """``rows``, whose ``column`` goes through a function that counts its calls."""
+    calls = rows.sparkSession.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    return rows.withColumn(column, F.udf(seen, rows.schema[column].dataType)(F.col(column))), calls
+
+
+def test_aggregator_decodes_a_log_once(spark):
+    good = TICKET | {"category": "billing", "priority": "low", "sentiment": 0.5, "summary": "s", "enriched_at": 5, "model": "m"}
+    values = [framed(3, **(good | {"created_at": t})) for t in (1000, 500, 90_000)] + [b"junk!!", None]
+    log, calls = counted(log_rows(spark, *values, topic="tickets.billing").withColumn("arrival", F.col("offset")).localCheckpoint(), "value")
+    out = aggregate.aggregate_records(log, decode.catalog(spark), 60_000, 10_000, F.lit("now"), ["arrival"])
+    assert sorted(r.out_topic for r in out.collect()) == ["customers.latest"] * 2 + ["tickets.dlq"] + ["tickets.stats"] * 2
+    assert calls.value == len(values)
