@@ -376,3 +376,10 @@ def test_aggregator_decodes_a_log_once(spark):
     out = aggregate.aggregate_records(log, decode.catalog(spark), 60_000, 10_000, F.lit("now"), ["arrival"])
     assert sorted(r.out_topic for r in out.collect()) == ["customers.latest"] * 2 + ["tickets.dlq"] + ["tickets.stats"] * 2
     assert calls.value == len(values)
+
+
+def test_late_report_reads_its_input_once(spark):
+    rows = spark.createDataFrame([(f"t{i}", "billing", "low", t, i, i, "x", 0, i) for i, t in enumerate((1000, 90_000, 500))], "ticket_id string, category string, priority string, created_ms long, arrival long, event_id long, topic string, partition int, offset long")
+    rows, calls = counted(rows.localCheckpoint(), "created_ms")
+    assert sorted((r.ticket_id, r.dimension, r.late_by_ms) for r in windows.late_report(rows, 60_000, 10_000).collect()) == [("t2", "category", 20_000), ("t2", "priority", 20_000)]
+    assert calls.value == 3
