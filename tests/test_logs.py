@@ -383,3 +383,9 @@ def test_late_report_reads_its_input_once(spark):
     rows, calls = counted(rows.localCheckpoint(), "created_ms")
     assert sorted((r.ticket_id, r.dimension, r.late_by_ms) for r in windows.late_report(rows, 60_000, 10_000).collect()) == [("t2", "category", 20_000), ("t2", "priority", 20_000)]
     assert calls.value == 3
+
+
+def test_rules_and_cleaning_stay_in_generated_code(spark):
+    """No lambda, which is evaluated without generated code, and no lower-casing of whole texts."""
+    plan = route.judged(log_rows(spark, b"junk!!"), decode.catalog(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Lower" not in plan and "lower(" not in plan
