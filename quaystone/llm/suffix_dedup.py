@@ -82,7 +82,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of ``base`` modulo 2**64."""
     t = np.full(n, base, np.uint64)
     t[0] = 1
-    return np.cumprod(t)
+    return np.cumprod(t, out=t)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,13 +99,19 @@ _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Rolling:
-    """Fingerprints of all substrings of an array of numbers."""
+    """Fingerprints of all substrings of an array of numbers.
+
+    Making it holds two numbers a value beside ``values``, which are the largest arrays of a task.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.down = powers(pow(_BASE, -1, 1 << 64), n + 1)
+        terms = powers(_BASE, n + 1)
+        terms[:-1] *= values
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(_BASE, n + 1)[:-1], out=self.sums[1:])
+        np.cumsum(terms[:-1], out=self.sums[1:])
+        del terms, values
+        self.down = powers(pow(_BASE, -1, 1 << 64), n + 1)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin])
