@@ -364,43 +364,58 @@ def _shared_file(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_DECODED = pa.schema([*_IDS, ("text", pa.string())])
+
+
+def _encode(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, made, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys.append(key)
+            made.append(encoder.encode(text.as_py()))
+            size += len(made[-1])
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=_IDS)
+                keys, made, size = [], [], 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=_IDS)
+
+
+def _decode(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        begin, size, texts = 0, 0, []
+        for k, ids in enumerate(batch.column(1)):
+            texts.append(decode(encoder, ids.as_py() or b""))
+            size += 2 * len(texts[-1])
+            if size > BATCH_BYTES or k == batch.num_rows - 1:
+                part = batch.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=_DECODED)
+                begin, size, texts = k + 1, 0, []
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` for each row of ``docs(doc_id, text)``; ids are little-endian 32-bit numbers."""
     content = _shared_file(docs, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(content.value)
-        for batch in batches:
-            keys, made, size = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                made.append(encoder.encode(text.as_py()))
-                size += len(made[-1])
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=schema)
-                    keys, made, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _encode(encoder_for(content.value), batches), "doc_id bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text`` for each row of ``encoded(doc_id, ids)``."""
     content = _shared_file(encoded, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decode(encoder_for(content.value), batches), "doc_id bigint, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """`decode_documents` of `encode_documents`, in one Python step.
+
+    As two steps a task would keep two workers, each with the whole vocabulary, and
+    workers stay with their executor for all that follows.
+    """
+    content = _shared_file(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(content.value)
-        for batch in batches:
-            begin, size, texts = 0, 0, []
-            for k, ids in enumerate(batch.column(1)):
-                texts.append(decode(encoder, ids.as_py() or b""))
-                size += 2 * len(texts[-1])
-                if size > BATCH_BYTES or k == batch.num_rows - 1:
-                    part = batch.slice(begin, len(texts))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=schema)
-                    begin, size, texts = k + 1, 0, []
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+        return _decode(encoder, _encode(encoder, batches))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids binary, text string")
