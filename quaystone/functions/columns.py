@@ -12,7 +12,7 @@ from quaystone.schema import BILLING, MAX_ERROR, OTHER, TECH, URGENT
 #: Unicode white space without the information separators U+001C to U+001F.
 BLANKS = r"[\t\n\x0B\f\r \u0085   -     　]+"
 #: The same, one by one, as `strip` takes them (a trim reads the ends only, a pattern the whole text).
-_BLANK = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _HYPHENATED = r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 _UUID = rf"(?i)^([0-9a-f]{{32}}|(urn:uuid:)?{_HYPHENATED}|\{{{_HYPHENATED}\}})\z"
@@ -20,7 +20,7 @@ _UUID = rf"(?i)^([0-9a-f]{{32}}|(urn:uuid:)?{_HYPHENATED}|\{{{_HYPHENATED}\}})\z
 
 def strip(text: Column) -> Column:
     """Without white space at both ends (any Unicode blank, not only spaces)."""
-    return F.btrim(text, F.lit(_BLANK))
+    return F.btrim(text, F.lit(BLANK))
 
 
 def truncate_error(message: Column, most: int = MAX_ERROR) -> Column:
@@ -67,7 +67,7 @@ def stats_key(dimension: Column, value: Column) -> Column:
 def route_topics(category: Column, priority: Column) -> Column:
     """The topics of an enriched ticket: its category's, then the copy of an urgent one."""
     own = F.when(category == "billing", BILLING).when(category == "technical", TECH).when(category.isin("account", "other"), OTHER)
-    return F.filter(F.array(own, F.when(priority == "urgent", URGENT)), lambda t: t.isNotNull())
+    return F.array_remove(F.array(F.coalesce(own, F.lit("")), F.when(priority == "urgent", URGENT).otherwise("")), "")
 
 
 def headers(values: dict[str, Column]) -> Column:

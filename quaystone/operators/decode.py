@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.functions.columns import pinned
+from quaystone.functions.columns import failing, pinned
 from quaystone.schema import CATALOG, CATALOG_TYPE, DEFAULTS, SYMBOLS, TICKET
 
 UNDECODABLE = "UndecodableMessage"
@@ -107,9 +107,8 @@ def decode_body(framed: DataFrame, reader: T.StructType = TICKET, record: str =
 
 def encode_error(record: Callable[[str], Column], writer: T.StructType) -> Column:
     """Why a record cannot be written: the fields of ``writer`` without a value, and those with an unknown symbol; null if it can."""
-    missing = F.array_compact(F.array(*[F.when(record(n).isNull(), F.lit(n)) for n in writer.fieldNames()]))
-    unknown = [F.when(~record(n).isin(*SYMBOLS[n]), F.lit(n)) for n in writer.fieldNames() if n in SYMBOLS]
-    unknown = F.array_compact(F.array(*unknown)) if unknown else F.array().cast("array<string>")
+    missing = failing(**{n: record(n).isNotNull() for n in writer.fieldNames()})
+    unknown = failing(**{n: record(n).isNull() | record(n).isin(*SYMBOLS[n]) for n in writer.fieldNames() if n in SYMBOLS})
     return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(F.size(unknown) > 0, F.concat(F.lit("unknown symbol in "), F.array_join(unknown, ", ")))
 
 
@@ -120,5 +119,5 @@ def encode(rows: DataFrame, record: str, schema: int, writer: T.StructType, code
     """
     field = lambda n: F.col(f"{record}.{n}")
     there = F.col(record).isNotNull()
-    rows = rows.withColumn("encode_error", F.when(there, encode_error(field, writer)))
+    rows = pinned(rows, encode_error=F.when(there, encode_error(field, writer)))
     return rows.withColumn("encoded", F.when(there & F.col("encode_error").isNull(), frame(schema, codec.write(F.struct(*[field(n).alias(n) for n in writer.fieldNames()])))))

@@ -8,17 +8,17 @@ step from the log of valid tickets to the logs of enriched ones and of dead lett
 from __future__ import annotations
 
 import json
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.functions.columns import BLANKS, pinned, route_topics, strip
+from quaystone.functions.columns import BLANK, pinned, route_topics, strip
 from quaystone.operators.decode import JSON, Codec, encode
 from quaystone.operators.route import dead_headers, judged
 from quaystone.operators.validate import classification_errors
@@ -71,7 +71,7 @@ def usable(answer: dict | str) -> dict:
     if not isinstance(answer, dict):
         raise ClassifierError("unusable answer: not an object")
     category, priority, sentiment, summary = (answer.get(n) for n in ANSWER.fieldNames())
-    summary = re.sub(f"^{BLANKS}|{BLANKS}\\Z", "", summary) if isinstance(summary, str) else ""
+    summary = summary.strip(BLANK) if isinstance(summary, str) else ""
     number = isinstance(sentiment, int | float) and not isinstance(sentiment, bool)
     rules = {"category": category in CATEGORIES, "priority": priority in PRIORITIES, "sentiment": number and -1 <= sentiment <= 1, "summary": 1 <= len(summary) <= MAX_SUMMARY}
     if not all(rules.values()):
@@ -93,26 +93,44 @@ def attempt(call: Callable[[dict], dict | str], ticket: dict, retry: Retry, slee
     raise AssertionError
 
 
-def called(rows: DataFrame, make_classifier: Callable[[], Callable[[dict], dict | str]], ticket: Column, ask: Column, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``rows`` with struct ``answer`` (`CALL`) for the struct ``ticket``; null, and no call, where ``ask`` does not hold.
+def _values(column: pa.Array) -> list:
+    """`to_pylist`, without a scalar for each text or whole number."""
+    plain = pa.types.is_string(column.type) or pa.types.is_integer(column.type) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
 
-    ``make_classifier`` is called once per partition, so clients need not be sent.
+
+def called(rows: DataFrame, make_classifier: Callable[[], Callable[[dict], dict | str]], ticket: str | list[str], ask: Column, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` with struct ``answer`` (`CALL`) for their struct column ``ticket``, or for that of the columns ``ticket``; null, and no call, where ``ask`` does not hold.
+
+    ``make_classifier`` is called once per partition, so clients need not be sent. Nothing goes
+    to the worker twice, and only tickets that are asked about become Python's, field by field.
     """
     n, schema = len(rows.columns), T.StructType([*rows.schema.fields, T.StructField("answer", CALL)])
     kind = pa.struct([(f.name, {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[f.dataType.simpleString()]) for f in CALL])
+    at = rows.columns.index(ticket) if isinstance(ticket, str) else None
+    parts = [] if at is not None else [(c, rows.columns.index(c)) for c in ticket]
+
+    def tickets(batch: pa.RecordBatch) -> Iterator[dict | None]:
+        if at is not None and batch.column(at).null_count:
+            return iter(batch.column(at).to_pylist())
+        names = [f.name for f in batch.column(at).type] if at is not None else [c for c, _ in parts]
+        columns = batch.column(at).flatten() if at is not None else [batch.column(k) for _, k in parts]
+        return (dict(zip(names, values, strict=True)) for values in zip(*map(_values, columns), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make_classifier()
         for batch in batches:
-            answers = [attempt(call, t, retry, sleep) if asked else None for t, asked in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(answers, kind)], names=schema.fieldNames())
+            asked = batch.column(n).to_numpy(zero_copy_only=False)
+            answers = [attempt(call, t, retry, sleep) for t in tickets(batch.filter(batch.column(n)))]
+            of = pa.array(np.cumsum(asked) - 1, pa.int64(), mask=~asked)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(answers, kind).take(of)], names=schema.fieldNames())
 
-    return rows.select("*", ticket.alias("_ticket"), F.coalesce(ask, F.lit(False)).alias("_ask")).mapInArrow(run, schema)
+    return rows.select("*", F.coalesce(ask, F.lit(False)).alias("_ask")).mapInArrow(run, schema)
 
 
 def classify(tickets: DataFrame, make_classifier: Callable[[], Callable[[dict], dict]], retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Answers or errors for ``tickets``, one row each; a failing call never fails the job."""
-    rows = called(tickets, make_classifier, F.struct(*tickets.columns), F.lit(True), retry, sleep)
+    rows = called(tickets, make_classifier, tickets.columns, F.lit(True), retry, sleep)
     return rows.select("ticket_id", *[f"answer.{n}" for n in ANSWER.fieldNames()], "answer.error", "answer.attempts")
 
 
@@ -133,7 +151,7 @@ def checked_answers(rows: DataFrame, answer: str = "answer") -> DataFrame:
 
 def enrich(tickets: DataFrame, make_classifier: Callable[[], Callable[[dict], dict | str]], enriched_at: Column, model: str, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Tickets with their answers, the time and the model's name; those without a usable answer are left out."""
-    rows = called(tickets, make_classifier, F.struct(*tickets.columns), F.lit(True), retry, sleep).where("answer.error_type is null")
+    rows = called(tickets, make_classifier, tickets.columns, F.lit(True), retry, sleep).where("answer.error_type is null")
     return rows.select(*tickets.columns, *[f"answer.{n}" for n in ANSWER.fieldNames()], enriched_at.alias("enriched_at"), F.lit(model).alias("model"))
 
 
@@ -152,11 +170,11 @@ def enrich_split(
     """
     rows = judged(log, schemas, codec=codec)
     rows = rows.select("topic", "partition", "offset", "key", "value", "r", "error_type", "error_message")
-    rows = called(rows, make_classifier, F.col("r"), F.col("error_type").isNull(), retry, sleep)
+    rows = called(rows, make_classifier, "r", F.col("error_type").isNull(), retry, sleep)
     rows = rows.withColumn("error_type", F.coalesce("error_type", "answer.error_type")).withColumn("error_message", F.coalesce("error_message", "answer.error"))
     good = F.col("error_type").isNull()
     record = F.struct(*[F.col(f"r.{n}") for n in TICKET.fieldNames()], *[F.col(f"answer.{n}") for n in ANSWER.fieldNames()], enriched_at.alias("enriched_at"), F.lit(model).alias("model"))
-    rows = encode(rows.withColumn("record", F.when(good, record)), "record", schema, ENRICHED, codec)
+    rows = encode(pinned(rows, record=F.when(good, record)), "record", schema, ENRICHED, codec)
     value = F.when(good, F.col("encoded")).otherwise(F.col("value"))
     rows = pinned(rows, out_value=value, topics=F.when(good, route_topics(F.col("answer.category"), F.col("answer.priority"))).otherwise(F.array(F.lit(DEAD))))
     return rows.select(

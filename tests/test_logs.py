@@ -389,3 +389,18 @@ def test_rules_and_cleaning_stay_in_generated_code(spark):
     """No lambda, which is evaluated without generated code, and no lower-casing of whole texts."""
     plan = route.judged(log_rows(spark, b"junk!!"), decode.catalog(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "Lower" not in plan and "lower(" not in plan
+
+
+def test_writing_stays_in_generated_code_and_nothing_is_sent_twice(spark):
+    """Checks before encoding and the topics need no lambda; the classifier's worker gets each ticket once."""
+    plan = enriched(spark, log_rows(spark, b"junk!!"), lambda t: t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "_ticket" not in plan
+
+
+def test_tickets_reach_the_classifier_field_by_field(spark):
+    seen = spark.createDataFrame([("a", 1, None, [1]), (None, None, 0.5, None), ("c", 3, 1.5, [])], "ticket_id string, n int, x double, many array<int>")
+    echo = lambda t: {"category": "other", "priority": "low", "sentiment": 0, "summary": repr(t)}
+    got = {r.ticket_id: r.answer and r.answer.summary for r in enrich.called(seen, lambda: echo, seen.columns, F.col("n").isNull() | (F.col("n") == 1)).collect()}
+    assert got == {"a": "{'ticket_id': 'a', 'n': 1, 'x': None, 'many': [1]}", None: "{'ticket_id': None, 'n': None, 'x': 0.5, 'many': None}", "c": None}
+    nobody = enrich.called(seen, lambda: pytest.fail, seen.columns, F.lit(False)).collect()
+    assert [r.answer for r in nobody] == [None] * 3
